@@ -169,3 +169,18 @@ p AS (SELECT gene AS GeneSymbol, logFC, logCPM,
 
 
 FIXTURE_SQL["deg"] = (_deg_sql(), ("counts",))
+
+SAMPLES = [f"S{m:02d}" for m in range(1, 13)]
+FIXTURE_SQL["normcounts"] = (
+    "SELECT 1 AS _c0, gene AS genes, "
+    + ", ".join(f"max(CASE WHEN sample = '{s}' THEN CAST(value AS DOUBLE) END) AS {s}" for s in SAMPLES)
+    + " FROM counts GROUP BY gene", ("counts",))
+
+TIME_SQL = ("CASE WHEN len(list_filter(string_split({n}, '_'), lambda x: regexp_full_match(x, '\\d{{8}}t\\d{{6}}z'))) = 1 "
+            "THEN try_strptime(list_filter(string_split({n}, '_'), lambda x: regexp_full_match(x, '\\d{{8}}t\\d{{6}}z'))[1], "
+            "'%Y%m%dt%H%M%Sz') END")
+TIME_STR_SQL = ("CASE WHEN len(list_filter(string_split({n}, '_'), lambda x: regexp_full_match(x, '\\d{{8}}t\\d{{6}}z'))) = 1 "
+                "THEN list_filter(string_split({n}, '_'), lambda x: regexp_full_match(x, '\\d{{8}}t\\d{{6}}z'))[1] END")
+ROLE_SQL = ("CASE WHEN regexp_matches(lower({n}), '^(normcounts|expression_table)') THEN 'expression' "
+            "WHEN regexp_matches(lower({n}), '^(exacttest|gene_table|gene_metadata)') THEN 'deg' "
+            "WHEN regexp_matches(lower({n}), '^(coldata|sample_table|sample_metadata)') THEN 'samples' END")

@@ -1 +1,101 @@
-"""Registered queries."""
+"""Registered source / catalog / sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from transcripta.plans import fixtures as fx
+from transcripta.plans.fixture_sql import ROLE_SQL, SAMPLES, TIME_SQL, TIME_STR_SQL
+from transcripta.plans.registry import register
+from transcripta.session import scratch_path
+from transcripta.sources import catalog, files
+
+
+@register("src_match_tables", """
+SELECT database, substr(database, 1, length(database) - 6) AS label, min(name) AS name
+FROM run_tables WHERE ends_with(database, '_alice') AND regexp_matches(name, '^normcounts_')
+GROUP BY database""", ("run_tables",))
+def q_src_match_tables(spark, sf_dir):
+    return catalog.src_match_tables(fx.run_tables(spark, sf_dir), "Alice", "^normcounts_")
+
+
+@register("src_latest_run", f"""
+WITH t AS (SELECT database, name, {TIME_STR_SQL.format(n='name')} AS time_str,
+                  {TIME_SQL.format(n='name')} AS time FROM run_tables)
+SELECT *, coalesce(time = max(time) OVER (), false) AS is_latest FROM t""", ("run_tables",))
+def q_src_latest_run(spark, sf_dir):
+    return catalog.src_latest_run(fx.run_tables(spark, sf_dir))
+
+
+@register("src_table_roles", f"""
+SELECT database, name, {ROLE_SQL.format(n='name')} AS role FROM run_tables""", ("run_tables",))
+def q_src_table_roles(spark, sf_dir):
+    return catalog.src_table_roles(fx.run_tables(spark, sf_dir))
+
+
+@register("src_normalise_columns", f"""
+SELECT genes AS GeneSymbol, {', '.join(SAMPLES)} FROM normcounts""", ("normcounts",),
+          doubles=tuple(SAMPLES))
+def q_src_normalise_columns(spark, sf_dir):
+    return catalog.src_normalise_columns(fx.normcounts_wide(spark, sf_dir))
+
+
+@register("src_load_run", f"""
+WITH r AS (SELECT name, {TIME_SQL.format(n='name')} AS time, {ROLE_SQL.format(n='name')} AS role
+           FROM run_tables WHERE database = 'proj0_alice'),
+e AS (SELECT min(name) AS source_table FROM r WHERE role = 'expression'
+      AND time = (SELECT max(time) FROM r WHERE role = 'expression'))
+SELECT e.source_table, genes AS GeneSymbol, {', '.join(SAMPLES)} FROM normcounts, e""",
+          ("run_tables", "normcounts"), doubles=tuple(SAMPLES))
+def q_src_load_run(spark, sf_dir):
+    """Newest table per role of one project; tables resolved by a reader
+    that maps each role to its derived input."""
+    listing = fx.run_tables(spark, sf_dir).filter(F.col("database") == "proj0_alice")
+    by_role = {"expression": fx.normcounts_wide(spark, sf_dir), "deg": fx.deg(spark, sf_dir),
+               "samples": fx.coldata(spark, sf_dir)}
+    chosen = {}
+
+    def reader(name):
+        role = catalog.ROLE_PREFIXES
+        low = name.lower()
+        for r, prefixes in role.items():
+            if low.startswith(prefixes):
+                chosen[r] = name
+                return by_role[r]
+        raise KeyError(name)
+
+    run = catalog.src_load_run(spark, listing, reader=reader, per_role=True)
+    return run["expression"].select(F.lit(chosen["expression"]).alias("source_table"), "*")
+
+
+@register("src_expr_query", """
+SELECT * FROM long_expr WHERE main_code IN ('BC001', 'BC002', 'BC005') AND sub_code IN ('A', 'R')
+AND normalization IN ('max_TPM')""", ("long_expr",), doubles=("value",))
+def q_src_expr_query(spark, sf_dir):
+    return catalog.src_expr_query(fx.long_expr(spark, sf_dir), " BC001, BC002,BC005", ["A", "R"], "max_TPM")
+
+
+@register("src_read_gtf")
+def q_src_read_gtf(spark, sf_dir):
+    """Write the derived GTF as two groups of text files, read them back."""
+    g = fx.gtf(spark, sf_dir)
+    even = files.write_gtf(g.filter((F.col("start") / 10) % 2 == 0), scratch_path(spark, "gtf_tissue"))
+    odd = files.write_gtf(g.filter((F.col("start") / 10) % 2 == 1), scratch_path(spark, "gtf_ctc"))
+    return files.src_read_gtf(spark, {"tissue": even, "ctc": odd})
+
+
+@register("src_read_gct")
+def q_src_read_gct(spark, sf_dir):
+    """Write the derived tissue panel as GCT text, read it back long."""
+    p = fx.panel(spark, sf_dir)
+    tissues = [r[0] for r in p.select("tissue").distinct().orderBy("tissue").collect()]
+    path = files.write_gct(p, scratch_path(spark, "panel_gct"), tissues)
+    return files.src_read_gct(spark, path).filter(F.col("value").isNotNull())
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    """Write the DEG table as CSV partitioned by sign of logFC; read back."""
+    d = fx.deg(spark, sf_dir).withColumn("sign", F.when(F.col("logFC") >= 0, "pos").otherwise("neg"))
+    path = files.sink_csv(d, scratch_path(spark, "deg_csv"), partition_by=["sign"])
+    return spark.read.option("header", "true").option("inferSchema", "false").csv(path)
