@@ -40,6 +40,6 @@ def register(name: str, sql: str | None = None, fixtures: tuple = (), doubles: t
 def _load_all() -> None:
     # importing the modules fills the registry
     from transcripta.plans import (  # noqa: F401
-        q_de, q_sources, q_reshape, q_joins, q_compare, q_multivariate, q_network,
+        q_de, q_sources, q_reshape, q_joins, q_multivariate, q_network,
         q_enrichment, q_immune,
     )
