@@ -66,7 +66,9 @@ SELECT collection, ontology, 'hsa' AS organism, term, gene FROM (
   SELECT 'GO' AS collection, 'BP' AS ontology, 'BP:' || p_brand AS term, CAST(p_partkey + 100000 AS VARCHAR) AS gene FROM part
   UNION ALL SELECT 'GO', 'MF', 'MF:' || p_type, CAST(p_partkey + 100000 AS VARCHAR) FROM part
   UNION ALL SELECT 'GO', 'CC', 'CC:size' || CAST(p_size AS VARCHAR), CAST(p_partkey + 100000 AS VARCHAR) FROM part
-  UNION ALL SELECT 'KEGG', 'pathway', 'path:' || p_brand || '_' || p_type, CAST(p_partkey + 100000 AS VARCHAR) FROM part)""",
+  UNION ALL SELECT 'KEGG', 'pathway', 'path:' || p_brand || '_' || p_type, CAST(p_partkey + 100000 AS VARCHAR) FROM part)
+UNION ALL
+SELECT 'KEGG', 'pathway', 'mmu', 'mmu:' || p_brand, CAST(p_partkey + 100000 AS VARCHAR) FROM part WHERE p_partkey % 2 = 0""",
                   ()),
     "emb_long": ("""
 SELECT 'V' || lpad(CAST(vec_id AS VARCHAR), 5, '0') AS sample,

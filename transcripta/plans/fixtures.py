@@ -170,8 +170,13 @@ def gene_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kegg = part.select(F.lit("KEGG").alias("collection"), F.lit("pathway").alias("ontology"),
                        F.concat(F.lit("path:"), F.col("p_brand"), F.lit("_"), F.col("p_type")).alias("term"),
                        g.alias("gene"))
-    out = go_bp.unionByName(go_mf).unionByName(go_cc).unionByName(kegg)
-    return out.select("collection", "ontology", F.lit("hsa").alias("organism"), "term", "gene")
+    out = (go_bp.unionByName(go_mf).unionByName(go_cc).unionByName(kegg)
+           .withColumn("organism", F.lit("hsa")))
+    # mouse pathways: even parts, their own term names
+    mmu = part.filter(F.col("p_partkey") % 2 == 0).select(
+        F.lit("KEGG").alias("collection"), F.lit("pathway").alias("ontology"), F.lit("mmu").alias("organism"),
+        F.concat(F.lit("mmu:"), F.col("p_brand")).alias("term"), g.alias("gene"))
+    return out.unionByName(mmu).select("collection", "ontology", "organism", "term", "gene")
 
 
 def emb_long(spark: SparkSession, sf_dir: str) -> DataFrame:
