@@ -97,7 +97,7 @@ def q_gene_filter(spark, sf_dir):
 
 
 @register("expr_subset", """
-WITH gl AS (SELECT gene_id AS gene, row_number() OVER (ORDER BY gene_name, pos) AS pos
+WITH gl AS (SELECT gene_id AS gene, CAST(row_number() OVER (ORDER BY gene_name, pos) AS INTEGER) AS pos
             FROM gene_info WHERE gene_type = 'STANDARD')
 SELECT c.gene, c.sample, c.grp, c.value, gl.pos AS list_pos FROM counts c JOIN gl USING (gene)""",
           ("counts", "gene_info"))

@@ -55,10 +55,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) into the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing the frame as Parquet into the shared
+    checkpoint folder and reading it back.
+
+    Unlike ``Dataset.checkpoint`` (which keeps the original logical plan
+    attached, so plans of iterative loops nest round after round), the
+    re-read table has a fresh plan of one scan; the files survive executor
+    loss.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
