@@ -59,3 +59,16 @@ def round_numeric(df: DataFrame, digits: int = 4,
         else:
             cols.append(c)
     return df.select(*cols)
+
+
+def with_key_stats(df: DataFrame, keys, *aggs) -> DataFrame:
+    """Attach per-key aggregates to every row: ``groupBy(keys).agg(...)``
+    joined back on the keys.
+
+    Preferred over a window partitioned by the key: the aggregate is
+    combined map-side, and the join back is either broadcast (one row per
+    key, e.g. per gene) or a sort-merge join that AQE splits when one key
+    is hot, whereas a window must put every row of a key into one task.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return df.join(df.groupBy(*keys).agg(*aggs), keys)

@@ -77,10 +77,11 @@ def gene_profile(expr: DataFrame, gene_name: str, coldata: DataFrame | None = No
 def row_zscore(expr: DataFrame, gene: str = "gene", value: str = "value", out: str = "z") -> DataFrame:
     """(x - mean)/sd per gene (n-1); zero or undefined variance -> null.
 
-    A window over the gene partition: one shuffle on the gene key."""
-    w = Window.partitionBy(gene)
-    sd = F.stddev_samp(value).over(w)
-    return expr.withColumn(out, F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd))
+    Per-gene mean and sd are map-side combined aggregates joined back."""
+    from transcripta.functions.columns import with_key_stats
+    j = with_key_stats(expr, gene, F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
+    return (j.withColumn(out, F.when(F.col("_sd") > 0, (F.col(value) - F.col("_mu")) / F.col("_sd")))
+            .drop("_mu", "_sd"))
 
 
 def heatmap_tracks(expr: DataFrame, deg: DataFrame, genes: DataFrame, coldata: DataFrame | None = None,

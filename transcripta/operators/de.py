@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transcripta.functions.columns import with_key_stats
 from transcripta.functions.special import digamma, trigamma, trigamma_inverse
 from transcripta.functions.stats import (
     bh_adjust, normal_two_sided_p, t_two_sided_p, t_two_sided_p_even_df,
@@ -36,11 +37,11 @@ def de_row_filter(counts: DataFrame, min_total: float = 10, gene: str = "gene",
                   value: str = "value") -> DataFrame:
     """Keep the rows of genes whose total count is >= ``min_total``.
 
-    A window sum over the gene partition: one shuffle, no join back.
+    Per-gene totals (map-side combined) select the genes; a semi join keeps
+    their rows (broadcast: one row per gene, or AQE skew-split).
     """
-    w = Window.partitionBy(gene)
-    return (counts.withColumn("_tot", F.sum(value).over(w))
-            .filter(F.col("_tot") >= min_total).drop("_tot"))
+    keep = counts.groupBy(gene).agg(F.sum(value).alias("_tot")).filter(F.col("_tot") >= min_total)
+    return counts.join(keep.select(gene), gene, "left_semi")
 
 
 def de_lib_size(counts: DataFrame, sample: str = "sample", value: str = "value") -> DataFrame:
@@ -65,11 +66,10 @@ def de_filter_by_expr(counts: DataFrame, min_count: float = 10.0, min_total_coun
     tol = 1e-14
     j = counts.join(lib, sample)
     cpm = F.col(value) / F.col("lib_size") * 1e6
-    w = Window.partitionBy(gene)
-    return (j.withColumn("_n_ok", F.sum(F.when(cpm >= cutoff, 1).otherwise(0)).over(w))
-            .withColumn("_tot", F.sum(value).over(w))
-            .filter((F.col("_n_ok") >= h - tol) & (F.col("_tot") >= min_total_count - tol))
-            .select(*counts.columns))
+    keep = (j.groupBy(gene).agg(F.sum(F.when(cpm >= cutoff, 1).otherwise(0)).alias("_n_ok"),
+                                F.sum(value).alias("_tot"))
+            .filter((F.col("_n_ok") >= h - tol) & (F.col("_tot") >= min_total_count - tol)))
+    return counts.join(keep.select(gene), gene, "left_semi")
 
 
 # ---------------------------------------------------------------------------
@@ -83,12 +83,10 @@ def de_size_factors(counts: DataFrame, gene: str = "gene", sample: str = "sample
     Genes with a zero in any sample have an infinite log geometric mean and
     are skipped; factor = exp(median_g(ln x_gs - mean_s ln x_gs)).
     """
-    w = Window.partitionBy(gene)
     lx = F.log(F.col(value).cast("double"))
-    ratios = (counts
-              .withColumn("_nz", F.min(F.col(value)).over(w))
+    ratios = (with_key_stats(counts, gene, F.min(F.col(value)).alias("_nz"), F.avg(lx).alias("_lgm"))
               .filter(F.col("_nz") > 0)
-              .withColumn("_r", lx - F.avg(lx).over(w)))
+              .withColumn("_r", lx - F.col("_lgm")))
     return ratios.groupBy(sample).agg(F.exp(F.median("_r")).alias("size_factor"))
 
 
@@ -204,16 +202,18 @@ def de_voom(counts: DataFrame, coldata: DataFrame, norm: DataFrame | None = None
     if grp not in counts.columns:
         j = j.join(coldata.select(sample, grp), sample)
     j = j.withColumn("logcpm", F.log2((F.col(value) + 0.5) / (F.col("lib_size") + 1) * 1e6))
-    # group-mean fit per gene: fitted value = mean logcpm of the gene's group
-    wg = Window.partitionBy(gene, grp)
-    wgene = Window.partitionBy(gene)
-    j = (j.withColumn("_fit", F.avg("logcpm").over(wg))
-         .withColumn("_n", F.count(F.lit(1)).over(wgene))
-         .withColumn("_k", F.size(F.collect_set(grp).over(wgene)))
-         .withColumn("_rss", F.sum(F.pow(F.col("logcpm") - F.col("_fit"), 2)).over(wgene))
-         .withColumn("_amean", F.avg("logcpm").over(wgene)))
+    # group-mean fit per gene: fitted value = mean logcpm of the gene's group;
+    # residual SS from per-(gene, group) sums, all as map-side aggregates
+    y = F.col("logcpm")
+    gg = (j.groupBy(gene, grp).agg(F.avg(y).alias("_fit"), F.count(F.lit(1)).alias("_ng"),
+                                   F.sum(y * y).alias("_q"), F.sum(y).alias("_s")))
+    genes = (gg.groupBy(gene).agg(
+        F.sum("_ng").alias("_n"), F.count(F.lit(1)).alias("_k"),
+        F.sum(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_ng")).alias("_rss"),
+        (F.sum("_s") / F.sum("_ng")).alias("_amean")))
+    j = j.join(gg.select(gene, grp, "_fit"), [gene, grp])
     mean_log_lib = lib.agg(F.avg(F.log2(F.col("lib_size") + 1))).first()[0]
-    genes = (j.select(gene, "_amean", "_rss", "_n", "_k").distinct()
+    genes = (genes
              .withColumn("sx", F.col("_amean") + F.lit(mean_log_lib - math.log2(1e6)))
              .withColumn("sy", F.sqrt(F.sqrt(F.col("_rss") / (F.col("_n") - F.col("_k"))))))
     probs = [i / n_bins for i in range(1, n_bins)]
@@ -317,10 +317,12 @@ def de_welch_or_pooled_t(expr: DataFrame, coldata: DataFrame, case: str = "case"
 
 
 def pooled_t_even_df(expr: DataFrame, coldata: DataFrame, df: int, **kw) -> DataFrame:
-    """Pooled t where the caller knows every gene has ``df`` (even): p by the
-    closed form, fully inside codegen."""
+    """Pooled t for a complete design whose residual df is ``df`` (even): p
+    by the closed form, fully inside whole-stage codegen (no Python).  A gene
+    with missing cells (another df) gets a null p rather than a wrong one."""
     out = de_welch_or_pooled_t(expr, coldata, **kw).drop("PValue")
-    return out.withColumn("PValue", t_two_sided_p_even_df(F.col("t"), df))
+    return out.withColumn("PValue", F.when(F.col("df") == float(df),
+                                           t_two_sided_p_even_df(F.col("t"), df)))
 
 
 def de_moderated_t(fit: DataFrame, gene: str = "gene") -> DataFrame:

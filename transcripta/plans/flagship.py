@@ -15,7 +15,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     coldata = fx.coldata(spark, sf_dir)
     lib = de.de_lib_size(counts)
     logcpm = de.de_cpm(counts, lib=lib, log=True).select("gene", "sample", F.col("cpm").alias("value"))
-    fit = de.de_welch_or_pooled_t(logcpm, coldata)
+    # complete design: residual df = samples - 2 (a count over the sample table)
+    n = coldata.filter(F.col("grp").isin("case", "control")).count()
+    fit = (de.pooled_t_even_df(logcpm, coldata, n - 2) if n >= 4 and (n - 2) % 2 == 0
+           else de.de_welch_or_pooled_t(logcpm, coldata))
     res = de.de_bh_adjust(fit)
     res = res.select(F.col("gene").alias("GeneSymbol"), "logFC", F.col("AveExpr").alias("logCPM"),
                      "t", "PValue", "FDR")
