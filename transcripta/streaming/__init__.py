@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analytics this library rebuilds have no stream semantics (no event
+time, watermark, window or state); the nearest thing, picking the newest
+analysis run, is a batch aggregate over a listing (``sources.catalog``).
+Every operator is a lazy DataFrame transformation, so it can be applied
+inside ``foreachBatch`` of a Structured Streaming query over new run
+tables without change.
+"""
