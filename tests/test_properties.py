@@ -359,3 +359,13 @@ def test_gene_blocks_respect_cap(spark):
     e = planted(spark)
     blocks = nw.gene_blocks(e, max_block_size=8).groupBy("block").count().collect()
     assert sum(r["count"] for r in blocks) == 35 and max(r["count"] for r in blocks) <= 8
+
+
+def test_block_kernels_with_empty_hash_blocks(spark):
+    rows = [(f"g{i}", f"s{j}", float((i * 7 + j * 3) % 5 + i)) for i in range(5) for j in range(6)]
+    df = spark.createDataFrame(rows, "gene string, sample string, value double")
+    assert pw.pairwise(df, "gene", "sample", "value", block_size=1, min_blocks=1).count() == 10
+    assert pw.connectivity_by_power(df, "gene", "sample", "value", [1, 2], block_size=1, min_blocks=1).count() == 10
+    a = df.filter(F.col("sample") < "s3")
+    tau = pw.kendall_pairs(a, df.withColumnRenamed("sample", "tissue"), block_size=1).count()
+    assert tau == 3 * 6

@@ -68,9 +68,10 @@ def immune_deconvolve(expr: DataFrame, signature: DataFrame, tumor: bool = False
 
     S^T S: signature genes present in the expression, packed per gene and
     summed as per-partition outer products (K^2 rows per partition).
-    S^T x: one aggregation per (sample, cell type).  The K x K matrix (K =
-    cell types, a property of the signature) is shipped to the per-sample
-    solve.  Fractions are normalised to sum 1; with ``tumor`` they are kept
+    S^T x: accumulated per sample from the sample's rows, each carrying its
+    gene's weight array (no gene x sample x cell-type rows).  The K x K
+    matrix (K = cell types, a property of the signature) is shipped to the
+    per-sample solve.  Fractions are normalised to sum 1; with ``tumor`` they are kept
     on the signature scale (capped at a total of 1) and the remainder is
     reported as 'uncharacterized'.
     """
@@ -80,9 +81,11 @@ def immune_deconvolve(expr: DataFrame, signature: DataFrame, tumor: bool = False
     genes = expr.select(gene).distinct()
     sig = signature.join(genes, gene, "left_semi")
     tix = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "cell_type string, ci int")
-    packed = (sig.join(tix, "cell_type").groupBy(gene)
-              .agg(F.sort_array(F.collect_list(F.struct("ci", F.col("weight").cast("double").alias("weight")))).alias("s"))
-              .select(F.col("s.ci").alias("ci"), F.col("s.weight").alias("w")))
+    packed_sig = (sig.join(tix, "cell_type").groupBy(gene)
+                  .agg(F.sort_array(F.collect_list(F.struct("ci", F.col("weight").cast("double").alias("weight"))))
+                       .alias("s"))
+                  .select(gene, F.col("s.ci").alias("ci"), F.col("s.weight").alias("w")))
+    packed = packed_sig.select("ci", "w")
 
     def outer(it):
         acc = np.zeros((kk, kk))
@@ -99,26 +102,28 @@ def immune_deconvolve(expr: DataFrame, signature: DataFrame, tumor: bool = False
     sts = np.zeros((kk, kk))
     for r in sts_rows:
         sts[int(r["i"]), int(r["j"])] = r["v"]
-    stx = (expr.select(gene, sample, F.col(value).cast("double").alias("x"))
-           .join(sig.select(gene, "cell_type", F.col("weight").cast("double").alias("w")), gene)
-           .groupBy(sample, "cell_type").agg(F.sum(F.col("w") * F.col("x")).alias("stx")))
-    stx = stx.join(tix, "cell_type")
+    # each expression row picks up its gene's K weights as one array (a
+    # lookup join, one row per signature gene); S^T x is summed inside the
+    # per-sample group, whose size is bounded by the number of genes.
+    rows = (expr.select(gene, sample, F.col(value).cast("double").alias("x"))
+            .join(packed_sig, gene).select(sample, "x", "ci", "w"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         c = np.zeros(kk)
-        c[pdf["ci"].to_numpy(dtype=np.int64)] = pdf["stx"].to_numpy(dtype=float)
+        for x, ci, w in zip(pdf["x"], pdf["ci"], pdf["w"]):
+            c[np.asarray(ci, dtype=np.int64)] += x * np.asarray(w, dtype=float)
         f = nnls(sts, c)
         tot = f.sum()
         if tumor:
             fr = f / tot if tot > 1 else f
-            rows = list(zip(types + ["uncharacterized"], list(fr) + [max(0.0, 1.0 - fr.sum())]))
+            out = list(zip(types + ["uncharacterized"], list(fr) + [max(0.0, 1.0 - fr.sum())]))
         else:
             fr = f / tot if tot > 0 else f
-            rows = list(zip(types, fr))
-        return pd.DataFrame({"sample": pdf[sample].iloc[0], "cell_type": [r[0] for r in rows],
-                             "fraction": [float(r[1]) for r in rows]})
+            out = list(zip(types, fr))
+        return pd.DataFrame({"sample": pdf[sample].iloc[0], "cell_type": [r[0] for r in out],
+                             "fraction": [float(r[1]) for r in out]})
 
-    return stx.groupBy(sample).applyInPandas(solve, "sample string, cell_type string, fraction double") \
+    return rows.groupBy(sample).applyInPandas(solve, "sample string, cell_type string, fraction double") \
         .withColumnRenamed("sample", sample)
 
 
