@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from transcripta.functions.columns import nan_to_null
 from transcripta.operators.pairwise import kendall_pairs
+from transcripta.session import cut_lineage
 
 
 def panel_gene_max(panel: DataFrame, gene: str = "gene", tissue: str = "tissue",
@@ -40,7 +41,9 @@ def tissue_typing(panel: DataFrame, profiles: DataFrame, include: DataFrame | No
         complete = complete.join(include.select(F.col(include.columns[0]).alias(gene)), gene, "left_semi")
     if exclude is not None:
         complete = complete.join(exclude.select(F.col(exclude.columns[0]).alias(gene)), gene, "left_anti")
-    cols = cols.join(complete, gene, "left_semi")
+    # reused by the gene index, both packs and the block sizing: written
+    # once to the checkpoint folder instead of being re-derived each time
+    cols = cut_lineage(cols.join(complete, gene, "left_semi"), "typing_cols")
     samples = (cols.join(pr.select(F.col("sample").alias("column")).distinct(), "column", "left_semi")
                .withColumnRenamed("column", "sample"))
     tau = kendall_pairs(samples, cols, key=gene, a_col="sample", b_col="column", value=value)
