@@ -215,3 +215,15 @@ def test_two_samples_special_genes_duplicate(spark):
     g2 = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "Gene string, max_TPM double")
     sp = [r["Gene"] for r in cmp.cmp_special_genes(g1, g2).collect()]
     assert sorted(sp) == ["a", "a", "b"]
+
+
+def test_latest_run_is_zone_independent(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        r = catalog.src_latest_run(_names(spark, ["coldata_a_20250101t010203z", "coldata_b_20251399t010203z"])).collect()
+        got = {x["name"]: x["time"] for x in r}
+        assert got["coldata_a_20250101t010203z"].isoformat() == "2025-01-01T01:02:03"
+        assert got["coldata_b_20251399t010203z"] is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

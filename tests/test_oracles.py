@@ -13,7 +13,7 @@ QUERIES = queries()
 
 # Spark type -> DuckDB type the oracle must produce
 TYPE_MAP = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER",
-            "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+            "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -194,10 +194,12 @@ def de_voom(counts: DataFrame, coldata: DataFrame, norm: DataFrame | None = None
     piecewise-linear interpolation between knots, constant outside.
     Weight = trend(fitted log count)^-4.
     """
+    from transcripta.session import cut_lineage
     lib = de_lib_size(counts, sample, value)
     if norm is not None:
         lib = lib.join(norm, sample).withColumn(
             "lib_size", F.col("lib_size") * F.col("norm_factor")).drop("norm_factor")
+    lib = cut_lineage(lib, "lib_sizes")  # one row per sample, read three times
     j = counts.join(lib, sample)
     if grp not in counts.columns:
         j = j.join(coldata.select(sample, grp), sample)
@@ -213,9 +215,10 @@ def de_voom(counts: DataFrame, coldata: DataFrame, norm: DataFrame | None = None
         (F.sum("_s") / F.sum("_ng")).alias("_amean")))
     j = j.join(gg.select(gene, grp, "_fit"), [gene, grp])
     mean_log_lib = lib.agg(F.avg(F.log2(F.col("lib_size") + 1))).first()[0]
-    genes = (genes
-             .withColumn("sx", F.col("_amean") + F.lit(mean_log_lib - math.log2(1e6)))
-             .withColumn("sy", F.sqrt(F.sqrt(F.col("_rss") / (F.col("_n") - F.col("_k"))))))
+    genes = cut_lineage(genes
+                        .withColumn("sx", F.col("_amean") + F.lit(mean_log_lib - math.log2(1e6)))
+                        .withColumn("sy", F.sqrt(F.sqrt(F.col("_rss") / (F.col("_n") - F.col("_k")))))
+                        .select(gene, "sx", "sy"), "voom_gene_stats")  # one row per gene
     probs = [i / n_bins for i in range(1, n_bins)]
     edges = genes.agg(F.percentile_approx("sx", probs, 10000)).first()[0]
     bin_col = F.lit(len(edges))

@@ -164,7 +164,11 @@ def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, s
     results do not depend on partitioning.  The ranked-list weights (one
     double per gene, size checked against ``max_genes``) are broadcast.
     """
+    from transcripta.session import cut_lineage
     spark = ranked.sparkSession
+    # one row per gene / per term, reused three times: written once
+    ranked = cut_lineage(ranked.select("gene", "metric", "pos"), "ranked_list")
+    scores = cut_lineage(scores.select("term", "setSize", "ES"), "observed_scores")
     n = ranked.count()
     if n > max_genes:
         raise ValueError(f"ranked list of {n} genes exceeds the broadcast bound {max_genes}")

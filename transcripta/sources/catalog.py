@@ -63,8 +63,12 @@ def src_latest_run(listing: DataFrame, name: str = "name", per_role: bool = Fals
     (or per role with ``per_role``).  The caller keeps the latest rows, or
     all rows when no name carries a time (see ``latest_or_all``).
     """
+    ts = F.col("time_str")
+    # zone-free timestamp; the guard keeps invalid dates null under ANSI
+    parsed = F.when(F.try_to_timestamp(ts, F.lit(TIME_FORMAT)).isNotNull(),
+                    F.to_timestamp_ntz(ts, F.lit(TIME_FORMAT)))
     df = (listing.withColumn("time_str", time_token(F.col(name)))
-          .withColumn("time", F.try_to_timestamp(F.col("time_str"), F.lit(TIME_FORMAT))))
+          .withColumn("time", parsed))
     if per_role:
         df = df.withColumn("role", src_role(F.col(name)))
         mx = df.groupBy("role").agg(F.max("time").alias("_mx"))
