@@ -224,6 +224,7 @@ def test_latest_run_is_zone_independent(spark):
         r = catalog.src_latest_run(_names(spark, ["coldata_a_20250101t010203z", "coldata_b_20251399t010203z"])).collect()
         got = {x["name"]: x["time"] for x in r}
         assert got["coldata_a_20250101t010203z"].isoformat() == "2025-01-01T01:02:03"
+        assert [x["name"] for x in r if x["is_latest"]] == ["coldata_a_20250101t010203z"]
         assert got["coldata_b_20251399t010203z"] is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)

@@ -75,10 +75,13 @@ def src_latest_run(listing: DataFrame, name: str = "name", per_role: bool = Fals
         df = df.join(mx, "role", "left")  # one row per role: AQE broadcasts it
         return (df.withColumn("is_latest", F.coalesce(F.col("time") == F.col("_mx"), F.lit(False)))
                 .drop("_mx"))
-    latest = df.agg(F.max("time")).first()[0]
+    # the newest time travels as text: a Python datetime literal would come
+    # back as a zone-aware timestamp and shift under a non-UTC session
+    latest = df.agg(F.max("time").cast("string")).first()[0]
     if latest is None:
         return df.withColumn("is_latest", F.lit(False))
-    return df.withColumn("is_latest", F.coalesce(F.col("time") == F.lit(latest), F.lit(False)))
+    return df.withColumn("is_latest", F.coalesce(F.col("time") == F.lit(latest).cast("timestamp_ntz"),
+                                                  F.lit(False)))
 
 
 def latest_or_all(flagged: DataFrame) -> DataFrame:
