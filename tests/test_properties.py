@@ -369,3 +369,20 @@ def test_block_kernels_with_empty_hash_blocks(spark):
     a = df.filter(F.col("sample") < "s3")
     tau = pw.kendall_pairs(a, df.withColumnRenamed("sample", "tissue"), block_size=1).count()
     assert tau == 3 * 6
+
+
+def test_distributed_bh_and_rank_match_window(spark):
+    from transcripta.functions.ranking import global_row_number
+    rng = np.random.default_rng(23)
+    p = np.round(rng.uniform(size=3000), 4)
+    rows = [(f"g{i:05d}", float(v) if i % 97 else None) for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "gene string, p double")
+    a = {r["gene"]: r["FDR"] for r in bh_adjust(df, "p", "gene").collect()}
+    b = {r["gene"]: r["FDR"] for r in bh_adjust(df, "p", "gene", distributed=True).collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        assert (a[g] is None and b[g] is None) or math.isclose(a[g], b[g], rel_tol=1e-12)
+    numbered, rp = global_row_number(df.filter(F.col("p").isNotNull()), ["p", "gene"], "rn", n_parts=7)
+    got = sorted((r["p"], r["gene"], r["rn"]) for r in numbered.collect())
+    assert [x[2] for x in got] == list(range(1, len(got) + 1))
+    rp.unpersist()

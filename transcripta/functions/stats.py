@@ -165,7 +165,7 @@ def log_choose(n: Column, k: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def bh_adjust(df: DataFrame, p_col: str, order_col: str, out_col: str = "FDR",
-              partition_cols: list[str] | tuple = ()) -> DataFrame:
+              partition_cols: list[str] | tuple = (), distributed: bool = False) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values.
 
     ``row_number`` over (p, order_col) -- not ``rank`` -- then the running
@@ -175,7 +175,13 @@ def bh_adjust(df: DataFrame, p_col: str, order_col: str, out_col: str = "FDR",
     Scale: the windows are partitioned by ``partition_cols`` (one contrast,
     panel or ontology per partition); m is the number of genes or terms of
     one test family, which is bounded by the annotation, not by the data.
+    A single very large family (``distributed=True``, no partition columns)
+    is adjusted with range partitions and per-partition offsets instead of
+    a one-task window (``functions.ranking.bh_distributed``).
     """
+    if distributed and not partition_cols:
+        from transcripta.functions.ranking import bh_distributed
+        return bh_distributed(df, p_col, order_col, out_col)
     parts = [F.col(c) for c in partition_cols]
     tested = df.filter(F.col(p_col).isNotNull())
     w_rank = Window.partitionBy(*parts).orderBy(F.col(p_col), F.col(order_col))
