@@ -386,3 +386,13 @@ def test_distributed_bh_and_rank_match_window(spark):
     got = sorted((r["p"], r["gene"], r["rn"]) for r in numbered.collect())
     assert [x[2] for x in got] == list(range(1, len(got) + 1))
     rp.unpersist()
+
+
+def test_distributed_ranked_list_matches_window(spark):
+    from tests.conftest import SF_SMALL
+    from transcripta.plans import fixtures as fx
+    d, m = fx.deg(spark, SF_SMALL), fx.id_map(spark, SF_SMALL)
+    a = sorted(tuple(r) for r in en.gsea_ranked_list(d, m, "hsa", "down").collect())
+    b = sorted(tuple(r) for r in en.gsea_ranked_list(d, m, "hsa", "down", distributed=True)
+               .select("gene", "metric", "pos", "N").collect())
+    assert a == b

@@ -89,16 +89,23 @@ def top_terms(res: DataFrame, n: int = 10, panel_keys: tuple = ("direction", "on
 # ---------------------------------------------------------------------------
 
 def gsea_ranked_list(deg: DataFrame, id_map: DataFrame, organism: str = "hsa", direction: str = "up",
-                     gene: str = "GeneSymbol", metric: str = "logFC") -> DataFrame:
+                     gene: str = "GeneSymbol", metric: str = "logFC", distributed: bool = False) -> DataFrame:
     """Ranked list ``(gene, metric, pos, N)``: DEG joined to ids, first row
     per id (by symbol), metric = logFC (up) or -logFC (down), positions by
-    metric desc then id.  The position window holds one row per gene."""
+    metric desc then id.  The position window holds one row per gene;
+    ``distributed`` numbers by range partitions instead."""
     m = (id_map.filter(F.col("organism") == organism)
          .select(F.col("SYMBOL").alias(gene), F.col("ENTREZID").alias("gene")).distinct())
     j = deg.select(gene, metric).join(m, gene).filter(F.col("gene").isNotNull())
     first = j.groupBy("gene").agg(F.min_by(F.col(metric), F.col(gene)).alias("m"))
     sign = 1.0 if direction == "up" else -1.0
     ranked = first.select("gene", (F.col("m") * sign).alias("metric")).filter(F.col("metric").isNotNull())
+    if distributed:
+        from transcripta.functions.ranking import global_row_number
+        n = ranked.count()
+        numbered, _ = global_row_number(ranked, [F.col("metric").desc(), F.col("gene")], "pos")
+        return (numbered.withColumn("pos", F.col("pos").cast("int"))
+                .withColumn("N", F.lit(n).cast("long")))
     w = Window.orderBy(F.col("metric").desc(), F.col("gene"))
     return (ranked.withColumn("pos", F.row_number().over(w))
             .withColumn("N", F.count(F.lit(1)).over(Window.partitionBy())))
