@@ -75,7 +75,8 @@ def q_src_expr_query(spark, sf_dir):
     return catalog.src_expr_query(fx.long_expr(spark, sf_dir), " BC001, BC002,BC005", ["A", "R"], "max_TPM")
 
 
-@register("src_read_gtf")
+@register("src_read_gtf", """
+SELECT *, CASE WHEN (start // 10) % 2 = 0 THEN 'tissue' ELSE 'ctc' END AS "group" FROM gtf""", ("gtf",))
 def q_src_read_gtf(spark, sf_dir):
     """Write the derived GTF as two groups of text files, read them back."""
     g = fx.gtf(spark, sf_dir)
@@ -84,7 +85,8 @@ def q_src_read_gtf(spark, sf_dir):
     return files.src_read_gtf(spark, {"tissue": even, "ctc": odd})
 
 
-@register("src_read_gct")
+@register("src_read_gct", "SELECT gene, tissue, value FROM panel WHERE value IS NOT NULL", ("panel",),
+          doubles=("value",))
 def q_src_read_gct(spark, sf_dir):
     """Write the derived tissue panel as GCT text, read it back long."""
     p = fx.panel(spark, sf_dir)
