@@ -2,13 +2,11 @@
 
 Library code never picks a machine-local folder on a cluster: the checkpoint
 directory is read from ``spark.checkpoint.dir``.  Only local sessions (tests,
-bench, smoke runs) get a private scratch folder when the setting is absent.
+bench, smoke runs) fall back to a folder below their warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,10 +33,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``spark.checkpoint.dir`` the SparkContext checkpoint directory.
+    """The checkpoint folder, set on the SparkContext if it is not yet.
 
-    On a cluster the setting must name a shared folder.  When it is unset
-    and the master is local, a fresh scratch folder is created (tests only).
+    It is read from ``spark.checkpoint.dir`` and must be shared by all nodes.
+    When it is unset, a local session gets a folder below its warehouse (which
+    the user chose); any other session is refused.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -46,14 +45,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; iterative operators need a "
                 "shared checkpoint folder on a cluster")
-        path = tempfile.mkdtemp(prefix="transcripta-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(path)
-    return path
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Functions that run in workers are pickled by name, so the workers must be
+    able to import them; a driver-only ``sys.path`` entry is not enough.
+    """
+    import os
+    import pathlib
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, "_transcripta_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    if not os.path.isdir(root):  # already imported from a shipped archive
+        return
+    path = os.path.join(sc._temp_dir, "transcripta_pkg.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(path)
+    sc._transcripta_shipped = True
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
