@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from transcripta.llm import op5_quality_rules as op5
+from transcripta.llm import op9_fair_queue_mix as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5.op5_quality_rules,
+    "op9_fair_queue_mix": op9.op9_fair_queue_mix,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": op5.ORACLE,
+    "op9_fair_queue_mix": op9.ORACLE,
 }
