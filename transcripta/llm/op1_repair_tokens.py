@@ -24,6 +24,8 @@ tell which symbols it touches, and only those are expanded.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +40,8 @@ SHARD_TOKENS = 1 << 20
 MIN_PAIRS = 256
 END_ID = 2
 #: Words whose ids a worker remembers at a time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
+TEXTS_AT_ONCE = 128
 
 SHARD_SCHEMA = ("part int, shard int, docs long, tokens long, base long, doc_ids array<long>, rules binary, "
                 "lengths binary, body binary, starts binary, token_starts binary")
@@ -111,18 +114,33 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_pairs: int = MI
     return flat, known.astype("<u4"), body.astype("<u4"), starts.astype("<u8")
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that the symbols stand for."""
-    out = symbols.astype(np.int64)
-    while (big := out >= base).any():
-        width = 1 + big.astype(np.int64)
-        to = np.cumsum(width) - width
-        grown = np.empty(int(width.sum()), np.int64)
-        grown[to[~big]] = out[~big]
-        pair = rules[out[big] - base]
-        grown[to[big]], grown[to[big] + 1] = pair[:, 0], pair[:, 1]
-        out = grown
-    return out.astype(np.uint32)
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids that the symbols stand for.
+
+    The rules are written out once, shorter parts first; the ids of all symbols
+    are then gathered in one step.
+    """
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    size = lengths.astype(np.int64)
+    at = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint32)
+    for r, (a, b) in enumerate(rules.tolist()):  # a rule uses earlier rules only
+        to = at[r]
+        for x in (a, b):
+            n = 1 if x < base else size[x - base]
+            flat[to:to + n] = x if x < base else flat[at[x - base]:at[x - base] + n]
+            to += n
+    rule = np.maximum(symbols.astype(np.int64) - base, -1)
+    big = rule >= 0
+    n = np.where(big, size[rule], 1)
+    end = np.cumsum(n)
+    out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
+    out[(end - n)[~big]] = symbols[~big]
+    n, to, rule = n[big], (end - n)[big], rule[big]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(to, n) + step] = flat[np.repeat(at[rule], n) + step]
+    return out
 
 
 def token_range(row, first: int, n: int) -> np.ndarray:
@@ -135,67 +153,80 @@ def token_range(row, first: int, n: int) -> np.ndarray:
     end = np.cumsum(size)
     lo, hi = np.searchsorted(end, first, "right"), np.searchsorted(end, first + n, "left") + 1
     skip = first - (end[lo - 1] if lo else 0)
-    return expand(body[lo:hi], rules, base)[skip:skip + n]
+    return expand(body[lo:hi], rules, lengths, base)[skip:skip + n]
 
 
 # -- encoding ----------------------------------------------------------------
 
 class WordEncoder:
-    """Encodes texts by a tokenizer that never looks across white space, word by word.
+    """Encodes texts with a tokenizer that never looks across white space.
 
-    Words seen before come from a bounded memory; the rest go to the library
-    in one batch.
+    Words are remembered in a bounded memory.  A new word of letters with a
+    tail of ASCII punctuation is two pre-tokens of the vocabulary, so each is
+    looked up on its own (``units``); any other word is encoded whole.  What is
+    not known goes to the library, many units in one text: the ids of a unit
+    end with an end-of-word id.
     """
 
+    #: Letters, then ASCII punctuation (fixed pattern).
+    SHAPE = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
         self.known: dict[bytes, bytes] = {}
-        # a special token that takes no part in white space, normalising or neighbours
-        plain = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()
-                 if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized) and t.content.startswith("<|")]
-        self.apart_id, self.apart = max(plain, default=(-1, ""))
-
-    @property
-    def symbols(self) -> int:
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian uint32."""
-        words = text.encode("utf-8", "surrogatepass").split()  # at U+0020 and U+0009 to U+000D
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list(set(words))
+        self.units: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.symbols = max(vocab.values()) + 1
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "</w>"
+        self.is_end = np.zeros(self.symbols, bool)
+        self.is_end[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32."""
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at U+0020 and U+0009 to U+000D
+        new = set().union(*split) - self.known.keys()
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = set().union(*split)
         self._learn(new)
-        return b"".join([known[w] for w in words])
-
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words many at a time, kept apart by a special token."""
-        apart = self.apart.encode()
-        alone = [w for w in words if b"<|" in w]  # may hold a special token's own string
-        many = [w for w in words if b"<|" not in w] if self.apart else []
-        for w in alone if self.apart else words:
-            self.known[w] = np.array(self._ids(w.decode("utf-8", "replace")), "<u4").tobytes()
-        for i in range(0, len(many), 256):
-            part = many[i:i + 256]
-            ids = np.array(self._ids(apart.join(part).decode("utf-8", "replace")), "<u4")
-            ends = np.append(np.flatnonzero(ids == self.apart_id), len(ids))
+        known = self.known
+        return [b"".join([known[w] for w in words]) for words in split]
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.units) > self.limit // 2:
+            self.units.clear()
+        units, shape, parts = self.units, self.SHAPE.fullmatch, []
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            m = shape(s)
+            if m is None:
+                self.known[w] = self._ids(s).tobytes()
+            else:  # ASCII capitals are lowered as the vocabulary's normaliser would
+                a, b = m.groups()
+                parts.append((w, a.lower() if a.isascii() else a, b))
+        todo = {a for _, a, _ in parts}
+        todo.update(b for _, _, b in parts)
+        todo.discard("")
+        self._learn_units(list(todo - units.keys()))
+        for w, a, b in parts:
+            self.known[w] = units[a] + units[b] if b else units[a]
+
+    def _learn_units(self, units: list[str]) -> None:
+        for i in range(0, len(units), 256):
+            part = units[i:i + 256]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part):  # a letter that normalising takes apart: one at a time
+                self.units.update((u, self._ids(u).tobytes()) for u in part)
+                continue
             raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist()):
-                self.known[w] = raw[4 * at:4 * end]
-                at = end + 1
+            for u, end in zip(part, (4 * ends).tolist()):
+                self.units[u], at = raw[at:end], end
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -226,16 +257,17 @@ def _shards(batches: Iterator, path: str, end_id: int, shard_tokens: int, min_pa
             "starts": starts.tobytes(), "token_starts": token_starts.tobytes()}])
 
     for pdf in batches:
-        for p, doc, text in zip(pdf["part"], pdf["doc_id"].astype(object), pdf["text"]):
-            part = int(p)
-            raw = enc.encode(text) + end
-            parts.append(raw)
-            sizes.append(len(raw) // 4)
-            ids.append(None if doc is None or doc != doc else int(doc))
-            held += sizes[-1]
-            if held >= shard_tokens:
-                yield pack()
-                shard, held, parts, sizes, ids = shard + 1, 0, [], [], []
+        for i in range(0, len(pdf), TEXTS_AT_ONCE):
+            some = pdf.iloc[i:i + TEXTS_AT_ONCE]
+            for p, doc, raw in zip(some["part"], some["doc_id"].astype(object), enc.encode(some["text"].tolist())):
+                part = int(p)
+                parts.append(raw + end)
+                sizes.append(len(raw) // 4 + 1)
+                ids.append(None if doc is None or doc != doc else int(doc))
+                held += sizes[-1]
+                if held >= shard_tokens:
+                    yield pack()
+                    shard, held, parts, sizes, ids = shard + 1, 0, [], [], []
     if ids:
         yield pack()
 
@@ -273,7 +305,7 @@ def _read(batches: Iterator) -> Iterator:
     for pdf in batches:
         for row in pdf.to_dict("records"):
             ids = expand(np.frombuffer(row["body"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2),
-                         int(row["base"])).astype("<u4")
+                         np.frombuffer(row["lengths"], "<u4"), int(row["base"])).astype("<u4")
             at = np.frombuffer(row["token_starts"], "<u8").astype(np.int64)
             raw = memoryview(ids.tobytes())
             yield pd.DataFrame({
@@ -285,7 +317,7 @@ def _read(batches: Iterator) -> Iterator:
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32`` (and ``part, shard``)."""
-    docs = shards.select("part", "shard", "base", "doc_ids", "rules", "body", "token_starts").mapInPandas(
+    docs = shards.select("part", "shard", "base", "doc_ids", "rules", "lengths", "body", "token_starts").mapInPandas(
         _read, "part int, shard int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return (docs.join(shard_starts(shards), ["part", "shard"])
             .select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "part", "shard"))
