@@ -186,7 +186,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at U+0020 and U+0009 to U+000D
-        new = set().union(*split) - self.known.keys()
+        new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = set().union(*split)
