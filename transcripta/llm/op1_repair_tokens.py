@@ -41,8 +41,6 @@ MIN_PAIRS = 256
 END_ID = 2
 #: Words whose ids a worker remembers at a time.
 CACHE_WORDS = 800_000
-TEXTS_AT_ONCE = 128
-
 SHARD_SCHEMA = ("part int, shard int, docs long, tokens long, base long, doc_ids array<long>, rules binary, "
                 "lengths binary, body binary, starts binary, token_starts binary")
 
@@ -183,16 +181,16 @@ class WordEncoder:
         self.is_end = np.zeros(self.symbols, bool)
         self.is_end[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at U+0020 and U+0009 to U+000D
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian uint32."""
+        words, known = text.encode("utf-8", "surrogatepass").split(), self.known  # at U+0020 and U+0009 to U+000D
+        new = {w for w in words if w not in known}
+        if new:
+            if len(known) + len(new) > self.limit:
+                known.clear()
+                new = set(words)
+            self._learn(new)
+        return b"".join([known[w] for w in words])
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.units) > self.limit // 2:
@@ -208,8 +206,7 @@ class WordEncoder:
                 parts.append((w, a.lower() if a.isascii() else a, b))
         todo = {a for _, a, _ in parts}
         todo.update(b for _, _, b in parts)
-        todo.discard("")
-        self._learn_units(list(todo - units.keys()))
+        self._learn_units([u for u in todo if u and u not in units])
         for w, a, b in parts:
             self.known[w] = units[a] + units[b] if b else units[a]
 
@@ -257,17 +254,16 @@ def _shards(batches: Iterator, path: str, end_id: int, shard_tokens: int, min_pa
             "starts": starts.tobytes(), "token_starts": token_starts.tobytes()}])
 
     for pdf in batches:
-        for i in range(0, len(pdf), TEXTS_AT_ONCE):
-            some = pdf.iloc[i:i + TEXTS_AT_ONCE]
-            for p, doc, raw in zip(some["part"], some["doc_id"].astype(object), enc.encode(some["text"].tolist())):
-                part = int(p)
-                parts.append(raw + end)
-                sizes.append(len(raw) // 4 + 1)
-                ids.append(None if doc is None or doc != doc else int(doc))
-                held += sizes[-1]
-                if held >= shard_tokens:
-                    yield pack()
-                    shard, held, parts, sizes, ids = shard + 1, 0, [], [], []
+        for p, doc, text in zip(pdf["part"], pdf["doc_id"].astype(object), pdf["text"]):
+            part = int(p)
+            raw = enc.encode(text)
+            parts.append(raw + end)
+            sizes.append(len(raw) // 4 + 1)
+            ids.append(None if doc is None or doc != doc else int(doc))
+            held += sizes[-1]
+            if held >= shard_tokens:
+                yield pack()
+                shard, held, parts, sizes, ids = shard + 1, 0, [], [], []
     if ids:
         yield pack()
 
