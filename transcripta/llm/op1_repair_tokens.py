@@ -184,13 +184,15 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32."""
         words, known = text.encode("utf-8", "surrogatepass").split(), self.known  # at U+0020 and U+0009 to U+000D
-        new = {w for w in words if w not in known}
-        if new:
+        ids = [known.get(w) for w in words]
+        if None in ids:
+            new = {w for w, i in zip(words, ids) if i is None}
             if len(known) + len(new) > self.limit:
                 known.clear()
                 new = set(words)
             self._learn(new)
-        return b"".join([known[w] for w in words])
+            ids = [known[w] for w in words]
+        return b"".join(ids)
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.units) > self.limit // 2:
