@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from transcripta.llm import op1_repair_tokens as op1
+from transcripta.llm import op2_dart_minhash as op2
 from transcripta.llm import op3_bounded_ring as op3
+from transcripta.llm import op4_line_dedup as op4
 from transcripta.llm import op5_quality_rules as op5
 from transcripta.llm import op9_fair_queue_mix as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repair_tokens": op1.op1_repair_tokens,
+    "op2_dart_minhash": op2.op2_dart_minhash,
     "op3_bounded_ring": op3.op3_bounded_ring,
+    "op4_line_dedup": op4.op4_line_dedup,
     "op5_quality_rules": op5.op5_quality_rules,
     "op9_fair_queue_mix": op9.op9_fair_queue_mix,
 }
