@@ -11,6 +11,7 @@ from transcripta.llm import op2_dart_minhash as op2
 from transcripta.llm import op3_bounded_ring as op3
 from transcripta.llm import op4_line_dedup as op4
 from transcripta.llm import op5_quality_rules as op5
+from transcripta.llm import op6_template_removal as op6
 from transcripta.llm import op9_fair_queue_mix as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bounded_ring": op3.op3_bounded_ring,
     "op4_line_dedup": op4.op4_line_dedup,
     "op5_quality_rules": op5.op5_quality_rules,
+    "op6_template_removal": op6.op6_template_removal,
     "op9_fair_queue_mix": op9.op9_fair_queue_mix,
 }
 ORACLES: dict[str, str] = {
