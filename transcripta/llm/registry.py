@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from transcripta.llm import op1_repair_tokens as op1
+from transcripta.llm import op10_bit_sliced_topk as op10
 from transcripta.llm import op2_dart_minhash as op2
 from transcripta.llm import op3_bounded_ring as op3
 from transcripta.llm import op4_line_dedup as op4
 from transcripta.llm import op5_quality_rules as op5
 from transcripta.llm import op6_template_removal as op6
+from transcripta.llm import op8_licence_rules as op8
 from transcripta.llm import op9_fair_queue_mix as op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,9 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4.op4_line_dedup,
     "op5_quality_rules": op5.op5_quality_rules,
     "op6_template_removal": op6.op6_template_removal,
+    "op8_licence_rules": op8.op8_licence_rules,
     "op9_fair_queue_mix": op9.op9_fair_queue_mix,
+    "op10_bit_sliced_topk": op10.op10_bit_sliced_topk,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": op5.ORACLE,
+    "op8_licence_rules": op8.ORACLE,
     "op9_fair_queue_mix": op9.ORACLE,
+    "op10_bit_sliced_topk": op10.ORACLE,
 }
