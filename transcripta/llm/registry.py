@@ -13,6 +13,7 @@ from transcripta.llm import op3_bounded_ring as op3
 from transcripta.llm import op4_line_dedup as op4
 from transcripta.llm import op5_quality_rules as op5
 from transcripta.llm import op6_template_removal as op6
+from transcripta.llm import op7_sentencepiece_fst as op7
 from transcripta.llm import op8_licence_rules as op8
 from transcripta.llm import op9_fair_queue_mix as op9
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4.op4_line_dedup,
     "op5_quality_rules": op5.op5_quality_rules,
     "op6_template_removal": op6.op6_template_removal,
+    "op7_sentencepiece_fst": op7.op7_sentencepiece_fst,
     "op8_licence_rules": op8.op8_licence_rules,
     "op9_fair_queue_mix": op9.op9_fair_queue_mix,
     "op10_bit_sliced_topk": op10.op10_bit_sliced_topk,
