@@ -143,7 +143,9 @@ def quality_rules(docs: DataFrame, rules=BASE_RULES + RATIO_RULES, text: str = "
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows that pass all rules, with the columns they came with."""
-    return quality_rules(docs, prefix="__q_").filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = quality_rules(docs, prefix="__q_").withColumn("__q_row", F.monotonically_increasing_id())
+    # the row number holds the filter above the projection; below it, every lambda would build the arrays anew
+    return judged.filter(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
