@@ -56,13 +56,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def linked(index: DataFrame, probes: DataFrame | None, texts_of: Callable[[DataFrame], DataFrame],
-           similar: Callable, name: str = "links") -> DataFrame:
+           similar: Callable, sketch: Callable, maybe: Callable, name: str = "links") -> DataFrame:
     """``id, comp`` for every id that has a link.
 
     ``index`` and ``probes``: ``key long, id long``.  ``texts_of`` takes a frame
     of distinct ``id`` and gives ``id, text``; ``similar`` is a ``mapInPandas``
     function from ``a, b, text_a, text_b`` to the pairs ``a, b`` that are links.
+    ``sketch`` is one from ``id, text`` to ``id, sketch`` (an array of longs), and
+    ``maybe`` a condition on two sketches that holds for links; in round 2 it
+    is part of the join, so pairs that only share a bucket are not made.
     """
+    index = cut_lineage(index, name)
     heads = index.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"))
     many = heads.filter("hub != top")
     shared = index.join(many, "key").select("key", "id", "hub", F.lit(True).alias("many"), F.lit(False).alias("probe"))
@@ -87,10 +91,14 @@ def linked(index: DataFrame, probes: DataFrame | None, texts_of: Callable[[DataF
     hub = comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
     rest = rest.join(hub, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
     rest = cut_lineage(rest.select("key", "id", "probe", "comp", "hub", (F.col("comp") != F.col("hub_comp")).alias("out")), name)
-    out = rest.filter("out").select(*[F.col(c).alias(f"o_{c}") for c in ("key", "id", "probe", "comp")])
+    mixed = rest.filter("out").select("key").distinct()
+    sketches = texts.mapInPandas(sketch, "id long, sketch array<long>")
+    rest = cut_lineage(rest.join(mixed, "key", "left_semi").join(sketches, "id"), name)
+    columns = ("key", "id", "probe", "comp", "sketch")
+    out = rest.filter("out").select(*[F.col(c).alias(f"o_{c}") for c in columns])
     # the hub itself was compared with all in round 1
     pairs = out.join(rest.filter("id != hub"), (F.col("o_key") == F.col("key")) & (F.col("o_comp") != F.col("comp"))
-                     & ~(F.col("o_probe") & F.col("probe")))
+                     & ~(F.col("o_probe") & F.col("probe")) & maybe(F.col("o_sketch"), F.col("sketch")))
     pairs = cut_lineage(_pairs(pairs, "o_id", "id").join(first, ["a", "b"], "left_anti"), name)
     if pairs.isEmpty():
         return comp

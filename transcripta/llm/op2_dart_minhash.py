@@ -18,10 +18,11 @@ keeps large groups of copies from becoming pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transcripta.llm.common import table, text_of
@@ -45,8 +46,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_table() -> np.ndarray:
-    return mix((np.arange(1, 257, dtype=np.uint64)) * _GOLD)
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as far as asked for."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            up, down = np.full(2 * n, _GOLD), np.full(2 * n, np.uint64(pow(int(_GOLD), -1, 1 << 64)))
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return self.up[:n], self.down[:n]
+
+
+powers = Powers()
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,15 +75,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gap = (buf == 32) | ((buf >= 9) & (buf <= 13))
     start = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
     end = np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1])))
-    power = np.full(len(buf), _GOLD, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_byte_table()[buf] * power, dtype=np.uint64)))
-    inverse = np.uint64(pow(int(_GOLD), -1, 1 << 64))
-    back = np.full(len(buf), inverse, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    hashes = mix((total[end] - total[start]) * back[start])
+    up, down = powers(len(buf))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * up, dtype=np.uint64)))
+    hashes = mix((total[end] - total[start]) * down[start])
     edges = np.cumsum([0] + [len(r) + 1 for r in raw])
     return hashes, np.diff(np.searchsorted(start, edges))
 
@@ -182,6 +191,44 @@ def _keys(bands: int, rows: int, by_count: bool):
     return run
 
 
+SKETCH_BITS = 4
+#: Four standard deviations of the similarity that sketches of 320 coordinates estimate.
+SKETCH_MARGIN = 0.1
+
+
+def _sketch(k: int, by_count: bool):
+    """The low bits of each coordinate of the signature, a bit plane after another."""
+    def run(batches):
+        import pandas as pd
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for s in _slices(texts):
+                text, item, weight = weighted(*shingles(texts[s]), by_count)
+                sign = dart_signatures(text, item, weight, len(texts[s]), k)
+                planes = [np.packbits(np.pad(((sign >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), ((0, 0), (0, -k % 64))), axis=1)
+                          for b in range(SKETCH_BITS)]
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[s], "sketch": list(np.concatenate(planes, axis=1).view(np.int64))})
+    return run
+
+
+def _sketches_near(k: int, threshold: float):
+    """Condition on two sketches: the estimated similarity is not clearly below the threshold."""
+    words = -(-k // 64)
+
+    def near(a: Column, b: Column) -> Column:
+        equal = F.lit(-(-k % 64))  # padding always agrees
+        for w in range(words):
+            differ = None
+            for p in range(SKETCH_BITS):
+                x = F.get(a, F.lit(p * words + w)).bitwiseXOR(F.get(b, F.lit(p * words + w)))
+                differ = x if differ is None else differ.bitwiseOR(x)
+            equal = equal + F.bit_count(F.bitwise_not(differ))
+        by_chance = 2.0 ** -SKETCH_BITS
+        least = k * (by_chance + (1 - by_chance) * (threshold - SKETCH_MARGIN))
+        return equal >= F.lit(math.floor(least))
+    return near
+
+
 def _similar(threshold: float, by_count: bool):
     def run(batches):
         for pdf in batches:
@@ -222,8 +269,10 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BAN
     keyed = texts.mapInPandas(_keys(bands, rows, by_count), "id long, keys array<long>")
     keyed = keyed.join(heads.select("id"), "id", "left_semi")
     entries = cut_lineage(keyed.select(F.explode("keys").alias("key"), "id"), "near-bands")
-    body = lambda ids: texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    classes = linked(entries, None, body, _similar(threshold, by_count), "near-links")
+    # the texts stay where they are hashed to, whatever the number of candidates
+    body = lambda ids: texts.join(ids.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    classes = linked(entries, None, body, _similar(threshold, by_count), _sketch(bands * rows, by_count),
+                     _sketches_near(bands * rows, threshold), "near-links")
     heads = heads.join(classes, "id", "left").select("digest", F.coalesce("comp", "id").alias("class_id"), "copies")
     joined = same.join(heads, "digest", "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "copies")
