@@ -187,7 +187,7 @@ def _keys(bands: int, rows: int, by_count: bool):
                 has = np.bincount(text, minlength=n) > 0
                 keys = band_keys(dart_signatures(text, item, weight, n, bands * rows), bands, rows)
                 ids = pdf["id"].to_numpy()[s]
-                yield pd.DataFrame({"id": ids[has], "keys": list(keys[has])})
+                yield pd.DataFrame({"id": ids[has], "keys": pd.Series(list(keys[has]), dtype=object)})
     return run
 
 
@@ -207,7 +207,7 @@ def _sketch(k: int, by_count: bool):
                 sign = dart_signatures(text, item, weight, len(texts[s]), k)
                 planes = [np.packbits(np.pad(((sign >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), ((0, 0), (0, -k % 64))), axis=1)
                           for b in range(SKETCH_BITS)]
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[s], "sketch": list(np.concatenate(planes, axis=1).view(np.int64))})
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[s], "sketch": pd.Series(list(np.concatenate(planes, axis=1).view(np.int64)), dtype=object)})
     return run
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from transcripta.llm.common import table, text_of
 
 #: Every known sentence has one of these (as letters, whatever the case).
-TRIGGER = "(?i)licen[cs]e|copyright|warrant|permission|redistribut|creative commons|public domain|spdx|cc by|cc0"
+TRIGGER = "(?i)licen[cs]e|copyright|warrant|permission|redistribut|creative commons|public domain|spdx|cc by|cc0|gnu"
 #: A sentence ends at a line end, or at one of these marks before white space or the end.
 SENTENCE_END = "\\n+|[.;:!?]+(?=[\\x20\\x09-\\x0D]|$)"
 #: Normalising, in order: (pattern, replacement) on the lower-case sentence.
