@@ -94,11 +94,16 @@ def linked(index: DataFrame, probes: DataFrame | None, texts_of: Callable[[DataF
     mixed = rest.filter("out").select("key").distinct()
     sketches = texts.mapInPandas(sketch, "id long, sketch array<long>")
     rest = cut_lineage(rest.join(mixed, "key", "left_semi").join(sketches, "id"), name)
-    columns = ("key", "id", "probe", "comp", "sketch")
+    columns = ["key", "id", "probe", "comp", "sketch"]
+    once = F.lit(True)
+    if probes is None:  # a pair that shares several buckets is made in the first of them
+        keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))  # as many as an id has keys
+        rest, columns = rest.join(keys, "id"), [*columns, "keys"]
+        once = F.col("key") == F.array_min(F.array_intersect("o_keys", "keys"))
     out = rest.filter("out").select(*[F.col(c).alias(f"o_{c}") for c in columns])
     # the hub itself was compared with all in round 1
     pairs = out.join(rest.filter("id != hub"), (F.col("o_key") == F.col("key")) & (F.col("o_comp") != F.col("comp"))
-                     & ~(F.col("o_probe") & F.col("probe")) & maybe(F.col("o_sketch"), F.col("sketch")))
+                     & ~(F.col("o_probe") & F.col("probe")) & maybe(F.col("o_sketch"), F.col("sketch")) & once)
     pairs = cut_lineage(_pairs(pairs, "o_id", "id").join(first, ["a", "b"], "left_anti"), name)
     if pairs.isEmpty():
         return comp

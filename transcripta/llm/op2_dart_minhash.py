@@ -192,8 +192,8 @@ def _keys(bands: int, rows: int, by_count: bool):
 
 
 SKETCH_BITS = 4
-#: Four standard deviations of the similarity that sketches of 320 coordinates estimate.
-SKETCH_MARGIN = 0.1
+#: Nearly four standard deviations of the similarity that sketches of 320 coordinates estimate.
+SKETCH_MARGIN = 0.09
 
 
 def _sketch(k: int, by_count: bool):
