@@ -35,7 +35,7 @@ from transcripta.llm.common import table, text_of
 
 SPACE = "▁"
 #: Parts and words that a worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
