@@ -2,21 +2,16 @@
 
 ``Window.orderBy(...)`` with no partition key moves every row into one
 task.  For large inputs the rank is computed distributed instead: range
-partition on the order key, count rows per partition (one number per
-partition reaches the driver), then number rows inside each partition from
-its offset.  The partitioned frame is persisted between the counting pass
-and the numbering pass so both see the same partitions; if an executor is
-lost, Spark recomputes it deterministically from lineage.
+partition on the order key, fix the range of each row in a written column,
+count rows per range, then number the rows of each range from its offset.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from transcripta.session import cut_lineage
 
 
 def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
@@ -27,66 +22,43 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
     the result has been consumed.  ``order_cols`` must make the order total
     (add a key column as the last one).
     """
-    from pyspark import TaskContext
     spark = df.sparkSession
     k = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [c if not isinstance(c, str) else F.col(c) for c in order_cols]
-    rp = df.repartitionByRange(k, *cols).sortWithinPartitions(*cols).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = {r["pid"]: r["n"] for r in
-              rp.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets = np.zeros(max(counts, default=-1) + 2, dtype=np.int64)
-    for pid, n in counts.items():
-        offsets[pid + 1] = n
-    offsets = np.cumsum(offsets)
-
-    def number(it):
-        pid = TaskContext.get().partitionId()
-        start = int(offsets[pid]) if pid < len(offsets) else 0
-        for pdf in it:
-            pdf[out] = np.arange(start + 1, start + 1 + len(pdf), dtype=np.int64)
-            start += len(pdf)
-            yield pdf
-
-    schema = T.StructType(rp.schema.fields + [T.StructField(out, T.LongType())])
-    return rp.mapInPandas(number, schema), rp
+    # the range is written as a column before the offsets are counted: later plans may merge partitions
+    rp = cut_lineage(df.repartitionByRange(k, *cols).withColumn("_range", F.spark_partition_id()), "ranked")
+    counts = rp.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    ahead = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*cols)).cast("long")
+    numbered = (rp.withColumn(out, inside).join(F.broadcast(counts.select("_range", ahead.alias("_ahead"))), "_range")
+                .withColumn(out, F.col(out) + F.col("_ahead")).select(*df.columns, out))
+    return numbered, rp
 
 
-def bh_distributed(df: DataFrame, p_col: str, order_col: str, out_col: str = "FDR",
-                   n_parts: int | None = None) -> DataFrame:
+def bh_distributed(df: DataFrame, p_col: str, out_col: str = "FDR") -> DataFrame:
     """Benjamini-Hochberg over one large test family without a global window.
 
-    Pass 1 numbers the tests (``global_row_number``); pass 2 computes the
-    running minimum of p*m/i from the largest p down inside each range
-    partition and combines it with the minimum of all later partitions (one
-    number per partition, carried to the tasks).
+    Equal p-values have equal rates, so they are counted first.  The distinct
+    values are cut into slices by size (a fixed number of them, whatever the
+    data); running counts and minima go over the slices, then inside each.
+    Rows without a p-value get a null rate.
     """
-    from pyspark import TaskContext
-    tested = df.filter(F.col(p_col).isNotNull())
-    m = tested.count()
-    numbered, rp = global_row_number(tested, [p_col, order_col], "_i", n_parts)
-    q = F.col(p_col) * F.lit(float(m)) / F.col("_i")
-    numbered = numbered.withColumn("_q", q).persist(StorageLevel.MEMORY_AND_DISK)
-    mins = {r["pid"]: r["mq"] for r in numbered.groupBy(F.spark_partition_id().alias("pid"))
-            .agg(F.min("_q").alias("mq")).collect()}
-    top = max(mins, default=-1)
-    later = np.full(top + 2, np.inf)
-    for pid in range(top, -1, -1):  # minimum over partitions after pid
-        later[pid] = min(later[pid + 1], mins.get(pid + 1, np.inf)) if pid + 1 <= top else np.inf
-
-    def suffix_min(it):
-        pid = TaskContext.get().partitionId()
-        parts = [pdf for pdf in it]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        qv = pdf["_q"].to_numpy(dtype=float)
-        run = np.minimum.accumulate(qv[::-1])[::-1]
-        tail = later[pid] if pid < len(later) else np.inf
-        pdf[out_col] = np.minimum(np.minimum(run, tail), 1.0)
-        yield pdf.drop(columns=["_q", "_i"])
-
-    schema = T.StructType([f for f in numbered.schema.fields if f.name not in ("_q", "_i")]
-                          + [T.StructField(out_col, T.DoubleType())])
-    adjusted = numbered.mapInPandas(suffix_min, schema)
-    untested = df.filter(F.col(p_col).isNull()).withColumn(out_col, F.lit(None).cast("double"))
-    return adjusted.unionByName(untested)
+    p = F.col(p_col)
+    each = df.filter(p.isNotNull()).groupBy(p.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # 4096 even slices down to 1/64, 64 per power of two below, one for 0
+    of = (F.when(F.col("_p") <= 0, F.lit(-100_000)).when(F.col("_p") > 1 / 64, F.floor(F.col("_p") * 4096))
+          .otherwise(F.floor(F.log2("_p") * 64))).cast("int")
+    each = cut_lineage(each.withColumn("_s", of), "bh-values")
+    upto = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    slices = each.groupBy("_s").agg(F.sum("_n").alias("_c"))
+    slices = slices.select("_s", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"),
+                           F.sum("_c").over(Window.partitionBy()).alias("_m"))
+    inside = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    rated = each.join(slices, "_s").withColumn(
+        "_q", F.col("_p") * F.col("_m") / (F.col("_before") + F.sum("_n").over(inside)))
+    above = Window.orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = rated.groupBy("_s").agg(F.min("_q").alias("_least")).select("_s", F.min("_least").over(above).alias("_later"))
+    rest = Window.partitionBy("_s").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rate = rated.join(later, "_s").select(
+        "_p", F.least(F.lit(1.0), F.min("_q").over(rest), F.col("_later")).alias(out_col))
+    return df.join(rate, p == F.col("_p"), "left").drop("_p")

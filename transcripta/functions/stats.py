@@ -165,7 +165,7 @@ def log_choose(n: Column, k: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def bh_adjust(df: DataFrame, p_col: str, order_col: str, out_col: str = "FDR",
-              partition_cols: list[str] | tuple = (), distributed: bool = False) -> DataFrame:
+              partition_cols: list[str] | tuple = (), distributed: bool = True) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values.
 
     ``row_number`` over (p, order_col) -- not ``rank`` -- then the running
@@ -175,25 +175,21 @@ def bh_adjust(df: DataFrame, p_col: str, order_col: str, out_col: str = "FDR",
     Scale: the windows are partitioned by ``partition_cols`` (one contrast,
     panel or ontology per partition); m is the number of genes or terms of
     one test family, which is bounded by the annotation, not by the data.
-    A single very large family (``distributed=True``, no partition columns)
-    is adjusted with range partitions and per-partition offsets instead of
-    a one-task window (``functions.ranking.bh_distributed``).
+    One family over the whole table (no partition columns) is adjusted by
+    slices of p instead of a one-task window (``functions.ranking.bh_distributed``)
+    unless ``distributed=False``.
     """
     if distributed and not partition_cols:
         from transcripta.functions.ranking import bh_distributed
-        return bh_distributed(df, p_col, order_col, out_col)
+        return bh_distributed(df, p_col, out_col)
     parts = [F.col(c) for c in partition_cols]
-    tested = df.filter(F.col(p_col).isNotNull())
-    w_rank = Window.partitionBy(*parts).orderBy(F.col(p_col), F.col(order_col))
-    w_all = Window.partitionBy(*parts)
-    ranked = (tested
-              .withColumn("_bh_i", F.row_number().over(w_rank))
-              .withColumn("_bh_m", F.count(F.lit(1)).over(w_all)))
-    w_down = (Window.partitionBy(*parts).orderBy(F.col("_bh_i").desc())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    adjusted = ranked.withColumn(
-        out_col,
-        F.least(F.lit(1.0), F.min(F.col(p_col) * F.col("_bh_m") / F.col("_bh_i")).over(w_down)),
-    ).drop("_bh_i", "_bh_m")
-    untested = df.filter(F.col(p_col).isNull()).withColumn(out_col, F.lit(None).cast("double"))
-    return adjusted.unionByName(untested)
+    p = F.col(p_col)
+    up = Window.partitionBy(*parts).orderBy(p.asc_nulls_last(), F.col(order_col))
+    down = (Window.partitionBy(*parts).orderBy(p.desc_nulls_first(), F.col(order_col).desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # untested rows come last in rank and first from the top, with a null that min() passes over
+    ranked = (df.withColumn("_bh_i", F.row_number().over(up))
+              .withColumn("_bh_m", F.count(p).over(Window.partitionBy(*parts))))
+    q = F.min(p * F.col("_bh_m") / F.col("_bh_i")).over(down)
+    return (ranked.withColumn(out_col, F.when(p.isNotNull(), F.least(F.lit(1.0), q)))
+            .drop("_bh_i", "_bh_m"))

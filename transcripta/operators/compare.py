@@ -12,8 +12,9 @@ def cmp_two_samples(g1: DataFrame, g2: DataFrame, names: tuple = ("tissue", "ctc
                     gene: str = "Gene", value: str = "max_TPM", order_col: str | None = None,
                     noise: float = 1.0, offset: float = 1e-4) -> DataFrame:
     """First-match join of two profiles on gene; keep genes with either
-    value > ``noise``; add ``offset`` to both.  Output ``(Gene, <n1>, <n2>)``."""
-    r = g2.select(gene, F.col(value).alias("_v2"), F.col(order_col or gene).alias("_o"))
+    value > ``noise``; add ``offset`` to both.  The first match is the first
+    row by ``order_col``, or in table order without one.  Output ``(Gene, <n1>, <n2>)``."""
+    r = g2.select(gene, F.col(value).alias("_v2"), (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("_o"))
     j = (g1.select(gene, F.col(value).alias("_v1"))
          .join(first_per_key(r, gene, "_o").drop("_o"), gene, "left"))
     keep = (F.col("_v1") > noise) | (F.col("_v2") > noise)
@@ -27,7 +28,7 @@ def cmp_special_genes(g1: DataFrame, g2: DataFrame, gene: str = "Gene", value: s
     may appear twice (as the reference concatenates both lists)."""
     r = g2.select(gene, F.col(value).alias("_v2"))
     j = (g1.select(gene, F.col(value).alias("_v1"))
-         .join(first_per_key(r.withColumn("_o", F.col(gene)), gene, "_o").drop("_o"), gene, "left"))
+         .join(first_per_key(r.withColumn("_o", F.monotonically_increasing_id()), gene, "_o").drop("_o"), gene, "left"))
     a = j.filter((F.col("_v1") < high) & (F.col("_v2") < low)).select(gene, F.lit("group1").alias("rule"))
     b = j.filter((F.col("_v1") < low) & (F.col("_v2") < high)).select(gene, F.lit("group2").alias("rule"))
     return a.unionAll(b)

@@ -407,7 +407,7 @@ def de_nb_two_group(counts: DataFrame, coldata: DataFrame, size_factors: DataFra
 # ---------------------------------------------------------------------------
 
 def de_bh_adjust(res: DataFrame, p_col: str = "PValue", gene: str = "gene",
-                 out_col: str = "FDR", partition_cols: tuple = (), distributed: bool = False) -> DataFrame:
+                 out_col: str = "FDR", partition_cols: tuple = (), distributed: bool = True) -> DataFrame:
     """BH per test family; ``distributed`` for one very large family."""
     return bh_adjust(res, p_col, gene, out_col, partition_cols, distributed)
 

@@ -24,7 +24,7 @@ def immune_matrix(g1: DataFrame, g2: DataFrame, names: tuple = ("sample1", "samp
         missing = {gene, value} - set(df.columns)
         if missing:
             raise ValueError(f"profile lacks columns {sorted(missing)}")
-    r = g2.select(gene, F.col(value).alias(names[1]), F.col(gene).alias("_o"))
+    r = g2.select(gene, F.col(value).alias(names[1]), F.monotonically_increasing_id().alias("_o"))
     wide = (g1.select(gene, F.col(value).alias(names[0]))
             .join(first_per_key(r, gene, "_o").drop("_o"), gene, "left"))
     wide = complete_cases(wide)
