@@ -57,14 +57,13 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, min_pairs: int = MI
     rules, lengths, n_rules = [], [], 0
     known = np.zeros(0, np.uint32)  # expansion lengths of the rules so far
     while len(body) > 1:
-        left = np.ones(len(body), bool)  # places whose pair lies in one document
-        left[starts[1:] - 1] = False
-        at = np.flatnonzero(left)
+        # counts of hashed pairs bound the counts of pairs: rare pairs need no sorting
+        hashed = (body[:-1] * np.uint32(0x9E3779B1) + body[1:] * np.uint32(0x85EBCA77)) >> np.uint32(15)
+        maybe = (np.bincount(hashed, minlength=1 << 17) >= min_pairs)[hashed]
+        ends = starts[1:] - 1  # the pairs that begin here span two documents
+        maybe[ends[(ends >= 0) & (ends < len(maybe))]] = False
+        at = np.flatnonzero(maybe)
         keys = (body[at].astype(np.uint64) << np.uint64(32)) | body[at + 1]
-        # counts of hashed keys bound the counts of keys: rare pairs need no sorting
-        hashed = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        maybe = np.bincount(hashed, minlength=1 << 20)[hashed] >= min_pairs
-        at, keys = at[maybe], keys[maybe]
         order = np.sort(keys)
         edge = np.flatnonzero(np.concatenate(([len(order) > 0], order[1:] != order[:-1])))
         count = np.diff(np.append(edge, len(order)))
@@ -184,7 +183,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32."""
         words, known = text.encode("utf-8", "surrogatepass").split(), self.known  # at U+0020 and U+0009 to U+000D
-        ids = [known.get(w) for w in words]
+        ids = list(map(known.get, words))
         if None in ids:
             new = {w for w, i in zip(words, ids) if i is None}
             if len(known) + len(new) > self.limit:
