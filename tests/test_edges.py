@@ -228,3 +228,82 @@ def test_latest_run_is_zone_independent(spark):
         assert got["coldata_b_20251399t010203z"] is None
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_strong_genes_keep_their_log_p(spark):
+    from transcripta.operators.de import volcano_classify
+    from transcripta.functions.stats import t_two_sided_p
+    d = spark.createDataFrame([("a", 2.0, 200.0), ("b", 2.0, 20.0)], "GeneSymbol string, logFC double, t double")
+    d = d.withColumn("PValue", t_two_sided_p(F.col("t"), F.lit(98.0)))
+    got = {r["GeneSymbol"]: r["neg_log10_p"] for r in volcano_classify(d).collect()}
+    assert got["a"] > 100 and abs(got["b"] - 35.64) < 0.01
+
+
+def test_t_tests_without_spread_give_null(spark):
+    from transcripta.operators.de import de_welch_or_pooled_t
+    rows = [(g, f"s{i}", "case" if i < 3 else "control", v) for g in ("flat", "one")
+            for i, v in enumerate([1.0] * 6) if g == "flat" or i in (0, 3)]
+    expr = spark.createDataFrame(rows, "gene string, sample string, grp string, value double")
+    for welch in (False, True):
+        for r in de_welch_or_pooled_t(expr, None, welch=welch).collect():
+            assert r["t"] is None and r["PValue"] is None
+
+
+def test_gtf_group_labels_do_not_depend_on_names(spark, tmp_path):
+    from transcripta.sources.files import src_read_gtf
+    for name in ("run1", "run10", "run2"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.gtf").write_text(f"#c\n{name}\ts\tgene\t1\t2\t.\t+\t.\tgene_id \"x\";\n")
+    got = src_read_gtf(spark, {"ten": f"{tmp_path}/run10", "one": f"{tmp_path}/run1/", "two": [f"{tmp_path}/run2/*.gtf"]})
+    assert sorted((r["seqname"], r["group"]) for r in got.collect()) == [("run1", "one"), ("run10", "ten"), ("run2", "two")]
+
+
+def test_deconvolution_uses_the_genes_a_sample_has(spark):
+    from transcripta.operators.immune import immune_deconvolve
+    sig = spark.createDataFrame([("g1", "A", 2.0), ("g1", "B", 1.0), ("g2", "A", 1.0), ("g2", "B", 3.0),
+                                 ("g3", "A", 4.0), ("g3", "B", 1.0)], "gene string, cell_type string, weight double")
+    full = {"g1": 1.5, "g2": 2.0, "g3": 2.5}  # half A, half B
+    rows = [(g, "full", v) for g, v in full.items()] + [(g, "less", v) for g, v in full.items() if g != "g3"]
+    rows += [(g, "null", None if g == "g1" else v) for g, v in full.items()]
+    rows += [(g, "nan", float("nan") if g == "g2" else v) for g, v in full.items()]
+    got = immune_deconvolve(spark.createDataFrame(rows, "gene string, sample string, value double"), sig).collect()
+    assert len(got) == 8 and all(abs(r["fraction"] - 0.5) < 1e-9 for r in got)
+    tumor = spark.createDataFrame([(g, "s", v / 2) for g, v in full.items()], "gene string, sample string, value double")
+    part = {r["cell_type"]: r["fraction"] for r in immune_deconvolve(tumor, sig, tumor=True).collect()}
+    assert all(abs(part[k] - v) < 1e-9 for k, v in {"A": 0.25, "B": 0.25, "uncharacterized": 0.5}.items())
+
+
+def test_make_unique_compares_whole_names(spark):
+    from transcripta.operators.reshape import make_unique
+    names = ["a", "a", "a.01", "a.2", "a", "a." + "9" * 20, "a.0"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = [r["unique_name"] for r in make_unique(df, "name", "i").orderBy("i").collect()]
+    assert got == ["a", "a.1", "a.01", "a.2", "a.3", "a." + "9" * 20, "a.0"]
+
+
+def test_gsea_edges(spark):
+    from transcripta.operators.enrichment import gsea_permutation, gsea_ranked_list, gsea_score
+    deg = spark.createDataFrame([("s1", 1.0, 0.5), ("s0", 9.0, 0.9), ("s2", 0.0, 0.1), ("s3", -1.0, None)],
+                                "GeneSymbol string, logFC double, PValue double")
+    ids = spark.createDataFrame([("hsa", "s1", "e1"), ("hsa", "s0", "e1"), ("hsa", "s2", "e2"), ("hsa", "s3", "e3")],
+                                "organism string, SYMBOL string, ENTREZID string")
+    ranked = gsea_ranked_list(deg, ids)
+    assert [(r["gene"], r["metric"], r["pos"]) for r in ranked.orderBy("pos").collect()] == [
+        ("e1", 1.0, 1), ("e2", 0.0, 2), ("e3", -1.0, 3)]
+    sets = spark.createDataFrame([("BP", "t", "e2"), ("MF", "t", "e1"), ("MF", "all", "e1"), ("MF", "all", "e2"),
+                                  ("MF", "all", "e3")], "ontology string, term string, gene string")
+    scores = gsea_score(ranked, sets, set_keys=("ontology",))
+    got = {(r["ontology"], r["term"]): r["ES"] for r in scores.collect()}
+    assert got[("BP", "t")] == -0.5 and got[("MF", "t")] == 1.0 and got[("MF", "all")] == 1.0  # no weight; no miss
+    perm = gsea_permutation(ranked, scores, n_perm=20, set_keys=("ontology",)).collect()
+    assert sorted((r["ontology"], r["term"]) for r in perm) == sorted(got)
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_linear_fit_far_from_zero(spark, weight):
+    """Residuals of values near 1e9 do not cancel."""
+    rows = [("g", f"s{i}", "case" if i < 3 else "control", 1e9 + v, 2.0)
+            for i, v in enumerate([0.1, 0.2, 0.3, 0.5, 0.6, 0.7])]
+    expr = spark.createDataFrame(rows, "gene string, sample string, grp string, value double, w double")
+    r = de.de_linear_fit(expr, None, weight=weight).first()
+    assert abs(r["sigma2"] - 0.01 * (2 if weight else 1)) < 1e-6 and abs(r["logFC"] + 0.4) < 1e-5

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from transcripta.functions.stats import bh_adjust, t_two_sided_p, t_two_sided_p_even_df
+from transcripta.functions.stats import bh_adjust, t_tail, t_two_sided_p
 from transcripta.operators import de
 from transcripta.operators import enrichment as en
 from transcripta.operators import immune as im
@@ -207,13 +207,41 @@ def test_bh_matches_numpy_and_is_monotone(spark):
     assert all(a[1] <= b[1] + 1e-15 for a, b in zip(s, s[1:]))
 
 
-def test_t_pvalues_agree(spark):
-    df = spark.createDataFrame([(float(t),) for t in (0.0, 0.5, 2.2281, 3.1693, 8.0)], "t double")
-    out = df.select(t_two_sided_p_even_df(F.col("t"), 10).alias("a"),
-                    t_two_sided_p(F.col("t"), F.lit(10.0)).alias("b")).collect()
-    for r in out:
-        assert math.isclose(r["a"], r["b"], abs_tol=1e-10)
-    assert math.isclose(out[2]["a"], 0.05, abs_tol=1e-4)
+def exact_t_tail(t, df):
+    """Two-sided p of an even df from its finite sum, with 400 digits."""
+    from decimal import Decimal, localcontext
+    with localcontext() as ctx:
+        ctx.prec = 400
+        t2, n = Decimal(t) ** 2, Decimal(df)
+        c2, total, coef = n / (n + t2), Decimal(1), Decimal(1)
+        for k in range(1, df // 2):
+            coef *= Decimal(2 * k - 1) / Decimal(2 * k)
+            total += coef * c2 ** k
+        return float(1 - (t2 / (n + t2)).sqrt() * total)
+
+
+def test_t_tail_has_small_relative_error():
+    cases = [(t, df) for df in (2, 4, 10, 98, 198, 1000) for t in (1e-3, 0.3, 1.0, 1.7, 1.8, 3.0, 6.0, 12.0, 20.0, 200.0)]
+    got = t_tail(*np.array(cases, dtype=float).T)
+    for (t, df), p in zip(cases, got):
+        want = exact_t_tail(t, df)
+        if want > 1e-290:
+            assert math.isclose(p, want, rel_tol=1e-9), (t, df, p, want)
+    for t in (0.01, 1.0, 50.0, 1e8):  # one degree of freedom: arc tangent
+        assert math.isclose(t_tail([t], [1.0])[0], 2 / math.pi * math.atan(1 / t), rel_tol=1e-9)
+    for t in (0.5, 1.7, 5.0, 20.0):  # the normal limit
+        limit = math.erfc(t / math.sqrt(2))
+        assert math.isclose(t_tail([t], [math.inf])[0], limit, rel_tol=1e-12)
+        assert math.isclose(t_tail([t], [1e10])[0], limit, rel_tol=1e-4)
+    assert t_tail([0.0, math.inf], [5.0, 5.0]).tolist() == [1.0, 0.0]
+    assert np.isnan(t_tail([math.nan, 1.0, 1.0], [5.0, math.nan, 0.0])).all()
+
+
+def test_t_pvalue_column(spark):
+    df = spark.createDataFrame([(2.2281,), (200.0,), (None,)], "t double")
+    out = [r[0] for r in df.select(t_two_sided_p(F.col("t"), F.lit(10.0))).collect()]
+    assert math.isclose(out[0], 0.05, abs_tol=1e-4) and math.isclose(out[1], exact_t_tail(200.0, 10), rel_tol=1e-9)
+    assert out[2] is None
 
 
 def test_moderated_t_prior_and_voom_weights(spark):

@@ -5,5 +5,4 @@ from transcripta.functions.columns import (  # noqa: F401
 )
 from transcripta.functions.stats import (  # noqa: F401
     bh_adjust, log_factorial, normal_two_sided_p, t_two_sided_p,
-    t_two_sided_p_even_df,
 )

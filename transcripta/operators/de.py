@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcripta.functions.columns import with_key_stats
+from transcripta.functions.ranking import global_row_number
 from transcripta.functions.special import digamma, trigamma, trigamma_inverse
 from transcripta.functions.stats import (
-    bh_adjust, normal_two_sided_p, t_two_sided_p, t_two_sided_p_even_df,
+    bh_adjust, normal_two_sided_p, t_two_sided_p,
 )
 
 
@@ -189,7 +190,7 @@ def de_voom(counts: DataFrame, coldata: DataFrame, norm: DataFrame | None = None
 
     logCPM = log2((x + 0.5) / (L + 1) * 1e6).  The mean-variance trend is a
     binned trend (re-aim of lowess): genes are cut into ``n_bins`` quantile
-    bins of mean log count (``percentile_approx``, distributed), each bin
+    bins of mean log count (exact, by distributed ranks), each bin
     contributes (median x, median sqrt-sd) as a knot, and the trend is the
     piecewise-linear interpolation between knots, constant outside.
     Weight = trend(fitted log count)^-4.
@@ -208,25 +209,31 @@ def de_voom(counts: DataFrame, coldata: DataFrame, norm: DataFrame | None = None
     # residual SS from per-(gene, group) sums, all as map-side aggregates
     y = F.col("logcpm")
     gg = (j.groupBy(gene, grp).agg(F.avg(y).alias("_fit"), F.count(F.lit(1)).alias("_ng"),
-                                   F.sum(y * y).alias("_q"), F.sum(y).alias("_s")))
+                                   F.var_pop(y).alias("_v"), F.sum(y).alias("_s")))
     genes = (gg.groupBy(gene).agg(
         F.sum("_ng").alias("_n"), F.count(F.lit(1)).alias("_k"),
-        F.sum(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_ng")).alias("_rss"),
+        F.sum(F.col("_v") * F.col("_ng")).alias("_rss"),
         (F.sum("_s") / F.sum("_ng")).alias("_amean")))
     j = j.join(gg.select(gene, grp, "_fit"), [gene, grp])
     mean_log_lib = lib.agg(F.avg(F.log2(F.col("lib_size") + 1))).first()[0]
     genes = cut_lineage(genes
                         .withColumn("sx", F.col("_amean") + F.lit(mean_log_lib - math.log2(1e6)))
-                        .withColumn("sy", F.sqrt(F.sqrt(F.col("_rss") / (F.col("_n") - F.col("_k")))))
+                        .withColumn("sy", F.sqrt(F.sqrt(F.try_divide(F.col("_rss"), F.col("_n") - F.col("_k")))))
                         .select(gene, "sx", "sy"), "voom_gene_stats")  # one row per gene
+    if genes.filter(F.col("sy").isNotNull()).limit(1).count() == 0:
+        raise ValueError("voom needs a gene with more cells than groups")
     probs = [i / n_bins for i in range(1, n_bins)]
-    edges = genes.agg(F.percentile_approx("sx", probs, 10000)).first()[0]
+    # exact quantiles by distributed ranks: the value of rank ceil(prob * n), one row per bin edge
+    n_genes = genes.count()
+    ranked, _ = global_row_number(genes.select("sx", gene), ["sx", gene], "rn")
+    edges = [r["sx"] for r in ranked.filter(F.col("rn").isin([max(1, math.ceil(p * n_genes)) for p in probs]))
+             .orderBy("rn").collect()]
     bin_col = F.lit(len(edges))
     for i in reversed(range(len(edges))):
         bin_col = F.when(F.col("sx") <= F.lit(edges[i]), F.lit(i)).otherwise(bin_col)
     knots = (genes.withColumn("_bin", bin_col).groupBy("_bin")
              .agg(F.median("sx").alias("kx"), F.median("sy").alias("ky"))
-             .orderBy("kx").collect())
+             .filter(F.col("ky").isNotNull()).orderBy("kx").collect())
     kx = [float(r["kx"]) for r in knots]
     ky = [float(r["ky"]) for r in knots]
     fitted_log_count = F.log2(F.pow(F.lit(2.0), F.col("_fit")) * 1e-6 * (F.col("lib_size") + 1))
@@ -255,7 +262,9 @@ def de_linear_fit(expr: DataFrame, coldata: DataFrame, case: str = "case", contr
                   value: str = "value", grp: str = "grp") -> DataFrame:
     """Per-gene (weighted) least squares of ``value ~ group``.
 
-    Closed form from one ``groupBy(gene)`` of conditional sums.  Returns
+    Closed form from one ``groupBy(gene)`` of conditional sums; residuals are
+    taken about the group means (with weights by a second pass over the cells),
+    never as a difference of large sums.  Returns
     ``gene, logFC (case - control), intercept, sigma2, df, stdev_unscaled,
     AveExpr``.
     """
@@ -271,21 +280,26 @@ def de_linear_fit(expr: DataFrame, coldata: DataFrame, case: str = "case", contr
         return F.sum(F.when(cond, e))
 
     is1, is0 = F.col(grp) == case, F.col(grp) == control
-    agg = j.filter(is1 | is0).groupBy(gene).agg(
+    j = j.filter(is1 | is0)
+    spread = [] if weight else [(s(is1, F.lit(1)) * F.var_pop(F.when(is1, y)) + s(is0, F.lit(1)) * F.var_pop(F.when(is0, y)))
+                                .alias("rss")]
+    agg = j.groupBy(gene).agg(
         s(is1, w).alias("W1"), s(is0, w).alias("W0"),
         s(is1, w * y).alias("Y1"), s(is0, w * y).alias("Y0"),
-        s(is1, w * y * y).alias("Q1"), s(is0, w * y * y).alias("Q0"),
-        F.sum(F.lit(1)).alias("n"), F.avg(y).alias("AveExpr"))
-    m1 = F.col("Y1") / F.col("W1")
-    m0 = F.col("Y0") / F.col("W0")
-    rss = (F.col("Q1") - F.col("Y1") * F.col("Y1") / F.col("W1")
-           + F.col("Q0") - F.col("Y0") * F.col("Y0") / F.col("W0"))
+        F.sum(F.lit(1)).alias("n"), F.avg(y).alias("AveExpr"), *spread)
+    m1 = F.try_divide(F.col("Y1"), F.col("W1"))
+    m0 = F.try_divide(F.col("Y0"), F.col("W0"))
+    if weight:
+        means = j.groupBy(gene, grp).agg(F.try_divide(F.sum(w * y), F.sum(w)).alias("_m"))
+        about = j.join(means, [gene, grp]).groupBy(gene).agg(F.sum(w * F.pow(y - F.col("_m"), 2)).alias("rss"))
+        agg = agg.join(about, gene)
+    rss = F.col("rss")
     dfr = F.col("n") - 2
     return agg.select(
         gene, (m1 - m0).alias("logFC"), m0.alias("intercept"),
         F.when(dfr > 0, F.greatest(rss, F.lit(0.0)) / dfr).alias("sigma2"),
         dfr.cast("double").alias("df"),
-        F.sqrt(1.0 / F.col("W1") + 1.0 / F.col("W0")).alias("stdev_unscaled"),
+        F.sqrt(F.try_divide(F.lit(1.0), F.col("W1")) + F.try_divide(F.lit(1.0), F.col("W0"))).alias("stdev_unscaled"),
         "AveExpr")
 
 
@@ -294,8 +308,9 @@ def de_welch_or_pooled_t(expr: DataFrame, coldata: DataFrame, case: str = "case"
                          sample: str = "sample", value: str = "value", grp: str = "grp") -> DataFrame:
     """Plain two-group t test per gene ``(gene, logFC, AveExpr, t, df, PValue)``.
 
-    Pooled variance by default (df = n1 + n0 - 2, and an exact closed-form p
-    when every gene has the same even df); Welch with ``welch=True``.
+    Pooled variance by default (df = n1 + n0 - 2); Welch with ``welch=True``.
+    A gene whose statistic is undefined (no spread, one cell in a group) gets
+    a null t and p.
     """
     j = _with_grp(expr, coldata, sample, grp)
     y = F.col(value).cast("double")
@@ -308,26 +323,17 @@ def de_welch_or_pooled_t(expr: DataFrame, coldata: DataFrame, case: str = "case"
     d = F.col("m1") - F.col("m0")
     n1, n0, v1, v0 = F.col("n1"), F.col("n0"), F.col("v1"), F.col("v0")
     if welch:
-        se2 = v1 / n1 + v0 / n0
-        dfc = F.pow(se2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v0 / n0, 2) / (n0 - 1))
+        se2 = F.try_divide(v1, n1) + F.try_divide(v0, n0)
+        dfc = F.try_divide(F.pow(se2, 2), F.try_divide(F.pow(v1 / n1, 2), n1 - 1) + F.try_divide(F.pow(v0 / n0, 2), n0 - 1))
     else:
-        sp2 = ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)
-        se2 = sp2 * (1.0 / n1 + 1.0 / n0)
+        sp2 = F.try_divide((n1 - 1) * v1 + (n0 - 1) * v0, n1 + n0 - 2)
+        se2 = sp2 * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0))
         dfc = (n1 + n0 - 2).cast("double")
     t = F.when(se2 > 0, d / F.sqrt(se2))
     out = agg.select(gene, d.alias("logFC"), "AveExpr", t.alias("t"), dfc.alias("df"))
     return out.withColumn("PValue", t_two_sided_p(F.col("t"), F.col("df")))
 
 
-def pooled_t_even_df(expr: DataFrame, coldata: DataFrame, df: int, **kw) -> DataFrame:
-    """Pooled t for a complete design whose residual df is ``df`` (even): p
-    by the closed form, fully inside whole-stage codegen (no Python).  A gene
-    with missing cells (another df) gets a null p rather than a wrong one."""
-    out = de_welch_or_pooled_t(expr, coldata, **kw).drop("PValue")
-    return out.withColumn("PValue", F.when(F.col("df") == float(df),
-                                           t_two_sided_p_even_df(F.col("t"), df)))
-
-
 def de_moderated_t(fit: DataFrame, gene: str = "gene") -> DataFrame:
     """Empirical-Bayes moderated t (Smyth 2004) on a ``de_linear_fit`` result.
 

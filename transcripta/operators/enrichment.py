@@ -89,15 +89,16 @@ def top_terms(res: DataFrame, n: int = 10, panel_keys: tuple = ("direction", "on
 # ---------------------------------------------------------------------------
 
 def gsea_ranked_list(deg: DataFrame, id_map: DataFrame, organism: str = "hsa", direction: str = "up",
-                     gene: str = "GeneSymbol", metric: str = "logFC", distributed: bool = False) -> DataFrame:
+                     gene: str = "GeneSymbol", metric: str = "logFC", p_col: str = "PValue",
+                     distributed: bool = True) -> DataFrame:
     """Ranked list ``(gene, metric, pos, N)``: DEG joined to ids, first row
-    per id (by symbol), metric = logFC (up) or -logFC (down), positions by
-    metric desc then id.  The position window holds one row per gene;
-    ``distributed`` numbers by range partitions instead."""
+    per id (by p, then symbol), metric = logFC (up) or -logFC (down), positions
+    by metric desc then id, numbered by range partitions (in one window unless
+    ``distributed``)."""
     m = (id_map.filter(F.col("organism") == organism)
          .select(F.col("SYMBOL").alias(gene), F.col("ENTREZID").alias("gene")).distinct())
-    j = deg.select(gene, metric).join(m, gene).filter(F.col("gene").isNotNull())
-    first = j.groupBy("gene").agg(F.min_by(F.col(metric), F.col(gene)).alias("m"))
+    j = deg.select(gene, metric, p_col).join(m, gene).filter(F.col("gene").isNotNull())
+    first = j.groupBy("gene").agg(F.min_by(F.col(metric), F.struct(F.col(p_col).isNull(), F.col(p_col), F.col(gene))).alias("m"))
     sign = 1.0 if direction == "up" else -1.0
     ranked = first.select("gene", (F.col("m") * sign).alias("metric")).filter(F.col("metric").isNotNull())
     if distributed:
@@ -132,8 +133,11 @@ def gsea_score(ranked: DataFrame, sets: DataFrame, min_size: int = 1, max_size:
             .withColumn("_nr", F.sum("_w").over(wt))
             .withColumn("_j", F.row_number().over(wt.orderBy("pos")))
             .withColumn("_cw", F.sum("_w").over(wo)))
-    top = F.col("_cw") / F.col("_nr") - (F.col("pos") - F.col("_j")) / (F.col("N") - F.col("M"))
-    hits = hits.withColumn("_top", top).withColumn("_bot", F.col("_top") - F.col("_w") / F.col("_nr"))
+    # no weight among the hits, or no gene outside the set: that side of the sum stays 0
+    none = F.lit(0.0)
+    top = (F.coalesce(F.try_divide(F.col("_cw"), F.col("_nr")), none)
+           - F.coalesce(F.try_divide(F.col("pos") - F.col("_j"), F.col("N") - F.col("M")), none))
+    hits = hits.withColumn("_top", top).withColumn("_bot", F.col("_top") - F.coalesce(F.try_divide(F.col("_w"), F.col("_nr")), none))
     agg = hits.groupBy(*sk, "term").agg(
         F.first("M").alias("setSize"),
         F.max_by("pos", F.struct(F.col("_top"), -F.col("pos"))).alias("_pmax"),
@@ -162,7 +166,7 @@ def gsea_score(ranked: DataFrame, sets: DataFrame, min_size: int = 1, max_size:
 
 def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, seed: int = 22,
                      exponent: float = 1.0, score_type: str = "pos", n_chunks: int = 8,
-                     max_genes: int = 5_000_000) -> DataFrame:
+                     set_keys: tuple = (), max_genes: int = 5_000_000) -> DataFrame:
     """NES, p and BH FDR from random gene sets of the same size.
 
     Null scores are drawn per distinct set size (not per term): one
@@ -175,7 +179,8 @@ def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, s
     spark = ranked.sparkSession
     # one row per gene / per term, reused three times: written once
     ranked = cut_lineage(ranked.select("gene", "metric", "pos"), "ranked_list")
-    scores = cut_lineage(scores.select("term", "setSize", "ES"), "observed_scores")
+    sk = list(set_keys)
+    scores = cut_lineage(scores.select(*sk, "term", "setSize", "ES"), "observed_scores")
     n = ranked.count()
     if n > max_genes:
         raise ValueError(f"ranked list of {n} genes exceeds the broadcast bound {max_genes}")
@@ -216,7 +221,7 @@ def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, s
     nulls = groups.groupBy("m", "chunk").applyInPandas(null_es, "m int, perm int, null_es double")
     j = scores.join(nulls, scores["setSize"].cast("int") == nulls["m"])
     pos_side = F.col("ES") >= 0
-    agg = j.groupBy("term").agg(
+    agg = j.groupBy(*sk, "term").agg(
         F.first("ES").alias("ES"), F.first("setSize").alias("setSize"),
         F.avg(F.when(F.col("null_es") >= 0, F.col("null_es"))).alias("_mp"),
         F.avg(F.when(F.col("null_es") < 0, F.col("null_es"))).alias("_mn"),
@@ -225,8 +230,8 @@ def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, s
         F.sum(F.when(F.col("null_es") >= 0, 1).otherwise(0)).alias("_np"),
         F.sum(F.when(F.col("null_es") < 0, 1).otherwise(0)).alias("_nn"))
     res = agg.select(
-        "term", "setSize", "ES",
-        F.when(pos_side, F.col("ES") / F.col("_mp")).otherwise(-F.col("ES") / F.col("_mn")).alias("NES"),
+        *sk, "term", "setSize", "ES",
+        F.when(pos_side, F.try_divide(F.col("ES"), F.col("_mp"))).otherwise(F.try_divide(-F.col("ES"), F.col("_mn"))).alias("NES"),
         F.when(pos_side, (F.col("_gp") + 1) / (F.col("_np") + 1))
         .otherwise((F.col("_gn") + 1) / (F.col("_nn") + 1)).alias("pvalue"))
     return bh_adjust(res, "pvalue", "term", "p_adjust")

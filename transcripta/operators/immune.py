@@ -1,8 +1,7 @@
 """Cell-fraction estimation from a signature table.
 
-The solver is re-aimed: S^T S (K x K over signature genes) and S^T x (per
-sample and cell type) are Spark aggregates; only the K-dimensional
-non-negative least-squares solve per sample runs in pandas.
+The solver is re-aimed: each sample meets the signature genes it has values
+for, and its K-dimensional non-negative least squares runs in pandas.
 """
 
 from __future__ import annotations
@@ -31,16 +30,18 @@ def immune_matrix(g1: DataFrame, g2: DataFrame, names: tuple = ("sample1", "samp
     return wide.unpivot([gene], list(names), "sample", "value")
 
 
-def nnls(q: np.ndarray, c: np.ndarray, tol: float = 1e-10, max_iter: int = 500) -> np.ndarray:
+def nnls(q: np.ndarray, c: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     """min 1/2 f'Qf - c'f subject to f >= 0 (Lawson-Hanson active set on the
-    normal equations)."""
+    normal equations).  Raises when the active sets do not settle."""
     k = len(c)
     f = np.zeros(k)
     passive = np.zeros(k, dtype=bool)
     w = c - q @ f
     it = 0
-    while (~passive).any() and (w[~passive] > tol).any() and it < max_iter:
+    while (~passive).any() and (w[~passive] > tol).any():
         it += 1
+        if it > 100 * (k + 1):
+            raise ArithmeticError("non-negative least squares did not converge")
         t = np.argmax(np.where(passive, -np.inf, w))
         passive[t] = True
         while True:
@@ -66,52 +67,31 @@ def immune_deconvolve(expr: DataFrame, signature: DataFrame, tumor: bool = False
     """Fractions ``(sample, cell_type, fraction)`` by non-negative least
     squares of each sample on the signature.
 
-    S^T S: signature genes present in the expression, packed per gene and
-    summed as per-partition outer products (K^2 rows per partition).
-    S^T x: accumulated per sample from the sample's rows, each carrying its
-    gene's weight array (no gene x sample x cell-type rows).  The K x K
-    matrix (K = cell types, a property of the signature) is shipped to the
-    per-sample solve.  Fractions are normalised to sum 1; with ``tumor`` they are kept
-    on the signature scale (capped at a total of 1) and the remainder is
-    reported as 'uncharacterized'.
+    Both moments of a sample, S^T S and S^T x, come from the same genes: those
+    of the signature for which the sample has a value (null and NaN cells are
+    left out).  Each expression row carries its gene's weight array, so there
+    are no gene x sample x cell-type rows, and a sample's group holds at most
+    one row per signature gene and cell.  Fractions are normalised to sum 1;
+    with ``tumor`` they are kept on the signature scale (capped at a total of
+    1) and the remainder is reported as 'uncharacterized'.
     """
     spark = expr.sparkSession
     types = [r[0] for r in signature.select("cell_type").distinct().orderBy("cell_type").collect()]
     kk = len(types)
-    genes = expr.select(gene).distinct()
-    sig = signature.join(genes, gene, "left_semi")
     tix = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "cell_type string, ci int")
-    packed_sig = (sig.join(tix, "cell_type").groupBy(gene)
+    packed_sig = (signature.join(tix, "cell_type").groupBy(gene)
                   .agg(F.sort_array(F.collect_list(F.struct("ci", F.col("weight").cast("double").alias("weight"))))
                        .alias("s"))
                   .select(gene, F.col("s.ci").alias("ci"), F.col("s.weight").alias("w")))
-    packed = packed_sig.select("ci", "w")
-
-    def outer(it):
-        acc = np.zeros((kk, kk))
-        for pdf in it:
-            for ci, w in zip(pdf["ci"], pdf["w"]):
-                v = np.zeros(kk)
-                v[np.asarray(ci, dtype=np.int64)] = np.asarray(w, dtype=float)
-                acc += np.outer(v, v)
-        ii, jj = np.meshgrid(np.arange(kk), np.arange(kk), indexing="ij")
-        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "v": acc.ravel()})
-
-    sts_rows = (packed.mapInPandas(outer, "i long, j long, v double")
-                .groupBy("i", "j").agg(F.sum("v").alias("v")).collect())
-    sts = np.zeros((kk, kk))
-    for r in sts_rows:
-        sts[int(r["i"]), int(r["j"])] = r["v"]
-    # each expression row picks up its gene's K weights as one array (a
-    # lookup join, one row per signature gene); S^T x is summed inside the
-    # per-sample group, whose size is bounded by the number of genes.
-    rows = (expr.select(gene, sample, F.col(value).cast("double").alias("x"))
+    x = F.col(value).cast("double")
+    rows = (expr.select(gene, sample, x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
             .join(packed_sig, gene).select(sample, "x", "ci", "w"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(kk)
-        for x, ci, w in zip(pdf["x"], pdf["ci"], pdf["w"]):
-            c[np.asarray(ci, dtype=np.int64)] += x * np.asarray(w, dtype=float)
+        at = np.repeat(np.arange(len(pdf)), pdf["ci"].map(len))
+        s = np.zeros((len(pdf), kk))
+        np.add.at(s, (at, np.concatenate(pdf["ci"].to_list()).astype(np.int64)), np.concatenate(pdf["w"].to_list()))
+        sts, c = s.T @ s, s.T @ pdf["x"].to_numpy()
         f = nnls(sts, c)
         tot = f.sum()
         if tumor:

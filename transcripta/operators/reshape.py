@@ -134,10 +134,11 @@ def make_unique(df: DataFrame, name: str, order: str, out: str = "unique_name")
     names = df.select(F.col(name).alias("_n")).distinct()
     dups = ranked.filter(F.col("_dup") > 0)
     need = dups.groupBy(F.col(name).alias("_b")).agg(F.max("_dup").alias("_d"))
-    taken = (names.withColumn("_b", F.regexp_extract("_n", r"^(.*)\.(\d+)$", 1))
-             .withColumn("_k", F.regexp_extract("_n", r"^(.*)\.(\d+)$", 2))
-             .filter(F.col("_k") != "")
-             .select("_b", F.col("_k").cast("long").alias("_k")))
+    # a suffix blocks k only when it is written as k is (``a.01`` does not block ``a.1``)
+    suffix = r"^(?s)(.*)\.([1-9][0-9]{0,17})$"
+    taken = (names.filter(F.col("_n").rlike(suffix))
+             .select(F.regexp_extract("_n", suffix, 1).alias("_b"),
+                     F.regexp_extract("_n", suffix, 2).cast("long").alias("_k")))
     n_taken = taken.groupBy("_b").agg(F.count(F.lit(1)).alias("_t"))
     cand = (need.join(n_taken, "_b", "left")
             .select("_b", "_d", F.explode(F.sequence(F.lit(1).cast("long"),

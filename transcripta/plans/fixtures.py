@@ -240,8 +240,8 @@ def deg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """deg(GeneSymbol, logFC, logCPM, PValue, FDR): pooled t on log2(count+1)
     between case and control (df 10, closed-form p), BH-adjusted."""
     from transcripta.functions.stats import bh_adjust
-    from transcripta.operators.de import pooled_t_even_df
+    from transcripta.operators.de import de_welch_or_pooled_t
     c = counts(spark, sf_dir).withColumn("value", F.log2(F.col("value") + 1))
-    t = pooled_t_even_df(c, None, df=10)
+    t = de_welch_or_pooled_t(c, None)
     out = t.select(F.col("gene").alias("GeneSymbol"), "logFC", F.col("AveExpr").alias("logCPM"), "PValue")
     return bh_adjust(out, "PValue", "GeneSymbol", "FDR")

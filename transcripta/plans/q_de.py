@@ -206,7 +206,7 @@ SELECT *, {t_p_even_sql('t', 10)} AS PValue FROM tt"""
           doubles=("logFC", "AveExpr", "t", "df", "PValue"))
 def q_de_pooled_t(spark, sf_dir):
     c = fx.counts(spark, sf_dir).withColumn("value", F.log2(F.col("value") + 1))
-    return de.pooled_t_even_df(c, None, df=10)
+    return de.de_welch_or_pooled_t(c, None)
 
 
 @register("de_bh_adjust", f"""
@@ -214,7 +214,7 @@ WITH pt AS ({_POOLED_SQL})
 {bh_sql('pt', 'PValue', 'gene')}""", ("counts",), doubles=("logFC", "AveExpr", "t", "df", "PValue", "FDR"))
 def q_de_bh_adjust(spark, sf_dir):
     c = fx.counts(spark, sf_dir).withColumn("value", F.log2(F.col("value") + 1))
-    return de.de_bh_adjust(de.pooled_t_even_df(c, None, df=10))
+    return de.de_bh_adjust(de.de_welch_or_pooled_t(c, None))
 
 
 @register("de_top_table", f"""
@@ -223,7 +223,7 @@ SELECT gene, logFC, AveExpr, t, PValue, FDR FROM b ORDER BY PValue, gene""", ("c
           doubles=("logFC", "AveExpr", "t", "PValue", "FDR"))
 def q_de_top_table(spark, sf_dir):
     c = fx.counts(spark, sf_dir).withColumn("value", F.log2(F.col("value") + 1))
-    return de.de_top_table(de.pooled_t_even_df(c, None, df=10))
+    return de.de_top_table(de.de_welch_or_pooled_t(c, None))
 
 
 _NB_SQL = """

@@ -91,9 +91,9 @@ def q_top_terms(spark, sf_dir):
 
 _RANKED = [
     ("mp", "SELECT DISTINCT SYMBOL, ENTREZID FROM id_map WHERE organism = 'hsa'"),
-    ("jj", "SELECT d.GeneSymbol, d.logFC, mp.ENTREZID AS gene FROM deg d JOIN mp ON mp.SYMBOL = d.GeneSymbol "
+    ("jj", "SELECT d.GeneSymbol, d.logFC, d.PValue, mp.ENTREZID AS gene FROM deg d JOIN mp ON mp.SYMBOL = d.GeneSymbol "
            "WHERE mp.ENTREZID IS NOT NULL"),
-    ("ff", "SELECT gene, arg_min(logFC, GeneSymbol) AS m FROM jj GROUP BY gene"),
+    ("ff", "SELECT gene, first(logFC ORDER BY PValue NULLS LAST, GeneSymbol) AS m FROM jj GROUP BY gene"),
     ("ranked", "SELECT gene, m AS metric, CAST(row_number() OVER (ORDER BY m DESC, gene) AS INTEGER) AS pos, "
                "count(*) OVER () AS N FROM ff WHERE m IS NOT NULL"),
 ]

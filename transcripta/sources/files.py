@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,20 +22,15 @@ GTF_SCHEMA = T.StructType([
 
 
 def src_read_gtf(spark: SparkSession, groups: dict[str, str | list[str]]) -> DataFrame:
-    """Read headerless, ``#``-commented GTF files; one path (or list) per
-    group label.  A single scan over all paths; the group comes from the
-    file path, so no per-group job is launched."""
-    path_to_group = {}
-    for g, paths in groups.items():
-        for p in ([paths] if isinstance(paths, str) else paths):
-            path_to_group[p.rstrip("/")] = g
-    df = (spark.read.option("sep", "\t").option("comment", "#").option("quote", "")
-          .option("header", "false").schema(GTF_SCHEMA).csv(list(path_to_group)))
-    fp = F.col("_metadata.file_path")
-    grp = F.lit(None).cast("string")
-    for p, g in path_to_group.items():
-        grp = F.when(F.contains(fp, F.lit(p.split("://")[-1])), F.lit(g)).otherwise(grp)
-    return df.select(*GTF_SCHEMA.fieldNames(), grp.alias("group"))
+    """Read headerless, ``#``-commented GTF files; one path, glob or folder (or
+    a list of them) per group label.  Each group is one scan that carries its
+    label, so no label depends on how a path is written; a file named by two
+    groups is read for both."""
+    def one(label: str, paths: str | list[str]) -> DataFrame:
+        return (spark.read.option("sep", "\t").option("comment", "#").option("quote", "").option("header", "false")
+                .schema(GTF_SCHEMA).csv([paths] if isinstance(paths, str) else list(paths))
+                .select(*GTF_SCHEMA.fieldNames(), F.lit(label).alias("group")))
+    return reduce(DataFrame.unionAll, [one(g, p) for g, p in groups.items()])
 
 
 def src_read_gct(spark: SparkSession, path: str, gene_col: str = "Description") -> DataFrame:
