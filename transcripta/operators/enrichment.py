@@ -166,59 +166,43 @@ def gsea_score(ranked: DataFrame, sets: DataFrame, min_size: int = 1, max_size:
 
 def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, seed: int = 22,
                      exponent: float = 1.0, score_type: str = "pos", n_chunks: int = 8,
-                     set_keys: tuple = (), max_genes: int = 5_000_000) -> DataFrame:
+                     set_keys: tuple = ()) -> DataFrame:
     """NES, p and BH FDR from random gene sets of the same size.
 
-    Null scores are drawn per distinct set size (not per term): one
-    ``applyInPandas`` group per (size, chunk) draws positions without
-    replacement with a generator seeded by (seed, size, permutation), so
-    results do not depend on partitioning.  The ranked-list weights (one
-    double per gene, size checked against ``max_genes``) are broadcast.
+    Null sets are drawn per distinct set size (not per term): one
+    ``applyInPandas`` group per (size, chunk of permutations) draws positions
+    without replacement with a generator seeded by (seed, size, permutation),
+    so results do not depend on partitioning.  The positions meet the weights
+    of the ranked list in a join, and the running sums are windows over one
+    drawn set each; the list itself never leaves Spark.  NES is null when no
+    null score has the sign of ES.
     """
     from transcripta.session import cut_lineage
-    spark = ranked.sparkSession
-    # one row per gene / per term, reused three times: written once
-    ranked = cut_lineage(ranked.select("gene", "metric", "pos"), "ranked_list")
+    # one row per gene / per term, reused: written once
+    ranked = cut_lineage(ranked.select("pos", F.pow(F.abs(F.col("metric")), F.lit(exponent)).alias("w")), "ranked_list")
     sk = list(set_keys)
     scores = cut_lineage(scores.select(*sk, "term", "setSize", "ES"), "observed_scores")
     n = ranked.count()
-    if n > max_genes:
-        raise ValueError(f"ranked list of {n} genes exceeds the broadcast bound {max_genes}")
-    wrow = ranked.orderBy("pos").select(F.pow(F.abs(F.col("metric")), F.lit(exponent)).alias("w"))
-    weights = np.asarray([r[0] for r in wrow.collect()], dtype=float)
-    bw = spark.sparkContext.broadcast(weights)
     per = max(1, -(-n_perm // n_chunks))
     groups = (scores.select(F.col("setSize").cast("int").alias("m")).distinct()
               .select("m", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")))
 
-    def null_es(pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         m, chunk = int(pdf["m"].iloc[0]), int(pdf["chunk"].iloc[0])
-        wv = bw.value
-        nn = len(wv)
-        out_b, out_es = [], []
-        for b in range(chunk * per, min(n_perm, (chunk + 1) * per)):
-            rng = np.random.default_rng([seed, m, b])
-            pos = np.sort(rng.choice(nn, size=m, replace=False)) + 1
-            w = wv[pos - 1]
-            nr = w.sum()
-            j = np.arange(1, m + 1)
-            if nr <= 0 or nn == m:
-                es = 0.0
-            else:
-                top = np.cumsum(w) / nr - (pos - j) / (nn - m)
-                bot = top - w / nr
-                if score_type == "pos":
-                    es = top.max()
-                elif score_type == "neg":
-                    es = bot.min()
-                else:
-                    mx, mn = top.max(), bot.min()
-                    es = 0.0 if mx == -mn else (mx if mx > -mn else mn)
-            out_b.append(b)
-            out_es.append(float(es))
-        return pd.DataFrame({"m": m, "perm": out_b, "null_es": out_es})
-
-    nulls = groups.groupBy("m", "chunk").applyInPandas(null_es, "m int, perm int, null_es double")
+        perms = range(chunk * per, min(n_perm, (chunk + 1) * per))
+        drawn = [np.sort(np.random.default_rng([seed, m, b]).choice(n, size=m, replace=False)) + 1 for b in perms]
+        return pd.DataFrame({"m": m, "perm": np.repeat(np.array(perms, dtype=int), m), "j": np.tile(np.arange(1, m + 1), len(perms)),
+                             "pos": np.concatenate(drawn) if drawn else np.zeros(0, int)})
+
+    hits = groups.groupBy("m", "chunk").applyInPandas(draw, "m int, perm int, j int, pos long").join(ranked, "pos")
+    one = Window.partitionBy("m", "perm")
+    so_far = F.sum("w").over(one.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    hits = hits.select("m", "perm", "j", "pos", "w", so_far.alias("_cw"), F.sum("w").over(one).alias("_nr"))
+    top = F.try_divide(F.col("_cw"), F.col("_nr")) - F.try_divide(F.col("pos") - F.col("j"), n - F.col("m"))
+    mx, mn = F.max(top), F.min(top - F.try_divide(F.col("w"), F.col("_nr")))
+    es = {"pos": mx, "neg": mn}.get(score_type, F.when(mx == -mn, F.lit(0.0)).when(mx > -mn, mx).otherwise(mn))
+    # no weight among the hits, or no gene outside the set: 0
+    nulls = hits.groupBy("m", "perm").agg(F.coalesce(es, F.lit(0.0)).alias("null_es"))
     j = scores.join(nulls, scores["setSize"].cast("int") == nulls["m"])
     pos_side = F.col("ES") >= 0
     agg = j.groupBy(*sk, "term").agg(
@@ -234,4 +218,4 @@ def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, s
         F.when(pos_side, F.try_divide(F.col("ES"), F.col("_mp"))).otherwise(F.try_divide(-F.col("ES"), F.col("_mn"))).alias("NES"),
         F.when(pos_side, (F.col("_gp") + 1) / (F.col("_np") + 1))
         .otherwise((F.col("_gn") + 1) / (F.col("_nn") + 1)).alias("pvalue"))
-    return bh_adjust(res, "pvalue", "term", "p_adjust")
+    return bh_adjust(res, "pvalue", "term", "p_adjust", sk)

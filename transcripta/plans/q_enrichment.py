@@ -94,34 +94,45 @@ _RANKED = [
     ("jj", "SELECT d.GeneSymbol, d.logFC, d.PValue, mp.ENTREZID AS gene FROM deg d JOIN mp ON mp.SYMBOL = d.GeneSymbol "
            "WHERE mp.ENTREZID IS NOT NULL"),
     ("ff", "SELECT gene, first(logFC ORDER BY PValue NULLS LAST, GeneSymbol) AS m FROM jj GROUP BY gene"),
-    ("ranked", "SELECT gene, m AS metric, CAST(row_number() OVER (ORDER BY m DESC, gene) AS INTEGER) AS pos, "
-               "count(*) OVER () AS N FROM ff WHERE m IS NOT NULL"),
+    ("ranked", "SELECT direction, gene, m * sign AS metric, "
+               "CAST(row_number() OVER (PARTITION BY direction ORDER BY m * sign DESC, gene) AS INTEGER) AS pos, "
+               "count(*) OVER (PARTITION BY direction) AS N "
+               "FROM ff, (VALUES ('up', 1.0::DOUBLE), ('down', -1.0::DOUBLE)) v(direction, sign) WHERE m IS NOT NULL"),
 ]
 
 
+def _both(spark, sf_dir, run):
+    """``run`` of the ranked list of each direction, under one ``direction`` column."""
+    deg, ids = fx.deg(spark, sf_dir), fx.id_map(spark, sf_dir)
+    up, down = (run(en.gsea_ranked_list(deg, ids, "hsa", d)).withColumn("direction", F.lit(d)) for d in ("up", "down"))
+    return up.unionByName(down)
+
+
 @register("gsea_ranked_list", "SELECT * FROM ranked", ("deg", "id_map"), doubles=("metric",), extra=_RANKED)
 def q_gsea_ranked_list(spark, sf_dir):
-    return en.gsea_ranked_list(fx.deg(spark, sf_dir), fx.id_map(spark, sf_dir), "hsa", "up")
+    return _both(spark, sf_dir, lambda ranked: ranked)
 
 
 @register("gsea_score", """
-WITH h AS (SELECT s.term, r.gene, r.metric, r.pos, r.N FROM ranked r
-           JOIN (SELECT DISTINCT term, gene FROM gene_sets WHERE organism = 'hsa' AND ontology = 'pathway') s USING (gene)),
-h2 AS (SELECT *, count(*) OVER (PARTITION BY term) AS M FROM h),
+WITH h AS (SELECT r.direction, s.ontology, s.term, r.gene, r.metric, r.pos, r.N FROM ranked r
+           JOIN (SELECT DISTINCT ontology, term, gene FROM gene_sets WHERE organism = 'hsa') s USING (gene)),
+h2 AS (SELECT *, count(*) OVER t AS M FROM h WINDOW t AS (PARTITION BY direction, ontology, term)),
 h3 AS (SELECT *, abs(metric) AS w FROM h2 WHERE M BETWEEN 1 AND 500),
-h4 AS (SELECT *, sum(w) OVER (PARTITION BY term) AS nr, row_number() OVER (PARTITION BY term ORDER BY pos) AS j,
-              sum(w) OVER (PARTITION BY term ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw FROM h3),
+h4 AS (SELECT *, sum(w) OVER t AS nr, row_number() OVER o AS j,
+              sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw FROM h3
+       WINDOW t AS (PARTITION BY direction, ontology, term), o AS (PARTITION BY direction, ontology, term ORDER BY pos)),
 h5 AS (SELECT *, cw / nr - (pos - j) / (N - M) AS top FROM h4),
-agg AS (SELECT term, max(M) AS setSize, max(top) AS ES FROM h5 GROUP BY term),
-atm AS (SELECT h5.term, min(pos) AS rank_at_max FROM h5 JOIN agg USING (term) WHERE h5.top = agg.ES GROUP BY 1),
-le AS (SELECT h5.term, string_agg(gene, '/' ORDER BY pos) AS leading_edge, count(*) AS core_size
-       FROM h5 JOIN atm USING (term) WHERE pos <= rank_at_max GROUP BY 1)
-SELECT agg.term, setSize, ES, rank_at_max, leading_edge, core_size FROM agg JOIN atm USING (term) LEFT JOIN le USING (term)""",
+agg AS (SELECT direction, ontology, term, max(M) AS setSize, max(top) AS ES FROM h5 GROUP BY 1, 2, 3),
+atm AS (SELECT h5.direction, h5.ontology, h5.term, min(pos) AS rank_at_max FROM h5
+        JOIN agg USING (direction, ontology, term) WHERE h5.top = agg.ES GROUP BY 1, 2, 3),
+le AS (SELECT h5.direction, h5.ontology, h5.term, string_agg(gene, '/' ORDER BY pos) AS leading_edge, count(*) AS core_size
+       FROM h5 JOIN atm USING (direction, ontology, term) WHERE pos <= rank_at_max GROUP BY 1, 2, 3)
+SELECT direction, ontology, term, setSize, ES, rank_at_max, leading_edge, core_size
+FROM agg JOIN atm USING (direction, ontology, term) LEFT JOIN le USING (direction, ontology, term)""",
           ("deg", "id_map", "gene_sets"), doubles=("ES",), extra=_RANKED)
 def q_gsea_score(spark, sf_dir):
-    ranked = en.gsea_ranked_list(fx.deg(spark, sf_dir), fx.id_map(spark, sf_dir), "hsa", "up")
-    sets = _sets(spark, sf_dir).filter(F.col("ontology") == "pathway")
-    return en.gsea_score(ranked, sets, 1, 500, 1.0, "pos")
+    sets = _sets(spark, sf_dir)
+    return _both(spark, sf_dir, lambda ranked: en.gsea_score(ranked, sets, 1, 500, 1.0, "pos", ("ontology",)))
 
 
 @register("gsea_permutation")
