@@ -120,6 +120,31 @@ def test_edit_distance_and_segments():
             assert int(np.bitwise_count(x[0] ^ x[1]).sum()) <= 2 * op4.GRAM * op4.MAX_EDITS
 
 
+def test_long_lines_within_a_share_of_their_length(spark):
+    import random
+    r = random.Random(7)
+    rows, want = [], []
+    for k, n in enumerate([*range(20, 70, 3), *range(70, 420, 15), 700, 943, 2500]):
+        a = "".join(r.choice("abcdefgh ") for _ in range(n))
+        b, t = list(a), n // op4.CHARS_PER_EDIT
+        for at in sorted(r.sample(range(n), t), reverse=True):  # t edits, all of one kind or mixed
+            kind = k % 4 if k % 4 < 3 else r.randrange(3)
+            b[at:at + (kind != 1)] = ["", "xy"[at % 2], "z"][kind]
+        short, long = sorted((a, "".join(b)), key=len)
+        if op4.edits_allowed(len(short)) >= t and len(short) >= 20:
+            index = set(op4.segment_keys([short], False)[1].tolist())
+            assert index & {*op4.segment_keys([long], True)[1].tolist(), *op4.segment_keys([long], False)[1].tolist()}
+            assert op4.within_edits([a], [long if short == a else short], np.array([t])).tolist() == [True]
+            rows += [(2 * k, a), (2 * k + 1, "".join(b))]
+            want.append(2 * k + 1)
+    for t in (9, 15, 30):  # against the whole table of distances
+        a = "".join(r.choice("ab ") for _ in range(300))
+        b = "".join(r.choice(["", "a", "b", c, c + "b"]) if r.random() < 0.08 else c for c in a)
+        assert op4.within_edits([a], [b], np.array([t])).tolist() == [distance(a, b) <= t]
+    gone = op4.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(want) > 30 and sorted(x["doc_id"] for x in gone) == want
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     from transcripta.llm.op2_dart_minhash import dart_signatures
     item, weight = np.array([1, 2, 3, 1, 2, 4], np.uint64), np.array([3, 1.5, 2, 1, 2.5, 1])

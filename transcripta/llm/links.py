@@ -72,7 +72,7 @@ def linked(index: DataFrame, probes: DataFrame | None, texts_of: Callable[[DataF
     shared = index.join(many, "key").select("key", "id", "hub", F.lit(True).alias("many"), F.lit(False).alias("probe"))
     if probes is not None:
         shared = shared.unionByName(
-            probes.join(heads, "key").filter("id != hub OR hub != top")
+            probes.join(heads.hint("shuffle_hash"), "key").filter("id != hub OR hub != top")
             .select("key", "id", "hub", (F.col("hub") != F.col("top")).alias("many"), F.lit(True).alias("probe")))
     shared = cut_lineage(shared, name)
     first = cut_lineage(_pairs(shared.filter("id != hub"), "id", "hub"), name)
