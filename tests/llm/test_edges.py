@@ -155,6 +155,71 @@ def test_licences(edge, empty):
     assert all(set(ids) <= known for _, ids in op8.RULES)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+"""
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "BSD": BSD}
+    rows = [(n, t) for n, t in texts.items()] + [(f"{n} crlf", t.replace("\n", "\r\n")) for n, t in texts.items()]
+    rows += [("spdx MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("spdx Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"),
+             ("spdx GPL-3.0-or-later", "# SPDX-License-Identifier: GPL-3.0-or-later\n# more"),
+             ("in line", "Title\nReleased under the MIT License\nand more of this"), ("no", "Not released\nunder the MIT License at all")]
+    for k, (i, x) in enumerate(op8.SENTENCES):
+        rows += [(f"s{k} {w}", "Before it.\n" + textwrap.fill(x, w, break_long_words=False) + "\n\nafter it") for w in (12, 40, 1000)]
+    said = {i: x for i, x in reversed(op8.SENTENCES)}
+    rows += [(f"r{n}", "\n".join(f" * {y}" for y in textwrap.wrap(". ".join(said[i] for i in ids) + ".", 50))) for n, (_, ids) in enumerate(op8.RULES)]
+    got = {r["name"]: r for r in op8.licence_scan(spark.createDataFrame(rows, "name string, text string")).collect()}
+    for n in texts:
+        assert got[n]["licences"] == got[f"{n} crlf"]["licences"] == [n] and got[n]["left_over"] == ""
+    for n in ("MIT", "Apache-2.0", "GPL-3.0-or-later"):
+        assert got[f"spdx {n}"]["licences"] == [n]
+    assert got["in line"]["licences"] == ["MIT"] and got["no"]["licences"] == []
+    for k, (i, x) in enumerate(op8.SENTENCES):
+        assert [got[f"s{k} {w}"]["sentence_ids"] for w in (12, 40, 1000)] == [f"<{i}>"] * 3
+    for n, (name, ids) in enumerate(op8.RULES):
+        assert got[f"r{n}"]["licences"] == [name] and got[f"r{n}"]["sentence_ids"] == "".join(f"<{i}>" for i in ids)
+
+
 def test_mix(edge, empty):
     rows = op9.fair_queue(edge).collect()
     assert len(rows) == edge.count() and all(0 <= r["copies"] <= 3 for r in rows) and all(r["copies"] == 0 for r in rows if not r["size"])

@@ -1,7 +1,9 @@
 """Licence scan by sentence rules (native).
 
 A text is cut into sentences, each is normalised, and known licence sentences
-get their identifier; the identifiers of a text, in order, form a sequence in
+get their identifier.  A line end may end a sentence or only wrap it, so a known
+sentence is found on one line and over several; a blank line (also one of
+comment marks) always ends it.  The identifiers of a text, in order, form a sequence in
 which rules are looked for.  Rules are ordered: an earlier one takes its
 sentences before a later one is tried, so a full licence text wins over its
 title.  All of it is one projection; only texts with a trigger word are cut.
@@ -9,6 +11,8 @@ title.  All of it is one projection; only texts with a trigger word are cut.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +20,8 @@ from transcripta.llm.common import table, text_of
 
 #: Every known sentence has one of these (as letters, whatever the case).
 TRIGGER = "(?i)licen[cs]e|copyright|warrant|permission|redistribut|creative commons|public domain|spdx|cc by|cc0|gnu"
-#: A sentence ends at a line end, or at one of these marks before white space or the end.
-SENTENCE_END = "\\n+|[.;:!?]+(?=[\\x20\\x09-\\x0D]|$)"
+#: A sentence ends at one of these marks before white space or the end; for line ends see ``MARKED``.
+SENTENCE_END = "[.;:!?]+(?=[\\x20\\x09-\\x0D]|$)"
 #: Normalising, in order: (pattern, replacement) on the lower-case sentence.
 NORMAL = (
     ("[^\\p{L}\\p{N}]+", " "),
@@ -100,6 +104,46 @@ def normalised(sentence: Column) -> Column:
     return out
 
 
+#: Mark of a sure end of a sentence; a line end is a possible one.
+END = "\x01"
+#: The text with its ends marked, in order: (pattern, replacement) on lower case.
+MARKED = (
+    (END, " "),
+    ("(spdx-license-identifier)[\\x20\\x09]*:", "$1\n"),  # the tag's colon ends no sentence, nor does it join what is one
+    (SENTENCE_END, END),
+    (f"[^\\p{{L}}\\p{{N}}\n{END}]+", " "),
+    (" ?\n ?", "\n"),
+    ("\n{2,}", END),
+    (f"[ \n]*{END}[ \n{END}]*", END),
+    ("licence", "license"),
+    ("^ +| +$", ""),
+    ("([ \n])(?:version|v)[ \n]?(?=[0-9])", "$1"),
+)
+
+
+def _canonical(sentence: str) -> str:
+    """A known sentence as ``normalised`` gives it."""
+    for pattern, to in NORMAL[1:]:  # letters, digits and blanks only
+        sentence = re.sub(pattern, to, sentence)
+    return sentence
+
+
+def _known_pattern(sentences) -> str:
+    """Matches the known sentences between ends in a marked text, wrapped or not, with what ``normalised`` takes off them."""
+    subject, under = (p.removeprefix("^") for p, _ in (NORMAL[3], NORMAL[4]))
+    forms = sorted({_canonical(x) for _, x in sentences}, key=lambda x: (-len(x), x))
+    parts = [f"(?:{under}|(?:all content )?under ){x.removeprefix('under ')}" if x.startswith("under ") else f"(?:all content )?{x}"
+             for x in forms]
+    return f"(?<![^\n{END}])(?:{subject})?(?:{'|'.join(parts)})(?![^\n{END}])".replace(" ", "[ \n]")
+
+
+def marked(text: Column) -> Column:
+    out = F.lower(text)
+    for pattern, to in MARKED:
+        out = F.regexp_replace(out, pattern, to)
+    return out
+
+
 def licence_scan(docs: DataFrame, sentences=SENTENCES, rules=RULES, text: str = "text") -> DataFrame:
     """Add ``sentence_ids`` (the identifiers in order, as ``<id><id>``), ``licences``
     (names in the order of the text) and ``left_over`` (identifiers no rule took).
@@ -108,10 +152,12 @@ def licence_scan(docs: DataFrame, sentences=SENTENCES, rules=RULES, text: str =
     Rows are looked at one by one, so repeated rows and ids do not matter.
     """
     t = text_of(f"`{text}`")
-    known = F.create_map(*[F.lit(x) for s, i in {s: i for i, s in sentences}.items() for x in (s, f"<{i}>")])
-    said = F.transform(F.split(t, SENTENCE_END, -1), normalised)
-    found = F.array_compact(F.transform(F.filter(said, lambda s: s.isin(*{s for _, s in sentences})), lambda s: F.element_at(known, s)))
-    out = docs.withColumn("sentence_ids", F.when(t.rlike(TRIGGER), F.array_join(found, "")).otherwise(""))
+    ids = {_canonical(x): i for i, x in sentences}
+    known = F.create_map(*[F.lit(x) for s, i in ids.items() for x in (s, f"<{i}>")])
+    said = F.regexp_extract_all(marked(t), F.lit(_known_pattern(sentences)), 0)
+    found = F.transform(said, lambda s: F.element_at(known, normalised(s)))
+    trigger = TRIGGER.replace(" ", "[^\\p{L}\\p{N}]+")
+    out = docs.withColumn("sentence_ids", F.when(t.rlike(trigger), F.array_join(found, "")).otherwise(""))
     seq = F.col("sentence_ids")
     for n, (_, ids) in enumerate(rules):
         seq = F.replace(seq, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"[{n}]"))
