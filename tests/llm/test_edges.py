@@ -136,6 +136,22 @@ def test_pages(spark):
     assert op6.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post has-sidebar'><p>{}</p></article>", "<div id='content' class='no-sidebar'><p>{}</p></div>",
+    "<article class='ad-free'><p>{}</p></article>", "<article><section class='social-science'><p>{}</p></section></article>",
+    "<article><div class='related-work'><p>{}</p></div></article>", "<article class='social'><p>{}</p></article>",
+    "<div class='widget'><article><p>{}</p></article></div>", "<div class='widget'><main><p>{}</p></main></div>",
+    "<main><div class='widget'><article><p>{}</p></article></div></main>", "<main><p>{}</p><div class='related'><article>o</article></div></main>",
+    "<article><p>{}</p><div class='zz ad'>o</div></article><div class='comments'><article>o</article></div>"])
+def test_article_is_no_furniture(page):
+    text = "Main text of the page."
+    assert op6.extract("<html><body><div class='nav'>o</div>" + page.format(text) + "<footer>o</footer></body></html>") == text
+
+
+def test_math_stays():
+    assert op6.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>") == "Let x=1 hold."
+
+
 def test_sentencepiece(edge, empty):
     import sentencepiece
     path = public_tokenizers.path("piece_bpe_32k.model")

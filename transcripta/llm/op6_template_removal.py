@@ -40,9 +40,9 @@ footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p
 thead tr ul""".split())
 #: Never part of the text.
 FURNITURE = set("""nav footer aside form script style noscript template iframe object embed applet svg canvas audio video
-button select option input textarea head title menu dialog map math datalist noembed noframes""".split())
+button select option input textarea head title menu dialog map datalist noembed noframes""".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-#: Words of a class or id that mark furniture.
+#: Whole tokens of a class, or an id, that mark furniture.
 FURNITURE_WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar
 navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice popup modal overlay
 newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments
@@ -70,6 +70,9 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
         self.mark = None  # hash of the subtree, if it may be template
 
+    def tokens(self) -> set[str]:
+        return set(f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}".lower().split())
+
     def words(self) -> set[str]:
         return set(re.findall(r"[a-z]+", f"{self.attrs.get('class') or ''} {self.attrs.get('id') or ''}".lower()))
 
@@ -120,11 +123,14 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_furniture(node: Node) -> bool:
+def is_furniture(node: Node, by_name: bool = True) -> bool:
+    """By tag, role or hiding and, if asked, by class or id; main content and what holds a main element only by the former."""
     if node.tag in FURNITURE or (node.attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in node.attrs \
             or (node.attrs.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", node.attrs.get("style") or ""):
         return True
-    return node.tag not in ("html", "body", "main") and bool(node.words() & FURNITURE_WORDS)
+    if not by_name or node.tag in ("html", "body") or is_content(node) or not node.tokens() & FURNITURE_WORDS:
+        return False
+    return not any(n.tag == "main" or (n.attrs.get("role") or "").lower() == "main" for n in _all(node))
 
 
 def is_content(node: Node) -> bool:
@@ -133,28 +139,37 @@ def is_content(node: Node) -> bool:
 
 def main_nodes(root: Node) -> list[Node]:
     """The outermost main-content elements; without any, those so named by class or id."""
-    for test in (is_content, lambda n: n.tag in ("div", "section", "td") and bool(n.words() & CONTENT_WORDS)):
+    named = lambda n: n.tag in ("div", "section", "td") and bool(n.words() & CONTENT_WORDS)
+    # main content inside elements named as furniture counts if there is no other
+    for test, by_name in ((is_content, True), (is_content, False), (named, True)):
         found, todo = [], [root]
         while todo:
             node = todo.pop()
-            if node is not root and is_furniture(node):
+            if node is not root and is_furniture(node, by_name):
                 continue
             if test(node):
                 found.append(node)
             else:
                 todo.extend(k for k in reversed(node.kids) if isinstance(k, Node))
+        if not found:
+            continue
+        if any(f.tag == "article" for f in found):
+            return found
         # a main element around one article: the articles say more
-        inner = [n for f in found for n in _inside(f, lambda x: x.tag == "article" and not is_furniture(x))]
-        if found:
-            return inner if inner and all(f.tag != "article" for f in found) else found
+        inner = _articles(found, True)
+        return inner or (found if blocks(found, set()) else _articles(found, False)) or found
     return []
 
 
-def _inside(node: Node, test) -> list[Node]:
+def _articles(nodes: list[Node], by_name: bool) -> list[Node]:
+    return [n for f in nodes for n in _inside(f, lambda x: x.tag == "article", by_name)]
+
+
+def _inside(node: Node, test, by_name: bool) -> list[Node]:
     out = []
     for k in node.kids:
-        if isinstance(k, Node) and not is_furniture(k):
-            out.extend([k] if test(k) else _inside(k, test))
+        if isinstance(k, Node) and not is_furniture(k, by_name):
+            out.extend([k] if test(k) else _inside(k, test, by_name))
     return out
 
 
