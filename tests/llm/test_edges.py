@@ -148,6 +148,15 @@ def test_article_is_no_furniture(page):
     assert op6.extract("<html><body><div class='nav'>o</div>" + page.format(text) + "<footer>o</footer></body></html>") == text
 
 
+def test_template_is_a_share_of_the_pages(spark):
+    page = "<body><div class='zz'><p>Site box</p></div><div><p>Body {}</p>{}</div></body>"
+    rows = [(i, f"http://p.example/{i}", page.format(i, "<p>Quoted saying</p>" if i % 20 == 0 else "")) for i in range(120)]
+    rows += [(200 + i, f"http://p.example/copy{i}", page.format(0, "<p>Quoted saying</p>")) for i in range(20)]  # one main text
+    got = {r["page_id"]: r["text"] for r in op6.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Body {i}" + "\n\nQuoted saying" * (i % 20 == 0) for i in range(120))
+    assert all(got[200 + i] == "Body 0\n\nQuoted saying" for i in range(20))
+
+
 def test_math_stays():
     assert op6.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>") == "Let x=1 hold."
 

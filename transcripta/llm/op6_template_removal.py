@@ -4,7 +4,7 @@ Every page is read into its elements.  Each element subtree outside the main
 content has a hash of its shape (tags, classes, ids, not the text), and each
 container inside it a hash of shape and text.  Spark counts, per host, on how
 many pages *with different main texts* a subtree occurs; those that recur on
-``min_pages`` of them are the host's template and their subtrees are deleted.
+``min_pages`` of them, and on ``MIN_SHARE`` of the host's, are its template and their subtrees are deleted.
 Copies of one article have one main text, so an article copied many times on a
 host is not template, and text blocks inside the main content never are.
 
@@ -31,6 +31,10 @@ from transcripta.llm.common import table
 from transcripta.session import cut_lineage
 
 MIN_PAGES = 5
+#: Part of a host's pages with different main texts that a template is on: a paragraph on a few of very many is none.
+MIN_SHARE = 0.1
+#: Mark that every page has, to count a host's pages.
+PAGE = 0
 
 # Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -271,7 +275,7 @@ def _marks(batches: Iterator) -> Iterator:
             mark(root, mains)
             body = "\n\n".join(blocks(mains or [root], set()))
             text = int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-            rows.extend((page_id, host, m, text) for m in {n.mark for n in _all(root)} - {None})
+            rows.extend((page_id, host, m, text) for m in {n.mark for n in _all(root)} - {None} | {PAGE})
         yield pd.DataFrame(rows, columns=["page_id", "host", "mark", "body"]).astype({"mark": "int64", "body": "int64"})
 
 
@@ -288,9 +292,11 @@ def host_of(url):
 
 
 def page_templates(marks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, mark`` of the subtrees on ``min_pages`` or more pages of a host with different main texts."""
+    """``host, mark`` of the subtrees on ``min_pages`` or more pages of a host with different main texts, and on ``MIN_SHARE`` of them."""
     different = marks.select("host", "mark", "body").distinct()
-    return different.groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "mark")
+    often = different.groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    pages = often.filter(F.col("mark") == PAGE).select("host", F.col("n").alias("pages"))
+    return often.filter(F.col("mark") != PAGE).join(pages, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "mark")
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, page_id: str = "page_id", url: str = "url",
