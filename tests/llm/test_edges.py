@@ -161,6 +161,14 @@ def test_math_stays():
     assert op6.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>") == "Let x=1 hold."
 
 
+def test_very_long_documents_are_judged_by_quality(spark):
+    words = PROSE.split()
+    text = " ".join(words[i % 20] if i % 2 else f"word{i}" for i in range(110_000))
+    docs = spark.createDataFrame([(1, text), (2, "# " * 110_000)], "doc_id long, text string")
+    assert [r["doc_id"] for r in op5.kept_documents(docs).collect()] == [1]
+    assert _by_id(op5.quality_rules(docs))[1]["n_words"] == 110_000
+
+
 def test_sentencepiece(edge, empty):
     import sentencepiece
     path = public_tokenizers.path("piece_bpe_32k.model")
