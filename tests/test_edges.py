@@ -307,3 +307,32 @@ def test_linear_fit_far_from_zero(spark, weight):
     expr = spark.createDataFrame(rows, "gene string, sample string, grp string, value double, w double")
     r = de.de_linear_fit(expr, None, weight=weight).first()
     assert abs(r["sigma2"] - 0.01 * (2 if weight else 1)) < 1e-6 and abs(r["logFC"] + 0.4) < 1e-5
+
+
+def test_registered_qc_goes_on_until_nothing_changes(spark, monkeypatch):
+    from transcripta.plans import q_multivariate as q
+    cells = {(f"g{g}", f"s{s}") for g in range(1, 6) for s in range(1, 6)} | {("g6", "s1"), ("g6", "s2"), ("g6", "s3")}
+    cells |= {("g1", "s6"), ("g2", "s6"), ("g6", "s6"), ("g7", "s6")}  # g7 goes, then s6, then g6
+    rows = [(g, "m", s, float(i), "max_TPM") for i, (g, s) in enumerate(sorted(cells))]
+    table = spark.createDataFrame(rows, "Gene string, main_code string, sub_code string, value double, normalization string")
+    monkeypatch.setattr(q.fx, "long_expr", lambda *_: table)
+    left = cells
+    while True:  # all values of a gene differ
+        n_s, n_g = len({s for _, s in left}), len({g for g, _ in left})
+        genes = {g for g, _ in left if (k := sum(h == g for h, _ in left)) >= 4 and k >= 0.2 * n_s}
+        samples = {s for _, s in left if (k := sum(r == s and g in genes for g, r in left)) >= 4 and k >= 0.2 * n_g}
+        new = {(g, s) for g, s in left if g in genes and s in samples}
+        if new == left:
+            break
+        left = new
+    got = {(r["gene"], r["sample"].removeprefix("m_")) for r in q.q_qc_good_samples_genes(spark, "").collect()}
+    assert got == left and not {"g6", "g7"} & {g for g, _ in got}
+
+
+def test_registered_gsea_permutation_has_all_lists_and_ontologies(spark):
+    from tests.conftest import SF_SMALL
+    from __spark_entry__ import queries
+    keys = ["direction", "ontology", "term"]
+    got, scored = (queries()[n](spark, SF_SMALL).select(*keys).collect() for n in ("gsea_permutation", "gsea_score"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, scored)) and {r["direction"] for r in got} == {"up", "down"}
+    assert len({r["ontology"] for r in got}) > 1

@@ -137,7 +137,10 @@ def q_gsea_score(spark, sf_dir):
 
 @register("gsea_permutation")
 def q_gsea_permutation(spark, sf_dir):
-    ranked = en.gsea_ranked_list(fx.deg(spark, sf_dir), fx.id_map(spark, sf_dir), "hsa", "up")
-    sets = _sets(spark, sf_dir).filter(F.col("ontology") == "pathway")
-    scores = en.gsea_score(ranked, sets, 1, 500, 1.0, "pos")
-    return en.gsea_permutation(ranked, scores, n_perm=1000, seed=22, score_type="pos")
+    sets = _sets(spark, sf_dir)
+
+    def run(ranked):
+        scores = en.gsea_score(ranked, sets, 1, 500, 1.0, "pos", ("ontology",))
+        return en.gsea_permutation(ranked, scores, n_perm=1000, seed=22, score_type="pos", set_keys=("ontology",))
+
+    return _both(spark, sf_dir, run)
