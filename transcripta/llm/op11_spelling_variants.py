@@ -10,8 +10,8 @@ n) lies in a window; what stands before and after the window is common to
 both words.  It is the *key* of a partition: both acceptors start in the states
 that their key leads to, and the composition runs over the windows only.  The
 first cut halves the places; a partition that still holds more than
-``max_words`` words is halved again, until it is small or its window is one
-place, where the alphabet bounds it.  So no task grows with the vocabulary,
+``max_words`` words, or words with long windows, is halved again, until it is
+small or its window is one place, where the alphabet bounds it.  So no task grows with the vocabulary,
 and every pair is met in exactly one partition: the one that holds its place.
 
 Spark counts the words, deals the partitions by their keys and reduces the
@@ -33,6 +33,8 @@ MIN_COUNT = 5
 TIMES = 5
 #: a partition with more words is cut again
 MAX_WORDS = 2048
+#: a partition with a longer window is cut again
+MAX_PLACES = 200
 #: one run in so many loses a code point
 SLIP = 199
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,7 +150,7 @@ def _compose(batches):
     yield frame()
 
 
-def near_pairs(words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def near_pairs(words: DataFrame, max_words: int = MAX_WORDS, max_places: int = MAX_PLACES) -> DataFrame:
     """``a, n_a, b, n_b``: every pair of ``word, n`` (distinct words) one inserted, deleted or replaced code point apart, once."""
     size = F.length("word")
     # the words of n code points are the short ones of class n and the long ones of class n - 1
@@ -156,14 +158,14 @@ def near_pairs(words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
         "word", "n", "cls", (size > F.col("cls")).alias("is_long"), F.lit(0).alias("lo"), (F.col("cls") + 1).alias("hi"))
     rows, done = _halved(rows), None
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-        large = cut_lineage(sizes.filter(F.col("rows") > max_words).select("key"), "large-partitions")
-        hot = rows.join(large, "key", "left_semi").filter(F.col("places") > 1)
-        if hot.isEmpty():
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.first("places").alias("places"))
+        again = cut_lineage(sizes.filter((F.col("places") > 1) & ((F.col("rows") > max_words) | (F.col("places") > max_places)))
+                            .select("key", "rows"), "large-partitions")
+        if again.isEmpty():
             break
-        small = rows.filter(F.col("places") > 1).join(large, "key", "left_anti").unionByName(rows.filter(F.col("places") <= 1))
+        small = rows.join(again, "key", "left_anti")
         done = small if done is None else done.unionByName(small)
-        rows = cut_lineage(_halved(hot), "halved-partitions")
+        rows = cut_lineage(_halved(rows.join(again.filter("rows > 1"), "key", "left_semi")), "halved-partitions")
     done = rows if done is None else done.unionByName(rows)
     columns = ["key", "word", "n", "lo", "cut", "is_long", "places"]
     return (done.select(*columns).repartition("key").sortWithinPartitions("key")
@@ -177,8 +179,9 @@ def _halved(rows: DataFrame) -> DataFrame:
     rows = rows.select("word", "n", "cls", "is_long", ends.alias("w")).select(
         "word", "n", "cls", "is_long", F.col("w.x").alias("lo"), F.col("w.y").alias("hi"))
     cut = F.greatest(F.lit(0), F.col("cls") - F.col("hi"))  # code points after the window
-    key = F.concat_ws("\u0001", "cls", "lo", "hi", F.substring("word", F.lit(1), F.col("lo")),
-                      F.substring("word", F.length("word") - F.col("cut") + 1, F.col("cut")))
+    before = F.substring("word", F.lit(1), F.col("lo"))
+    after = F.substring("word", F.length("word") - F.col("cut") + 1, F.col("cut"))
+    key = F.concat_ws("\u0001", "cls", "lo", "hi", *[F.when(F.length(x) > 64, F.md5(x)).otherwise(x) for x in (before, after)])
     return (rows.withColumn("cut", cut).withColumn("places", F.col("hi") - F.col("lo")).withColumn("key", key))
 
 

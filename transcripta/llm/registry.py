@@ -10,6 +10,7 @@ from transcripta.llm import op1_repair_tokens as op1
 from transcripta.llm import op10_bit_sliced_topk as op10
 from transcripta.llm import op11_spelling_variants as op11
 from transcripta.llm import op12_secular_whitening as op12
+from transcripta.llm import op13_cross_parsing as op13
 from transcripta.llm import op2_dart_minhash as op2
 from transcripta.llm import op3_bounded_ring as op3
 from transcripta.llm import op4_line_dedup as op4
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bit_sliced_topk": op10.op10_bit_sliced_topk,
     "op11_spelling_variants": op11.op11_spelling_variants,
     "op12_secular_whitening": op12.op12_secular_whitening,
+    "op13_cross_parsing": op13.op13_cross_parsing,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": op5.ORACLE,
