@@ -121,6 +121,48 @@ def test_corr_pairs_blocks_and_missing(spark):
         assert math.isclose(r["r"], np.corrcoef(m[i][ok], m[j][ok])[0, 1], rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("chunk_size, block_size", [(5, 4), (1000, 4), (7, 1000)])
+def test_tiles_equal_whole_vectors(spark, chunk_size, block_size):
+    """Chunks of features, blocks of items, absent cells: all statistics equal those of the whole vectors."""
+    rng = np.random.default_rng(chunk_size)
+    x = np.round(rng.normal(3, 2, size=(11, 23)), 1)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[3] = 2.5  # no spread
+    x[x < 0.8] = 0.0
+    rows = [(f"i{i:02d}", f"f{j}", None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(11) for j in range(23)]
+    df = spark.createDataFrame(rows, "item string, feature string, value double")
+    pairs = [(i, j) for i in range(11) for j in range(i + 1, 11)]
+
+    def table(**kw):
+        got = pw.pairwise(df, "item", "feature", "value", block_size=block_size, chunk_size=chunk_size, **kw).collect()
+        return {(r["item_a"], r["item_b"], *([r["metric"]] if "metric" in r else [])): math.nan if r[2] is None else r[2] for r in got}
+
+    def close(got, want):
+        assert (math.isnan(got) and math.isnan(want)) or abs(got - want) < 1e-9
+
+    r, dot = table(kind="pearson"), table(kind="dot", diagonal=True)
+    metrics = ["euclidean", "maximum", "manhattan", "canberra", "binary", "minkowski"]
+    dist = table(kind="distance", metric=metrics, p=3.0)
+    assert len(r) == len(pairs) and len(dot) == len(pairs) + 11 and len(dist) == 6 * len(pairs)
+    for i, j in pairs:
+        a, b = x[i], x[j]
+        ok = ~(np.isnan(a) | np.isnan(b))
+        a, b, key = a[ok], b[ok], (f"i{i:02d}", f"i{j:02d}")
+        close(r[key], float("nan") if 3 in (i, j) else float(np.corrcoef(a, b)[0, 1]))
+        close(dot[key], float(a @ b))
+        d, share = np.abs(a - b), 23 / ok.sum()
+        nz = (a != 0) | (b != 0)
+        want = [math.sqrt((d * d).sum() * share), d.max(), d.sum() * share, (d[nz] / np.abs(a + b)[nz]).sum() * 23 / nz.sum(),
+                ((a != 0) != (b != 0)).sum() / nz.sum(), ((d ** 3).sum() * share) ** (1 / 3)]
+        for m, w in zip(metrics, want):
+            close(dist[(*key, m)], float(w))
+    k = {(c["item"], c["power"]): c["k"] for c in pw.connectivity_by_power(
+        df, "item", "feature", "value", [1, 4], block_size=block_size, chunk_size=chunk_size).collect()}
+    for i in range(11):
+        row = [0.0 if math.isnan(v) else abs(v) for key, v in r.items() if f"i{i:02d}" in key]
+        assert abs(k[f"i{i:02d}", 4] - sum(v ** 4 for v in row)) < 1e-9 and abs(k[f"i{i:02d}", 1] - sum(row)) < 1e-9
+
+
 def test_connectivity_and_tom_match_numpy(spark):
     rng = np.random.default_rng(7)
     m = rng.normal(size=(12, 15))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from transcripta.functions.columns import round_doubles
 from transcripta.plans.fixture_sql import rounded, with_fixtures
+from transcripta.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,7 @@ def register(name: str, sql: str | None = None, fixtures: tuple = (), doubles: t
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)  # the workers import this package
             df = fn(spark, sf_dir)
             return round_doubles(df, 6) if round_result else df
         run.__name__ = fn.__name__
