@@ -358,6 +358,39 @@ def test_gsea_score_equals_running_sum(spark):
         assert 0 < r["pvalue"] <= 1 and 0 < r["p_adjust"] <= 1 and r["NES"] > 0
 
 
+@pytest.mark.parametrize("slice_size, score_type", [(7, "pos"), (16, "std"), (1000, "neg")])
+def test_null_scores_equal_full_running_sums(spark, slice_size, score_type):
+    """Scores by slices equal the running sum over the whole list for the same drawn sets, and so do NES and p."""
+    rng = np.random.default_rng(slice_size)
+    n, n_perm, sizes = 60, 40, [1, 3, 8, 25]
+    metric = np.sort(np.round(rng.normal(size=n), 2))[::-1]
+    ranked = spark.createDataFrame([(f"g{i:02d}", float(metric[i]), i + 1, n) for i in range(n)], "gene string, metric double, pos int, N long")
+
+    def score(hits):
+        run, best, worst, nr = 0.0, -math.inf, math.inf, sum(abs(metric[i]) for i in hits)
+        for i in range(n):
+            if i in hits:
+                worst = min(worst, run)
+                run += abs(metric[i]) / nr
+                best = max(best, run)
+            else:
+                run -= 1 / (n - len(hits))
+        return {"pos": best, "neg": worst}.get(score_type, best if best > -worst else worst)
+
+    want = {(m, b): score(set(en.null_sequence(5, b, n, max(sizes))[:m].tolist())) for m in sizes for b in range(n_perm)}
+    got = en.null_scores(ranked.select("pos", F.abs("metric").alias("w")), sizes, n_perm, 5, score_type, 3, slice_size).collect()
+    assert len(got) == len(want) and all(abs(r["null_es"] - want[r["m"], r["perm"]]) < 1e-9 for r in got)
+    observed = [("t1", 3, 0.4), ("t2", 8, 0.3), ("t3", 25, -0.2)]
+    scores = spark.createDataFrame(observed, "term string, setSize long, ES double")
+    rows = {r["term"]: r for r in en.gsea_permutation(ranked, scores, n_perm, 5, 1.0, score_type, 3, (), slice_size).collect()}
+    for t, m, es in observed:
+        null = [0.0 if abs(want[m, b]) < 1e-12 else want[m, b] for b in range(n_perm)]
+        side = [x for x in null if (x >= 0) == (es >= 0)]
+        p = (sum(x >= es if es >= 0 else x <= es for x in side) + 1) / (len(side) + 1)
+        assert abs(rows[t]["pvalue"] - p) < 1e-9
+        assert rows[t]["NES"] is None if not side else abs(rows[t]["NES"] - es / abs(sum(side) / len(side))) < 1e-9
+
+
 # ---------------------------------------------------------------- immune
 
 def test_nnls_matches_enumeration():

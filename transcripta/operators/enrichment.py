@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcripta.functions.stats import bh_adjust, log_choose
+from transcripta.session import cut_lineage, ship_package
 
 
 def ora_counts(lists: DataFrame, sets: DataFrame, list_keys: tuple = ("direction",),
@@ -164,45 +165,107 @@ def gsea_score(ranked: DataFrame, sets: DataFrame, min_size: int = 1, max_size:
     return agg.join(le, sk + ["term"], "left")
 
 
+#: positions of the ranked list in one slice
+SLICE = 1 << 16
+
+
+def null_sequence(seed: int, perm: int, n: int, most: int) -> np.ndarray:
+    """Distinct 0-based positions in random order; its first m are the null set of size m of this permutation."""
+    return np.random.default_rng([seed, perm]).choice(n, size=min(most, n), replace=False)
+
+
+def null_scores(ranked: DataFrame, sizes: list[int], n_perm: int, seed: int, score_type: str = "pos",
+                n_chunks: int = 8, slice_size: int = SLICE) -> DataFrame:
+    """``m, perm, null_es`` of random sets of every size over ``ranked(pos, w)``, without rows for the drawn places.
+
+    The list is cut into slices of its positions.  Every (slice, chunk of
+    permutations) draws the same sequences from their seeds and looks only at
+    the places in its slice.  A first pass gives the slices' weights and hits,
+    from which Spark makes what lies before each slice and the whole weight; a
+    second pass takes the extremes of the running sums.
+    """
+    spark = ranked.sparkSession
+    ship_package(spark)
+    ranked = cut_lineage(ranked.select("pos", "w"), "ranked-list")
+    n = ranked.count()
+    sizes = sorted({int(m) for m in sizes if m <= n})
+    schema = "m int, perm int, null_es double"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    per = max(1, -(-n_perm // n_chunks))
+    cells = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long"), F.col("w"))))
+    at = F.floor((F.col("pos") - 1) / slice_size).cast("int")
+    slices = ranked.groupBy(at.alias("slice")).agg(cells.alias("cells")).select("slice", F.col("cells.w").alias("weights"))
+    work = cut_lineage(slices.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // per) - 1)))), "list-slices")
+    work = work.repartition(min(1024, n_chunks * max(1, -(-n // slice_size))), "slice", "chunk")
+
+    def drawn(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Permutations of the chunk; per permutation and draw: position, whether it is in the slice, its weight."""
+        perms = np.arange(row["chunk"] * per, min(n_perm, (row["chunk"] + 1) * per))
+        pos = np.stack([null_sequence(seed, int(b), n, sizes[-1]) for b in perms])
+        weights = np.asarray(row["weights"], float)
+        inside = pos // slice_size == row["slice"]
+        return perms, pos, inside, np.where(inside, weights[np.where(inside, pos - row["slice"] * slice_size, 0)], 0.0)
+
+    pick = np.array(sizes) - 1
+
+    def totals(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                perms, _, inside, w = drawn(row)
+                yield pd.DataFrame({"slice": row["slice"], "chunk": row["chunk"], "perm": np.repeat(perms, len(sizes)), "m": np.tile(sizes, len(perms)),
+                                    "w": np.cumsum(w, 1)[:, pick].ravel(), "hits": np.cumsum(inside, 1)[:, pick].ravel()})
+
+    part = cut_lineage(work.mapInPandas(totals, "slice int, chunk int, perm int, m int, w double, hits long"), "null-totals")
+    one = Window.partitionBy("perm", "m")  # as many rows as slices
+    before = one.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("slice", "chunk", "perm", "m", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w"),
+                       F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("hits"), F.sum("w").over(one).alias("nr"))
+
+    def extremes(key, slices_, before_):
+        row = {"slice": int(key[0]), "chunk": int(key[1]), "weights": slices_["weights"].iloc[0]}
+        perms, pos, inside, w = drawn(row)
+        known = before_.set_index(["m", "perm"]).sort_index()
+        out = []
+        for m in sizes:
+            k = known.loc[m].loc[perms]
+            p = np.where(inside[:, :m], pos[:, :m], n)
+            order = np.argsort(p, 1)
+            p, x = np.take_along_axis(p, order, 1), np.take_along_axis(w[:, :m], order, 1)
+            nr = k["nr"].to_numpy()[:, None]
+            hit = np.cumsum(x, 1) + k["w"].to_numpy()[:, None]
+            j = np.arange(1, m + 1)[None, :] + k["hits"].to_numpy()[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                # no weight among the hits, or no gene outside the set: that side of the sum stays 0
+                top = np.where(nr > 0, hit / nr, 0.0) - ((p + 1 - j) / (n - m) if n > m else 0.0)
+                low = top - np.where(nr > 0, x / nr, 0.0)
+            real = p < n
+            out.append(pd.DataFrame({"m": m, "perm": perms, "mx": np.where(real, top, -np.inf).max(1), "mn": np.where(real, low, np.inf).min(1)}))
+        return pd.concat(out)
+
+    ends = work.groupBy("slice", "chunk").cogroup(part.groupBy("slice", "chunk")).applyInPandas(extremes, "m int, perm int, mx double, mn double")
+    mx, mn = F.max("mx"), F.min("mn")
+    es = {"pos": mx, "neg": mn}.get(score_type, F.when(mx == -mn, F.lit(0.0)).when(mx > -mn, mx).otherwise(mn))
+    # a score of 0 but for rounding has no sign
+    return ends.groupBy("m", "perm").agg(es.alias("null_es")).withColumn("null_es", F.when(F.abs("null_es") < 1e-12, 0.0).otherwise(F.col("null_es")))
+
+
 def gsea_permutation(ranked: DataFrame, scores: DataFrame, n_perm: int = 1000, seed: int = 22,
                      exponent: float = 1.0, score_type: str = "pos", n_chunks: int = 8,
-                     set_keys: tuple = ()) -> DataFrame:
+                     set_keys: tuple = (), slice_size: int = SLICE) -> DataFrame:
     """NES, p and BH FDR from random gene sets of the same size.
 
-    Null sets are drawn per distinct set size (not per term): one
-    ``applyInPandas`` group per (size, chunk of permutations) draws positions
-    without replacement with a generator seeded by (seed, size, permutation),
-    so results do not depend on partitioning.  The positions meet the weights
-    of the ranked list in a join, and the running sums are windows over one
-    drawn set each; the list itself never leaves Spark.  NES is null when no
+    A permutation is one random sequence of positions; its first m places are
+    the null set of every set of size m, so results depend on the seed only.
+    No drawn place is ever a row (see ``null_scores``).  NES is null when no
     null score has the sign of ES.
     """
-    from transcripta.session import cut_lineage
-    # one row per gene / per term, reused: written once
-    ranked = cut_lineage(ranked.select("pos", F.pow(F.abs(F.col("metric")), F.lit(exponent)).alias("w")), "ranked_list")
+    # one row per term, reused: written once
     sk = list(set_keys)
     scores = cut_lineage(scores.select(*sk, "term", "setSize", "ES"), "observed_scores")
-    n = ranked.count()
-    per = max(1, -(-n_perm // n_chunks))
-    groups = (scores.select(F.col("setSize").cast("int").alias("m")).distinct()
-              .select("m", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk")))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, chunk = int(pdf["m"].iloc[0]), int(pdf["chunk"].iloc[0])
-        perms = range(chunk * per, min(n_perm, (chunk + 1) * per))
-        drawn = [np.sort(np.random.default_rng([seed, m, b]).choice(n, size=m, replace=False)) + 1 for b in perms]
-        return pd.DataFrame({"m": m, "perm": np.repeat(np.array(perms, dtype=int), m), "j": np.tile(np.arange(1, m + 1), len(perms)),
-                             "pos": np.concatenate(drawn) if drawn else np.zeros(0, int)})
-
-    hits = groups.groupBy("m", "chunk").applyInPandas(draw, "m int, perm int, j int, pos long").join(ranked, "pos")
-    one = Window.partitionBy("m", "perm")
-    so_far = F.sum("w").over(one.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    hits = hits.select("m", "perm", "j", "pos", "w", so_far.alias("_cw"), F.sum("w").over(one).alias("_nr"))
-    top = F.try_divide(F.col("_cw"), F.col("_nr")) - F.try_divide(F.col("pos") - F.col("j"), n - F.col("m"))
-    mx, mn = F.max(top), F.min(top - F.try_divide(F.col("w"), F.col("_nr")))
-    es = {"pos": mx, "neg": mn}.get(score_type, F.when(mx == -mn, F.lit(0.0)).when(mx > -mn, mx).otherwise(mn))
-    # no weight among the hits, or no gene outside the set: 0
-    nulls = hits.groupBy("m", "perm").agg(F.coalesce(es, F.lit(0.0)).alias("null_es"))
+    sizes = [r[0] for r in scores.select("setSize").distinct().collect()]  # at most as many as the largest set has genes
+    weights = ranked.select("pos", F.pow(F.abs(F.col("metric")), F.lit(exponent)).alias("w"))
+    nulls = null_scores(weights, sizes, n_perm, seed, score_type, n_chunks, slice_size)
     j = scores.join(nulls, scores["setSize"].cast("int") == nulls["m"])
     pos_side = F.col("ES") >= 0
     agg = j.groupBy(*sk, "term").agg(

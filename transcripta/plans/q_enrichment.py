@@ -9,6 +9,7 @@ from transcripta.operators import enrichment as en
 from transcripta.plans import fixtures as fx
 from transcripta.plans.fixture_sql import bh_sql
 from transcripta.plans.registry import register
+from transcripta.session import cut_lineage
 
 
 def _ora_ctes(org: str) -> list[tuple[str, str]]:
@@ -102,8 +103,8 @@ _RANKED = [
 
 
 def _both(spark, sf_dir, run):
-    """``run`` of the ranked list of each direction, under one ``direction`` column."""
-    deg, ids = fx.deg(spark, sf_dir), fx.id_map(spark, sf_dir)
+    """``run`` of the ranked list of each direction, under one ``direction`` column; the DEG table is made once."""
+    deg, ids = cut_lineage(fx.deg(spark, sf_dir), "deg"), fx.id_map(spark, sf_dir)
     up, down = (run(en.gsea_ranked_list(deg, ids, "hsa", d)).withColumn("direction", F.lit(d)) for d in ("up", "down"))
     return up.unionByName(down)
 
@@ -132,7 +133,7 @@ FROM agg JOIN atm USING (direction, ontology, term) LEFT JOIN le USING (directio
           ("deg", "id_map", "gene_sets"), doubles=("ES",), extra=_RANKED)
 def q_gsea_score(spark, sf_dir):
     sets = _sets(spark, sf_dir)
-    return _both(spark, sf_dir, lambda ranked: en.gsea_score(ranked, sets, 1, 500, 1.0, "pos", ("ontology",)))
+    return _both(spark, sf_dir, lambda ranked: en.gsea_score(cut_lineage(ranked, "ranked-genes"), sets, 1, 500, 1.0, "pos", ("ontology",)))
 
 
 @register("gsea_permutation")
@@ -140,6 +141,7 @@ def q_gsea_permutation(spark, sf_dir):
     sets = _sets(spark, sf_dir)
 
     def run(ranked):
+        ranked = cut_lineage(ranked, "ranked-genes")
         scores = en.gsea_score(ranked, sets, 1, 500, 1.0, "pos", ("ontology",))
         return en.gsea_permutation(ranked, scores, n_perm=1000, seed=22, score_type="pos", set_keys=("ontology",))
 
