@@ -367,7 +367,7 @@ def test_null_scores_equal_full_running_sums(spark, slice_size, score_type):
     ranked = spark.createDataFrame([(f"g{i:02d}", float(metric[i]), i + 1, n) for i in range(n)], "gene string, metric double, pos int, N long")
 
     def score(hits):
-        run, best, worst, nr = 0.0, -math.inf, math.inf, sum(abs(metric[i]) for i in hits)
+        run, best, worst, nr = 0.0, -math.inf, math.inf, sum(abs(metric[i]) for i in hits) or 1.0
         for i in range(n):
             if i in hits:
                 worst = min(worst, run)
@@ -388,7 +388,7 @@ def test_null_scores_equal_full_running_sums(spark, slice_size, score_type):
         side = [x for x in null if (x >= 0) == (es >= 0)]
         p = (sum(x >= es if es >= 0 else x <= es for x in side) + 1) / (len(side) + 1)
         assert abs(rows[t]["pvalue"] - p) < 1e-9
-        assert rows[t]["NES"] is None if not side else abs(rows[t]["NES"] - es / abs(sum(side) / len(side))) < 1e-9
+        assert rows[t]["NES"] is None if not sum(side) else abs(rows[t]["NES"] - es / abs(sum(side) / len(side))) < 1e-9
 
 
 # ---------------------------------------------------------------- immune
