@@ -306,6 +306,66 @@ def test_moderated_t_prior_and_voom_weights(spark):
     assert all(math.isfinite(r["weight"]) and r["weight"] > 0 for r in w)
 
 
+def test_design_fit_equals_weighted_least_squares(spark):
+    """Three levels, a covariate, weights, contrasts and absent cells against numpy's least squares."""
+    from transcripta.operators.design import design_fit
+    rng = np.random.default_rng(21)
+    levels, samples = ["c", "a", "b"], [f"s{i:02d}" for i in range(14)]
+    grp, age = [levels[i % 3] for i in range(14)], rng.normal(50, 9, 14)
+    coldata = spark.createDataFrame([(s, g, float(a), "x") for s, g, a in zip(samples, grp, age)] + [("s99", "other", 1.0, "x")],
+                                    "sample string, grp string, age double, value string")
+    y, w = rng.normal(1e6, 2, (6, 14)), rng.uniform(0.2, 3, (6, 14))
+    y[1, :3] = np.nan
+    y[4, [i for i in range(14) if grp[i] == "a"]] = np.nan  # a level without a cell
+    rows = [(f"g{g}", s, None if np.isnan(y[g, i]) else float(y[g, i]), float(w[g, i])) for g in range(6) for i, s in enumerate(samples)]
+    expr = spark.createDataFrame(rows + [("g0", "s99", 3.0, 1.0)], "gene string, sample string, value double, w double")
+    contrasts = {"a": {"a": 1}, "b - a": {"b": 1, "a": -1}, "age": {"age": 1}, "mean": {"a": 0.5, "b": 0.5}}
+    for weight in (None, "w"):
+        got = {(r["gene"], r["coefficient"]): r for r in design_fit(
+            expr, coldata.drop("value"), levels=levels, covariates=("age",), contrasts=contrasts, weight=weight).collect()}
+        assert len(got) == 24 and all(got["g4", c]["logFC"] is None for c in ("a", "b - a"))
+        x = np.column_stack([np.ones(14), [g == "a" for g in grp], [g == "b" for g in grp], age]).astype(float)
+        for g in (0, 1, 2, 3, 5):
+            ok = ~np.isnan(y[g])
+            ww = w[g][ok] if weight else np.ones(ok.sum())
+            xo, yo = x[ok], y[g][ok]
+            inv = np.linalg.inv(xo.T @ (xo * ww[:, None]))
+            beta = np.linalg.lstsq(xo * np.sqrt(ww)[:, None], yo * np.sqrt(ww), rcond=None)[0]
+            s2 = (ww * (yo - xo @ beta) ** 2).sum() / (ok.sum() - 4)
+            for name, c in {"a": [0, 1, 0, 0], "b - a": [0, -1, 1, 0], "age": [0, 0, 0, 1], "mean": [0, .5, .5, 0]}.items():
+                r, c = got[f"g{g}", name], np.array(c, float)
+                assert abs(r["logFC"] - c @ beta) < 1e-5 and math.isclose(r["stdev_unscaled"], math.sqrt(c @ inv @ c), rel_tol=1e-7)
+                assert math.isclose(r["sigma2"], s2, rel_tol=1e-5) and r["df"] == ok.sum() - 4
+    with pytest.raises(ValueError):
+        design_fit(expr, coldata, levels=levels, contrasts={"z": {"zz": 1}})
+
+
+def test_log_odds_follow_the_mixture(spark):
+    """B and its prior variance against the definition, gene by gene, for equal and unequal degrees of freedom."""
+    from transcripta.operators.design import log_odds, t_quantile
+    rng = np.random.default_rng(8)
+    n, df = 300, 14.5
+    t = rng.standard_t(df, n) * np.where(rng.random(n) < 0.1, 5, 1)
+    for own in (np.full(n, df), np.where(np.arange(n) % 2, df, 9.0)):
+        rows = [(f"g{i:03d}", float(t[i]), float(own[i]), 0.6, 0.8, 4.5) for i in range(n)]
+        frame = spark.createDataFrame(rows, "gene string, t double, df_total double, stdev_unscaled double, s2_prior double, df_prior double")
+        tail = t_tail(t, own)
+        common = np.where(own < df, t_quantile(tail, np.full(n, df)), np.abs(t))
+        take = math.ceil(0.005 * n)
+        share = max(take / n, 0.01)
+        order = np.argsort(-np.abs(t), kind="stable")[:take]
+        asked = []
+        for k, i in enumerate(order):
+            target = ((k + 0.5) / n - (1 - share) * tail[i]) / share
+            asked.append(0.36 * ((common[i] / t_quantile(np.array([target]), np.array([df]))[0]) ** 2 - 1) if target > tail[i] else 0.0)
+        v0 = float(np.mean(np.clip(asked, 0.01 / 0.8, 16 / 0.8)))
+        r = (0.36 + v0) / 0.36
+        want = math.log(0.01 / 0.99) - math.log(r) / 2 + (1 + own) / 2 * np.log((t * t + own) / (t * t / r + own))
+        got = {x["gene"]: x["B"] for x in log_odds(frame).collect()}
+        assert max(abs(got[f"g{i:03d}"] - want[i]) for i in range(n)) < 1e-8
+    assert np.allclose(t_tail(t_quantile([0.3, 1e-9], [7.0, 3.0]), [7.0, 3.0]), [0.3, 1e-9], rtol=1e-9)
+
+
 def test_nb_pvalue_range(spark):
     rows = [(f"g{g}", f"s{s}", "case" if s >= 3 else "control", 10 + g * (s % 3) + (s >= 3) * g)
             for g in range(10) for s in range(6)]

@@ -17,6 +17,9 @@ FROM (SELECT p_partkey AS pk, unnest(range(1, 13)) AS m FROM part) g
 LEFT JOIN (SELECT l_partkey AS pk, month(l_shipdate) AS m, CAST(sum(l_quantity) AS BIGINT) AS v
            FROM lineitem GROUP BY 1, 2) a
   ON a.pk = g.pk AND a.m = g.m""", ()),
+    "thirds": ("""
+SELECT gene, sample, log2(value + 1) AS y, CASE WHEN sample <= 'S04' THEN 'early' WHEN sample <= 'S08' THEN 'middle' ELSE 'late' END AS grp
+FROM counts""", ("counts",)),
     "coldata": ("SELECT DISTINCT sample, grp FROM counts", ("counts",)),
     "long_expr": ("""
 SELECT main_code, sub_code, normalization, Gene, value FROM (

@@ -50,6 +50,13 @@ def coldata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(spark, sf_dir).select("sample", "grp").distinct()
 
 
+def log_counts_by_third(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log2(count + 1) with a factor of three levels: the thirds of the year."""
+    month = F.substring("sample", 2, 2).cast("int")
+    third = F.when(month <= 4, "early").when(month <= 8, "middle").otherwise("late")
+    return counts(spark, sf_dir).select("gene", "sample", F.log2(F.col("value") + 1).alias("value"), third.alias("grp"))
+
+
 def normcounts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide table as the reference stores it: ``genes``, ``_c0``, S01..S12."""
     c = counts(spark, sf_dir)
