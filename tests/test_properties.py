@@ -503,6 +503,43 @@ def planted(spark):
     return spark.createDataFrame(rows, "gene string, sample string, value double")
 
 
+@pytest.mark.parametrize("tumor", [False, True])
+def test_deconvolution_moments_and_fractions(spark, tumor):
+    """Moments over the genes each sample has, and fractions by enumerating the active sets."""
+    rng = np.random.default_rng(30)
+    kk, genes = 3, 25
+    w = rng.uniform(0, 4, (genes, kk))
+    w[rng.random(w.shape) < 0.3] = 0
+    x = w @ np.array([[0.5, 0.1, 0.0], [0.0, 0.3, 2.0], [0.0, 0.0, 0.0]]).T + rng.normal(0, 0.05, (genes, 3))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 2] = -1.0  # nothing fits
+    sig = spark.createDataFrame([(f"g{g}", f"t{k}", float(w[g, k])) for g in range(genes) for k in range(kk) if w[g, k] or k == 0],
+                                "gene string, cell_type string, weight double")
+    expr = spark.createDataFrame([(f"g{g}", f"s{s}", None if np.isnan(x[g, s]) else float(x[g, s])) for g in range(genes) for s in range(3)]
+                                 + [("nowhere", "s0", 5.0)], "gene string, sample string, value double")
+    moments = {(r["sample"], r["cell_type"], r["other"]): r["moment"] for r in im.immune_moments(expr, sig).collect()}
+    got = {(r["sample"], r["cell_type"]): r["fraction"] for r in im.immune_deconvolve(expr, sig, tumor=tumor).collect()}
+    for s in range(3):
+        ok = ~np.isnan(x[:, s])
+        q, c = w[ok].T @ w[ok], w[ok].T @ x[ok, s]
+        best = (0.0, np.zeros(kk))
+        for mask in range(1, 1 << kk):
+            idx = [k for k in range(kk) if mask >> k & 1]
+            f = np.zeros(kk)
+            f[idx] = np.linalg.lstsq(q[np.ix_(idx, idx)], c[idx], rcond=None)[0]
+            if (f >= 0).all():
+                best = min(best, (float(f @ q @ f / 2 - c @ f), f), key=lambda v: v[0])
+        f, tot = best[1], best[1].sum()
+        want = f / tot if tot > (1 if tumor else 0) else f
+        for k in range(kk):
+            assert abs(got[f"s{s}", f"t{k}"] - want[k]) < 1e-8 and abs(moments[f"s{s}", f"t{k}", None] - c[k]) < 1e-9
+            for j in range(k + 1):
+                assert abs(moments.get((f"s{s}", f"t{j}", f"t{k}"), 0.0) - q[j, k]) < 1e-9
+        assert (f"s{s}", "uncharacterized") in got if tumor else (f"s{s}", "uncharacterized") not in got
+        if tumor:
+            assert abs(got[f"s{s}", "uncharacterized"] - max(0.0, 1 - want.sum())) < 1e-9
+
+
 def test_planted_modules_recovered(spark):
     e = planted(spark)
     tom = nw.topological_overlap(e, power=6.0)
@@ -534,6 +571,32 @@ def test_block_kernels_with_empty_hash_blocks(spark):
     assert tau == 3 * 6
 
 
+def test_keyed_ranks_by_slices(spark):
+    """Quantiles and trims of several keys against numpy and average ranks: ties, signs, huge and tiny values, one value."""
+    from transcripta.functions.ranking import keyed_quantile, keyed_trim, ranked_values
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=501), "b": np.round(rng.normal(size=400), 1), "c": np.array([2.5]), "d": np.repeat([0.0, -1.0], [30, 7]),
+            "e": np.concatenate((10.0 ** rng.uniform(-300, 300, 99), -(10.0 ** rng.uniform(-300, 300, 50)), [math.inf, -math.inf, 0.0]))}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("b", math.nan), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    for p in (0.0, 0.25, 0.5, 0.75, 1.0):
+        got = {r["k"]: r["q"] for r in keyed_quantile(df, "k", "x", p).collect()}
+        assert got.keys() == data.keys()
+        for k, v in data.items():
+            at, v = (len(v) - 1) * p, np.sort(v)
+            lo, hi, f = v[math.floor(at)], v[math.ceil(at)], at - math.floor(at)
+            assert math.isclose(got[k], lo if lo == hi else lo * (1 - f) + hi * f, rel_tol=1e-12, abs_tol=1e-14), (k, p)
+    for share in (0.05, 0.3):
+        got = {r["k"]: (r["lo"], r["hi"]) for r in keyed_trim(df, "k", "x", share).collect()}
+        for k, v in data.items():
+            u, c = np.unique(v, return_counts=True)
+            rank, least = np.cumsum(c) - (c - 1) / 2, math.floor(len(v) * share) + 1
+            kept = u[(rank >= least) & (rank <= len(v) + 1 - least)]
+            assert got.get(k) == ((kept[0], kept[-1]) if len(kept) else None)
+    upto = {(r["k"], r["x"]): (r["_upto"], r["_n"]) for r in ranked_values(df, "k", "x").collect()}
+    assert all(upto[k, float(x)] == ((v <= x).sum(), len(v)) for k, v in data.items() for x in v)
+
+
 def test_distributed_bh_and_rank_match_window(spark):
     from transcripta.functions.ranking import global_row_number
     rng = np.random.default_rng(23)

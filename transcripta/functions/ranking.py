@@ -8,7 +8,7 @@ count rows per range, then number the rows of each range from its offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcripta.session import cut_lineage
@@ -35,6 +35,57 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
     return numbered, rp
 
 
+def value_slice(v: Column, per_doubling: int = 256) -> Column:
+    """A whole number that grows with v: so many slices per power of two on either side of 0, the infinities by themselves."""
+    size = F.when(F.abs(v) == float("inf"), F.lit(1 << 30)).otherwise(F.floor((F.log2(F.abs(v)) + 1100) * per_doubling) + 1)
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("int") * size.cast("int")).cast("int")
+
+
+def ranked_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value, _c, _upto, _n``: each distinct value of a key, its rows, the rows up to it and the key's rows.
+
+    Equal values are counted before the shuffle.  A key's values are cut into
+    slices by size, so a window sees the slices of a key (their number is
+    fixed) or the distinct values of one slice, never a key's rows.  Nulls and
+    NaN are left out.
+    """
+    v = F.col(value)
+    each = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    each = cut_lineage(each.withColumn("_s", value_slice(v)), "values")
+    upto = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    slices = each.groupBy(key, "_s").agg(F.sum("_c").alias("_t"))
+    slices = slices.select(key, "_s", (F.sum("_t").over(upto) - F.col("_t")).alias("_before"),
+                           F.sum("_t").over(Window.partitionBy(key)).alias("_n"))
+    inside = Window.partitionBy(key, "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return (each.withColumn("_in", F.sum("_c").over(inside)).join(slices, [key, "_s"])
+            .select(key, value, "_c", (F.col("_before") + F.col("_in")).alias("_upto"), "_n"))
+
+
+def keyed_quantile(df: DataFrame, key: str, value: str, p: float, out: str = "q") -> DataFrame:
+    """``key, out``: the exact quantile of each key's values, interpolated between neighbours."""
+    at = (F.col("_n") - 1) * F.lit(float(p))
+    low, high = F.floor(at) + 1, F.ceil(at) + 1
+    first = F.col("_upto") - F.col("_c") + 1
+
+    def of(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= F.col("_upto")), F.col(value)))
+
+    got = ranked_values(df, key, value).groupBy(key).agg(of(low).alias("_lo"), of(high).alias("_hi"), F.first(at - F.floor(at)).alias("_f"))
+    between = F.col("_lo") * (1 - F.col("_f")) + F.col("_hi") * F.col("_f")
+    return got.select(key, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(out))
+
+
+def keyed_trim(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """``key, lo, hi``: the values of a key whose average rank is neither among the lowest nor the highest ``share`` of its rows.
+
+    Ranks grow with the values, so the kept ones are all those from ``lo`` to ``hi``.
+    """
+    rank = F.col("_upto") - (F.col("_c") - 1) / 2.0
+    least = F.floor(F.col("_n") * share) + 1
+    kept = ranked_values(df, key, value).filter((rank >= least) & (rank <= F.col("_n") + 1 - least))
+    return kept.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
 def bh_distributed(df: DataFrame, p_col: str, out_col: str = "FDR") -> DataFrame:
     """Benjamini-Hochberg over one large test family without a global window.
 

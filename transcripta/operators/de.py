@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcripta.functions.columns import with_key_stats
-from transcripta.functions.ranking import global_row_number
+from transcripta.functions.ranking import global_row_number, keyed_quantile, keyed_trim
 from transcripta.functions.special import digamma, trigamma, trigamma_inverse
 from transcripta.functions.stats import (
     bh_adjust, normal_two_sided_p, t_two_sided_p,
 )
+from transcripta.session import cut_lineage
 
 
 def _with_grp(df: DataFrame, coldata: DataFrame | None, sample: str, grp: str) -> DataFrame:
@@ -82,13 +83,14 @@ def de_size_factors(counts: DataFrame, gene: str = "gene", sample: str = "sample
     """Median-of-ratios size factors ``(sample, size_factor)``.
 
     Genes with a zero in any sample have an infinite log geometric mean and
-    are skipped; factor = exp(median_g(ln x_gs - mean_s ln x_gs)).
+    are skipped; factor = exp(median_g(ln x_gs - mean_s ln x_gs)), the exact
+    median by slices of the ratios.
     """
     lx = F.log(F.col(value).cast("double"))
     ratios = (with_key_stats(counts, gene, F.min(F.col(value)).alias("_nz"), F.avg(lx).alias("_lgm"))
               .filter(F.col("_nz") > 0)
               .withColumn("_r", lx - F.col("_lgm")))
-    return ratios.groupBy(sample).agg(F.exp(F.median("_r")).alias("size_factor"))
+    return keyed_quantile(ratios.select(sample, "_r"), sample, "_r", 0.5).select(sample, F.exp("q").alias("size_factor"))
 
 
 def de_normalised_counts(counts: DataFrame, size_factors: DataFrame, sample: str = "sample",
@@ -107,11 +109,11 @@ def de_tmm(counts: DataFrame, gene: str = "gene", sample: str = "sample", value:
     quartile (first by sample name on ties).  Per sample: M = log2 ratio to
     the reference, A = mean log2 level, trimmed by average ranks (30 % of M,
     5 % of A), precision-weighted mean of M; factors rescaled to product 1.
+    Quartiles and ranks go by slices of the values, so no task holds a sample.
     """
     lib = de_lib_size(counts, sample, value)
     j = counts.join(lib, sample)
-    uq = (j.groupBy(sample)
-          .agg(F.percentile(F.col(value) / F.col("lib_size"), 0.75).alias("uq")))
+    uq = keyed_quantile(j.select(sample, (F.col(value) / F.col("lib_size")).alias("_x")), sample, "_x", 0.75, "uq")
     w_all = Window.partitionBy()
     ref_row = (uq.withColumn("_d", F.abs(F.col("uq") - F.avg("uq").over(w_all)))
                .orderBy("_d", sample).select(sample).first())
@@ -126,27 +128,16 @@ def de_tmm(counts: DataFrame, gene: str = "gene", sample: str = "sample", value:
          .withColumn("_A", (F.log2(obs / nO) + F.log2(rf / nR)) / 2)
          .withColumn("_v", (nO - obs) / nO / obs + (nR - rf) / nR / rf)
          .filter(F.col("_A") > a_cutoff))
-    ws = Window.partitionBy(sample)
-
-    def avg_rank(c: str) -> Column:
-        wr = Window.partitionBy(sample).orderBy(c)
-        wt = Window.partitionBy(sample, c)
-        return F.rank().over(wr) + (F.count(F.lit(1)).over(wt) - 1) / 2.0
-
-    x = (x.withColumn("_n", F.count(F.lit(1)).over(ws))
-         .withColumn("_rM", avg_rank("_M"))
-         .withColumn("_rA", avg_rank("_A"))
-         .withColumn("_maxM", F.max(F.abs(F.col("_M"))).over(ws)))
-    loL = F.floor(F.col("_n") * logratio_trim) + 1
-    hiL = F.col("_n") + 1 - loL
-    loS = F.floor(F.col("_n") * sum_trim) + 1
-    hiS = F.col("_n") + 1 - loS
-    keep = ((F.col("_rM") >= loL) & (F.col("_rM") <= hiL)
-            & (F.col("_rA") >= loS) & (F.col("_rA") <= hiS))
+    # written once: the ranks of M and of A, and the trimmed sums; ranks become bounds, one row per sample
+    x = cut_lineage(x.select(sample, "_M", "_A", "_v"), "tmm-ratios")
+    boundsM = keyed_trim(x, sample, "_M", logratio_trim).select(sample, F.col("lo").alias("_loM"), F.col("hi").alias("_hiM"))
+    boundsA = keyed_trim(x, sample, "_A", sum_trim).select(sample, F.col("lo").alias("_loA"), F.col("hi").alias("_hiA"))
+    x = x.join(boundsM.join(boundsA, sample, "full"), sample, "left")
+    keep = F.col("_M").between(F.col("_loM"), F.col("_hiM")) & F.col("_A").between(F.col("_loA"), F.col("_hiA"))
     per = (x.groupBy(sample).agg(
         F.sum(F.when(keep, F.col("_M") / F.col("_v"))).alias("_num"),
         F.sum(F.when(keep, 1.0 / F.col("_v"))).alias("_den"),
-        F.max("_maxM").alias("_maxM")))
+        F.max(F.abs("_M")).alias("_maxM")))
     f = F.when(F.col("_maxM") < 1e-6, F.lit(1.0)).otherwise(
         F.pow(F.lit(2.0), F.coalesce(F.col("_num") / F.col("_den"), F.lit(0.0))))
     # samples with no usable gene keep factor 1
@@ -195,7 +186,6 @@ def de_voom(counts: DataFrame, coldata: DataFrame, norm: DataFrame | None = None
     piecewise-linear interpolation between knots, constant outside.
     Weight = trend(fitted log count)^-4.
     """
-    from transcripta.session import cut_lineage
     lib = de_lib_size(counts, sample, value)
     if norm is not None:
         lib = lib.join(norm, sample).withColumn(

@@ -1,7 +1,7 @@
 """Cell-fraction estimation from a signature table.
 
-The solver is re-aimed: each sample meets the signature genes it has values
-for, and its K-dimensional non-negative least squares runs in pandas.
+The solver is re-aimed: Spark adds up each sample's moments over the signature
+genes it has values for, and a K-dimensional non-negative least squares follows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from transcripta.operators.joins import first_per_key
 from transcripta.operators.reshape import complete_cases
+from transcripta.session import ship_package
 
 
 def immune_matrix(g1: DataFrame, g2: DataFrame, names: tuple = ("sample1", "sample2"),
@@ -62,6 +63,46 @@ def nnls(q: np.ndarray, c: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     return f
 
 
+def _cell_types(signature: DataFrame) -> list[str]:
+    """Types of the signature in sorted order (K of them, the signature's columns)."""
+    return [r[0] for r in signature.select("cell_type").distinct().orderBy("cell_type").collect()]
+
+
+def _moment_rows(expr: DataFrame, signature: DataFrame, types: list[str], gene: str, sample: str, value: str) -> DataFrame:
+    """``sample, i, j, moment``: entries i <= j of S'S, and S'x at j = -1.
+
+    A gene carries its row of the signature and the products of its pairs of
+    types as one array; cells add them up per (sample, i, j), in the tasks
+    first, so no sample is ever gathered.
+    """
+    spark = expr.sparkSession
+    tix = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "cell_type string, ci int")
+    weight = F.col("weight").cast("double")
+    row = (signature.join(tix, "cell_type").filter(weight.isNotNull() & ~F.isnan(weight) & (weight != 0))
+           .groupBy(gene, "ci").agg(F.sum(weight).alias("w"))
+           .groupBy(gene).agg(F.sort_array(F.collect_list(F.struct("ci", "w"))).alias("s")))
+    empty = F.lit(0.0)
+    alone = F.transform("s", lambda a: F.struct(a["ci"].alias("i"), F.lit(-1).alias("j"), empty.alias("ww"), a["w"].alias("w")))
+    pairs = F.flatten(F.transform("s", lambda a: F.transform(
+        F.filter("s", lambda b: b["ci"] >= a["ci"]),
+        lambda b: F.struct(a["ci"].alias("i"), b["ci"].alias("j"), (a["w"] * b["w"]).alias("ww"), empty.alias("w")))))
+    row = row.select(gene, F.concat(alone, pairs).alias("m"))
+    x = F.col(value).cast("double")
+    cells = expr.select(gene, F.col(sample).alias("sample"), x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    each = cells.join(row, gene).select("sample", "x", F.explode("m").alias("m"))
+    return each.groupBy("sample", F.col("m.i").alias("i"), F.col("m.j").alias("j")).agg(
+        F.sum(F.col("m.ww") + F.col("m.w") * F.col("x")).alias("moment"))
+
+
+def immune_moments(expr: DataFrame, signature: DataFrame, gene: str = "gene", sample: str = "sample", value: str = "value") -> DataFrame:
+    """``sample, cell_type, other, moment``: S'S for ``cell_type <= other`` and S'x where ``other`` is null,
+    over the signature genes that the sample has a value for; entries of types that share no gene are absent."""
+    types = _cell_types(signature)
+    names = F.array(*[F.lit(t) for t in types])
+    return _moment_rows(expr, signature, types, gene, sample, value).select(
+        F.col("sample").alias(sample), F.get(names, F.col("i")).alias("cell_type"), F.get(names, F.col("j")).alias("other"), "moment")
+
+
 def immune_deconvolve(expr: DataFrame, signature: DataFrame, tumor: bool = False, gene: str = "gene",
                       sample: str = "sample", value: str = "value") -> DataFrame:
     """Fractions ``(sample, cell_type, fraction)`` by non-negative least
@@ -69,42 +110,37 @@ def immune_deconvolve(expr: DataFrame, signature: DataFrame, tumor: bool = False
 
     Both moments of a sample, S^T S and S^T x, come from the same genes: those
     of the signature for which the sample has a value (null and NaN cells are
-    left out).  Each expression row carries its gene's weight array, so there
-    are no gene x sample x cell-type rows, and a sample's group holds at most
-    one row per signature gene and cell.  Fractions are normalised to sum 1;
-    with ``tumor`` they are kept on the signature scale (capped at a total of
-    1) and the remainder is reported as 'uncharacterized'.
+    left out).  Spark adds the moments up; only K x K numbers per sample meet
+    the solver.  Fractions are normalised to sum 1; with ``tumor`` they are
+    kept on the signature scale (capped at a total of 1) and the remainder is
+    reported as 'uncharacterized'.
     """
-    spark = expr.sparkSession
-    types = [r[0] for r in signature.select("cell_type").distinct().orderBy("cell_type").collect()]
+    types = _cell_types(signature)
     kk = len(types)
-    tix = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "cell_type string, ci int")
-    packed_sig = (signature.join(tix, "cell_type").groupBy(gene)
-                  .agg(F.sort_array(F.collect_list(F.struct("ci", F.col("weight").cast("double").alias("weight"))))
-                       .alias("s"))
-                  .select(gene, F.col("s.ci").alias("ci"), F.col("s.weight").alias("w")))
-    x = F.col(value).cast("double")
-    rows = (expr.select(gene, sample, x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-            .join(packed_sig, gene).select(sample, "x", "ci", "w"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.repeat(np.arange(len(pdf)), pdf["ci"].map(len))
-        s = np.zeros((len(pdf), kk))
-        np.add.at(s, (at, np.concatenate(pdf["ci"].to_list()).astype(np.int64)), np.concatenate(pdf["w"].to_list()))
-        sts, c = s.T @ s, s.T @ pdf["x"].to_numpy()
-        f = nnls(sts, c)
-        tot = f.sum()
-        if tumor:
-            fr = f / tot if tot > 1 else f
-            out = list(zip(types + ["uncharacterized"], list(fr) + [max(0.0, 1.0 - fr.sum())]))
-        else:
-            fr = f / tot if tot > 0 else f
-            out = list(zip(types, fr))
-        return pd.DataFrame({"sample": pdf[sample].iloc[0], "cell_type": [r[0] for r in out],
-                             "fraction": [float(r[1]) for r in out]})
-
-    return rows.groupBy(sample).applyInPandas(solve, "sample string, cell_type string, fraction double") \
-        .withColumnRenamed("sample", sample)
+    ship_package(expr.sparkSession)
+    moments = (_moment_rows(expr, signature, types, gene, sample, value)
+               .groupBy("sample").agg(F.collect_list(F.struct("i", "j", "moment")).alias("m")))  # at most K * (K + 3) / 2
+
+    def solve(batches):
+        for pdf in batches:
+            names, cells, fractions = [], [], []
+            for name, m in zip(pdf["sample"], pdf["m"]):
+                sts, c = np.zeros((kk, kk)), np.zeros(kk)
+                for e in m:
+                    if e["j"] < 0:
+                        c[e["i"]] = e["moment"]
+                    else:
+                        sts[e["i"], e["j"]] = sts[e["j"], e["i"]] = e["moment"]
+                f = nnls(sts, c)
+                tot = f.sum()
+                fr = f / tot if tot > (1 if tumor else 0) else f
+                rest = [max(0.0, 1.0 - fr.sum())] if tumor else []
+                names += [name] * (kk + len(rest))
+                cells += [*types, *["uncharacterized"] * len(rest)]
+                fractions += [*fr.tolist(), *rest]
+            yield pd.DataFrame({"sample": names, "cell_type": cells, "fraction": np.array(fractions, float)})
+
+    return moments.mapInPandas(solve, "sample string, cell_type string, fraction double").withColumnRenamed("sample", sample)
 
 
 def immune_fraction_long(wide: DataFrame, id_col: str = "cell_type", value: str = "fraction") -> DataFrame:
