@@ -336,3 +336,20 @@ def test_registered_gsea_permutation_has_all_lists_and_ontologies(spark):
     got, scored = (queries()[n](spark, SF_SMALL).select(*keys).collect() for n in ("gsea_permutation", "gsea_score"))
     assert sorted(map(tuple, got)) == sorted(map(tuple, scored)) and {r["direction"] for r in got} == {"up", "down"}
     assert len({r["ontology"] for r in got}) > 1
+
+
+def test_readable_ids_and_group_names(spark):
+    from transcripta.operators.enrichment import readable
+    res = spark.createDataFrame([("up", "BP", "t1", "e9/e1/e2"), ("up", "BP", "t2", ""), ("up", "BP", "t3", None)],
+                                "direction string, ontology string, term string, geneID string")
+    ids = spark.createDataFrame([("hsa", "B", "e1"), ("hsa", "A", "e1"), ("mmu", "C", "e2"), ("hsa", "Z", "e9"), ("hsa", "Q", None)],
+                                "organism string, SYMBOL string, ENTREZID string")
+    got = {r["term"]: r["geneID"] for r in readable(res, ids, "hsa").collect()}
+    assert got == {"t1": "Z/A/e2", "t2": "", "t3": ""}
+    wide = spark.createDataFrame([("g1", 1.0, 2.0), ("g2", 3.0, None)], "gene string, a double, `b.c` double")
+    genes = spark.createDataFrame([("g2",), ("g2",), (None,)], "id string")
+    assert [tuple(r) for r in rs.target_profile(wide, genes, ["x", "y"]).collect()] == [("g2", 3.0, None)]
+    assert rs.target_profile(wide, genes, ["x", "y"], include=False).columns == ["gene", "x", "y"]
+    for names in (["x"], ["x", "x"], ["gene", "y"]):
+        with pytest.raises(ValueError):
+            rs.target_profile(wide, genes, names)

@@ -397,6 +397,33 @@ def _full_es(weights, hits, n):
     return best
 
 
+def test_storey_q_values(spark):
+    """Proportions of true nulls and q-values of several panels against a small reference; several lambdas too."""
+    rng = np.random.default_rng(12)
+    panels = {"mixed": np.concatenate((rng.uniform(0, 1, 150), rng.beta(0.2, 6, 60))), "null": rng.uniform(0, 1, 90),
+              "none": np.array([0.01, 0.02, 0.04]), "one": np.array([0.7])}
+    rows = [(k, f"t{i:03d}", float(p)) for k, v in panels.items() for i, p in enumerate(v)] + [("null", "t999", None)]
+    df = bh_adjust(spark.createDataFrame(rows, "panel string, term string, pvalue double"), "pvalue", "term", "p_adjust", ["panel"])
+    grid = tuple(round(0.05 * i, 2) for i in range(1, 20))
+    for lambdas in ((0.05,), grid):
+        got = {(r["panel"], r["term"]): r["qvalue"] for r in en.storey_q(df, ("panel",), lambdas=lambdas).collect()}
+        assert got["null", "t999"] is None
+        for k, p in panels.items():
+            m, lam = len(p), np.array(lambdas)
+            w = (p[None, :] >= lam[:, None]).sum(1)
+            raw = w / m / (1 - lam)
+            mse = w / (m * m * (1 - lam) ** 2) * (1 - w / m) + (raw - np.quantile(raw, 0.1)) ** 2
+            pi0 = min(1.0, raw[0] if len(lam) == 1 else raw[np.isclose(mse, mse.min(), rtol=1e-12, atol=1e-15)].min())
+            order = np.argsort(p)
+            q = np.empty(m)
+            q[order] = np.minimum(1, np.minimum.accumulate((p[order] * m / np.arange(1, m + 1))[::-1])[::-1]) * pi0
+            for i in range(m):
+                g = got[k, f"t{i:03d}"]
+                assert g is None if pi0 <= 0 else math.isclose(g, q[i], rel_tol=1e-9)
+    kept = en.storey_q(df, ("panel",)).filter("qvalue <= 0.1").count()
+    assert 0 < kept < 210
+
+
 def test_gsea_score_equals_running_sum(spark):
     rng = np.random.default_rng(13)
     n = 60

@@ -49,9 +49,10 @@ def ora_counts(lists: DataFrame, sets: DataFrame, list_keys: tuple = ("direction
 
 
 def ora_hypergeom(counts: DataFrame, panel_keys: tuple = ("direction", "ontology"),
-                  p_cut: float = 1.0, q_cut: float = 1.0) -> DataFrame:
+                  p_cut: float = 1.0, q_cut: float = 1.0, q_lambdas: tuple = (0.05,)) -> DataFrame:
     """Upper-tail hypergeometric p per term and BH within each panel;
-    cut-offs default 1 (keep all)."""
+    cut-offs default 1 (keep all).  ``q_cut`` below 1 cuts Storey's q-value,
+    which is then a column too (see ``storey_q``)."""
     pk = list(panel_keys)
     big_m, n, big_n = F.col("term_size"), F.col("list_size"), F.col("universe_size")
     ex = counts.select(*pk, "term", "Count", "term_size", "list_size", "universe_size",
@@ -61,7 +62,56 @@ def ora_hypergeom(counts: DataFrame, panel_keys: tuple = ("direction", "ontology
     p = ex.groupBy(*pk, "term").agg(F.least(F.lit(1.0), F.sum(F.exp(lp))).alias("pvalue"))
     res = counts.join(p, pk + ["term"])
     res = bh_adjust(res, "pvalue", "term", "p_adjust", pk)
-    return res.filter((F.col("pvalue") <= p_cut) & (F.col("p_adjust") <= q_cut))
+    if q_cut < 1:
+        res = storey_q(res, pk, lambdas=q_lambdas).filter(F.col("qvalue") <= q_cut)
+    return res.filter(F.col("pvalue") <= p_cut)
+
+
+def storey_pi0(res: DataFrame, panel_keys: tuple = (), p: str = "pvalue", lambdas: tuple = (0.05,)) -> DataFrame:
+    """``panel..., pi0``: the proportion of true nulls of each panel (Storey 2002), null when it is not above 0.
+
+    One lambda: the share of p at or above it, over 1 - lambda.  Several: the
+    estimate with the least mean squared error about their lower decile (the
+    closed form of Storey, Taylor and Siegmund 2004 for the bootstrap).
+    """
+    lam = sorted(lambdas)
+    rows = res.filter(F.col(p).isNotNull() & ~F.isnan(p))
+    m = F.col("_m")
+    each = rows.groupBy(*panel_keys).agg(F.count(F.lit(1)).alias("_m"), *[F.sum(F.when(F.col(p) >= x, 1).otherwise(0)).alias(f"_w{i}") for i, x in enumerate(lam)])
+    raw = [F.col(f"_w{i}") / m / (1 - x) for i, x in enumerate(lam)]
+    if len(lam) == 1:
+        best = raw[0]
+    else:
+        at = 0.1 * (len(lam) - 1)
+        low, f = int(at), at - int(at)
+        each = each.withColumn("_pi", F.array(*raw)).withColumn("_sorted", F.sort_array("_pi"))
+        decile = F.col("_sorted")[low] * (1 - f) + F.col("_sorted")[min(low + 1, len(lam) - 1)] * f
+        each = each.withColumn("_decile", decile)
+        errors = F.array(*[F.struct((F.col(f"_w{i}") / (m * m * (1 - x) ** 2) * (1 - F.col(f"_w{i}") / m)
+                                     + F.pow(F.col("_pi")[i] - F.col("_decile"), 2)).alias("mse"), F.col("_pi")[i].alias("pi0"))
+                           for i, x in enumerate(lam)])
+        best = F.array_min(errors)["pi0"]
+    pi0 = F.least(F.lit(1.0), best)
+    return each.select(*panel_keys, F.when(pi0 > 0, pi0).alias("pi0"))
+
+
+def storey_q(res: DataFrame, panel_keys: tuple = (), p: str = "pvalue", adjusted: str = "p_adjust", lambdas: tuple = (0.05,),
+             out: str = "qvalue") -> DataFrame:
+    """Adds the q-value: the panel's proportion of true nulls times the Benjamini-Hochberg rate (null without one)."""
+    pk = list(panel_keys)
+    res = res.withColumn("_one", F.lit(1))
+    pi0 = storey_pi0(res, ["_one", *pk], p, lambdas)  # one row per panel
+    return res.join(pi0, ["_one", *pk], "left").withColumn(out, F.col("pi0") * F.col(adjusted)).drop("pi0", "_one")
+
+
+def readable(res: DataFrame, id_map: DataFrame, organism: str, keys: tuple = ("direction", "ontology", "term"), ids: str = "geneID") -> DataFrame:
+    """Gene ids in ``ids`` ('a/b/c') as symbols, in the same order; an id without a symbol stays (of several symbols the first by name)."""
+    k = list(keys)
+    symbol = (id_map.filter((F.col("organism") == organism) & F.col("ENTREZID").isNotNull())
+              .groupBy(F.col("ENTREZID").alias("_id")).agg(F.min("SYMBOL").alias("_symbol")))
+    each = res.select(*k, F.posexplode(F.split(ids, "/")).alias("_pos", "_id")).join(symbol, "_id", "left")
+    names = each.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_symbol", "_id").alias("_name")))).alias("_names"))
+    return res.join(names, k, "left").withColumn(ids, F.concat_ws("/", F.col("_names._name"))).drop("_names").select(*res.columns)
 
 
 def ora_by_direction_ontology(deg: DataFrame, id_map: DataFrame, sets: DataFrame, organism: str = "hsa",
@@ -73,7 +123,9 @@ def ora_by_direction_ontology(deg: DataFrame, id_map: DataFrame, sets: DataFrame
     m = (id_map.filter(F.col("organism") == organism)
          .select(F.col("SYMBOL").alias(gene), F.col("ENTREZID").alias("gene")).distinct())
     lists = sel.join(m, gene).select("direction", "gene")
-    s = sets.filter(F.col("organism") == organism)
+    # genes of the lists and of the sets, read several times: written once
+    lists = cut_lineage(lists, "ora-lists")
+    s = cut_lineage(sets.filter(F.col("organism") == organism), "ora-sets")
     counts = ora_counts(lists, s, ("direction",), ("ontology",), min_size, max_size)
     return ora_hypergeom(counts, ("direction", "ontology"))
 

@@ -176,6 +176,16 @@ def gene_include_exclude(expr: DataFrame, genes: DataFrame, include: bool = True
     return expr.join(keys, gene, "left_semi" if include else "left_anti")
 
 
+def target_profile(wide: DataFrame, genes: DataFrame, names: list, include: bool = True, gene: str = "gene") -> DataFrame:
+    """The rows of a wide profile for the wanted (or all but the unwanted) genes, its value columns renamed to the
+    groups' names in order; as many names as value columns, all different."""
+    values = [c for c in wide.columns if c != gene]
+    if len(names) != len(values) or len({*names, gene}) != len(names) + 1:
+        raise ValueError(f"{len(values)} different group names are needed, not {list(names)!r}")
+    kept = gene_include_exclude(wide, genes, include, gene)
+    return kept.select(gene, *[F.col(f"`{c}`").alias(n) for c, n in zip(values, names)])
+
+
 def multi_column_filter(df: DataFrame, choices: dict) -> DataFrame:
     """AND over columns of ``IN``; "all"/"All"/empty = no constraint; values
     compared as trimmed strings on both sides."""

@@ -60,12 +60,20 @@ def q_ora_counts(spark, sf_dir):
     return en.ora_counts(_lists(spark, sf_dir), _sets(spark, sf_dir))
 
 
-@register("ora_hypergeom", "SELECT * FROM bh WHERE direction = 'down' AND ontology = 'pathway'", _ORA_FX,
-          doubles=("pvalue", "p_adjust"), extra=_ora_ctes("hsa"))
+@register("ora_hypergeom", """
+WITH pi AS (SELECT direction, ontology, least(1.0, avg(CASE WHEN pvalue >= 0.05 THEN 1.0 ELSE 0 END) / 0.95) AS pi0 FROM bh GROUP BY 1, 2),
+sym AS (SELECT ENTREZID, min(SYMBOL) AS symbol FROM id_map WHERE organism = 'hsa' GROUP BY 1),
+rd AS (SELECT direction, ontology, term, string_agg(coalesce(symbol, id), '/' ORDER BY pos) AS geneID
+       FROM (SELECT direction, ontology, term, unnest(string_split(geneID, '/')) AS id,
+                    generate_subscripts(string_split(geneID, '/'), 1) AS pos FROM bh) LEFT JOIN sym ON sym.ENTREZID = id GROUP BY 1, 2, 3)
+SELECT bh.* EXCLUDE (geneID), rd.geneID, CASE WHEN pi0 > 0 THEN pi0 * p_adjust END AS qvalue
+FROM bh JOIN pi USING (direction, ontology) JOIN rd USING (direction, ontology, term)""", _ORA_FX,
+          doubles=("pvalue", "p_adjust", "qvalue"), extra=_ora_ctes("hsa"))
 def q_ora_hypergeom(spark, sf_dir):
-    lists = _lists(spark, sf_dir).filter(F.col("direction") == "down")
-    sets = _sets(spark, sf_dir).filter(F.col("ontology") == "pathway")
-    return en.ora_hypergeom(en.ora_counts(lists, sets))
+    """All directions and ontologies with Storey's q-values and gene symbols."""
+    lists, sets = cut_lineage(_lists(spark, sf_dir), "ora-lists"), cut_lineage(_sets(spark, sf_dir), "ora-sets")
+    res = cut_lineage(en.ora_hypergeom(en.ora_counts(lists, sets)), "ora-terms")
+    return en.readable(en.storey_q(res, ("direction", "ontology")), fx.id_map(spark, sf_dir), "hsa")
 
 
 @register("ora_by_direction_ontology", "SELECT * FROM bh", _ORA_FX, doubles=("pvalue", "p_adjust"),

@@ -140,6 +140,16 @@ def q_gene_include_exclude(spark, sf_dir):
     return rs.gene_include_exclude(fx.counts(spark, sf_dir), gi, include=False)
 
 
+@register("target_profile", """
+SELECT gene, S01 AS tissue, S07 AS ctc FROM (SELECT genes AS gene, S01, S07 FROM normcounts)
+WHERE gene IN (SELECT gene_id FROM gene_info WHERE gene_type = 'ECONOMY')""", ("normcounts", "gene_info"), doubles=("tissue", "ctc"))
+def q_target_profile(spark, sf_dir):
+    """Expression of the wanted genes in two samples, under the groups' names."""
+    gi = fx.gene_info(spark, sf_dir).filter(F.col("gene_type") == "ECONOMY").select("gene_id")
+    wide = fx.normcounts_wide(spark, sf_dir).select(F.col("genes").alias("gene"), "S01", "S07")
+    return rs.target_profile(wide, gi, ["tissue", "ctc"])
+
+
 @register("multi_column_filter", """
 SELECT * FROM long_expr WHERE trim(main_code) IN ('BC001', 'BC002') AND trim(normalization) IN ('max_TPM', 'max_Cov')""",
           ("long_expr",), doubles=("value",))
