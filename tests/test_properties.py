@@ -27,7 +27,7 @@ def long_frame(spark, mat, rows, cols, names=("gene", "sample", "value")):
 
 def naive_average_linkage(d: np.ndarray, h: float):
     """Merge the closest pair (ties by lowest ids) while distance <= h."""
-    clusters = {i: [i] for i in range(len(d))}
+    clusters, heights = {i: [i] for i in range(len(d))}, []
     while len(clusters) > 1:
         best = None
         keys = sorted(clusters)
@@ -38,9 +38,10 @@ def naive_average_linkage(d: np.ndarray, h: float):
                 best = key
         if best[0] > h:
             break
+        heights.append(best)
         _, a, b = best
         clusters[a] = clusters[a] + clusters.pop(b)
-    return sorted(sorted(c) for c in clusters.values())
+    return sorted(sorted(c) for c in clusters.values()), sorted(heights)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -57,9 +58,35 @@ def test_average_linkage_matches_naive(spark, seed):
     got = {}
     for r in labels.collect():
         got.setdefault(r["cluster"], []).append(int(r["item"][1:]))
-    assert sorted(sorted(v) for v in got.values()) == naive_average_linkage(d, h)
-    hs = [r["height"] for r in merges.collect()]
-    assert all(x <= h + 1e-12 for x in hs)
+    want, tree = naive_average_linkage(d, h)
+    assert sorted(sorted(v) for v in got.values()) == want
+    found = sorted((r["height"], int(r["c1"][1:]), int(r["c2"][1:])) for r in merges.collect())
+    assert len(found) == len(tree)
+    for (x, a, b), (y, i, j) in zip(found, tree):
+        assert abs(x - y) < 1e-9 and (a, b) == (i, j)
+
+
+def test_linkage_rewrites_only_what_merged(spark, monkeypatch):
+    """Two far groups and a chain: the rows written per round fall with the clusters that changed; trees of several groups agree with naive ones."""
+    rng = np.random.default_rng(3)
+    n, rows, want = 24, [], {}
+    for t in ("x", "y"):
+        pts = rng.normal(size=(n, 2)) + np.repeat([0, 50], n // 2)[:, None]
+        d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+        want[t] = naive_average_linkage(d, 1e9)[1]
+        rows += [(t, f"i{i:02d}", f"i{j:02d}", float(d[i, j])) for i in range(n) for j in range(i + 1, n)]
+    written = []
+    add = lk.PairStore.add
+    monkeypatch.setattr(lk.PairStore, "add", lambda self, made, part, whole=False: written.append(add(self, made, part, whole)) or written[-1])
+    _, merges = lk.average_linkage_cut(spark.createDataFrame(rows, "t string, a string, b string, d double"), group_cols=("t",))
+    for t, tree in want.items():
+        found = sorted((r["height"], int(r["c1"][1:]), int(r["c2"][1:])) for r in merges.collect() if r["t"] == t)
+        assert [(a, b) for _, a, b in found] == [(a, b) for _, a, b in tree]
+        assert np.allclose([x for x, *_ in found], [x for x, *_ in tree])
+    top = {r["t"]: (r["max_height"], r["n_merges"]) for r in lk.tree_height(merges, ("t",)).collect()}
+    assert all(math.isclose(top[t][0], tree[-1][0]) and top[t][1] == n - 1 for t, tree in want.items())
+    # after the pairs themselves, all rounds together write fewer rows than there are pairs
+    assert written[0] == len(rows) and written[-1] <= 2 and sum(written[1:]) < len(rows), written
 
 
 def test_linkage_full_tree_height(spark):
