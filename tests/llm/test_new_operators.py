@@ -220,3 +220,25 @@ def test_language_edges(spark):
     one = op13.fitted(spark.createDataFrame(learn[:1], schema))
     assert {(r["lang_pred"], r["score"]) for r in op13.predicted(docs.filter("doc_id = 7"), one).collect()} == {("en", 1.0)}
     assert op13.predicted(docs.limit(0), model).collect() == []
+
+
+# ---------------------------------------------------------------------------
+# repeated rows in the pipeline's stages
+# ---------------------------------------------------------------------------
+
+
+def test_repeated_rows(spark):
+    from transcripta.llm import op2_dart_minhash as op2, op9_fair_queue_mix as op9
+    text = " ".join(f"word{i} is here" for i in range(40))
+    rows = [(1, text, "a", 10), (1, text, "a", 10), (1, text, "a", 11), (2, text + " too", "a", 12), (3, "other words altogether", "b", 13),
+            (None, text, "a", 14), (None, text, "a", 14), (4, None, "b", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    kept = op2.one_per_group(docs).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 1, 3, 4]
+    for seed in range(4):  # the mix gives what the queue took, whatever the copies of single rows
+        table = [(i % 7, f"w{i % 7} " * (3 + i % 7), "abc"[i % 3], i) for i in range(30 + seed)] + [(9, "x " * 50, "a", 0)] * (5 + 2 * seed)
+        docs = spark.createDataFrame(table, "doc_id long, text string, source string, extra long")
+        queue = op9.fair_queue(docs).groupBy("doc_id", "source").agg({"copies": "sum"}).collect()
+        mix = op9.mixed_documents(docs)
+        got = {(r["doc_id"], r["source"]): r["count"] for r in mix.groupBy("doc_id", "source").count().collect()}
+        assert mix.columns == docs.columns and got == {(r[0], r[1]): r[2] for r in queue if r[2]}

@@ -279,11 +279,20 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BAN
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The first document of each near-duplicate class (and rows without an id), columns as they came."""
+    """The first document of each near-duplicate class (and rows without an id), columns as they came.
+
+    Of rows that share the kept id one stays, the one with the smallest hash of its columns.
+    """
     groups = near_groups(docs, **options)
     drop = groups.filter("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti")
-    return kept
+    again = cut_lineage(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+                        .filter("__n > 1").select("__id"), "near-repeated")
+    once = kept.join(again, kept["doc_id"] == again["__id"], "left_anti")
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    one = (kept.join(again, kept["doc_id"] == again["__id"], "left_semi").groupBy(F.col("doc_id").alias("__id"))
+           .agg(F.min_by(F.struct(*row), F.xxhash64(*row)).alias("__row")))
+    return once.unionByName(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,10 +157,6 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         base.alias("base_failed"), "kept", "n_loud", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
 
 
-#: The SQL still has the upper limit of words that the rules had; it differs for longer texts only.
-_SQL_RULES = (*BASE_RULES, Rule("many_words", "n_words", high=100_000), *RATIO_RULES)
-
-
 def _sql_rule(r: Rule) -> str:
     unit = f" * CAST({r.per} AS DOUBLE)" if r.per else ""
     parts = []
@@ -201,6 +197,6 @@ LEFT JOIN (
 ORACLE = f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   ({' OR '.join(_sql_rule(r) for r in BASE_RULES)}) AS base_failed,
-  NOT ({' OR '.join(_sql_rule(r) for r in _SQL_RULES)}) AS kept,
+  NOT ({' OR '.join(_sql_rule(r) for r in (*BASE_RULES, *RATIO_RULES))}) AS kept,
   n_loud, n_stop_words, n_lines, n_bullet_lines, n_ellipsis_lines
 FROM ({measures_sql()})"""

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from transcripta.functions.ranking import global_row_number
 from transcripta.llm.common import table, text_of, words_of
 from transcripta.session import cut_lineage
 
@@ -124,15 +125,29 @@ def _null_safe(left: DataFrame, right: DataFrame, *also: str, how: str = "inner"
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, a document taken n times as n rows, with the columns of ``docs``."""
-    n = fair_queue(docs, **options).filter("copies > 0").groupBy("doc_id", "tie", "size").agg(
-        F.max("copies").alias("__n"))
+    """The documents of the mix, a document taken n times as n rows, with the columns of ``docs``.
+
+    Rows that share id, source and text are taken together as often as the
+    queue took them: their copies are dealt out evenly over them.
+    """
+    n = fair_queue(docs, **options).groupBy("doc_id", "tie", "size", "source").agg(
+        F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")).filter("__n > 0")
+    n = n.withColumnsRenamed({"doc_id": "__id", "tie": "__tie", "size": "__size", "source": "__source"})
     tie = F.crc32(text_of().cast("binary"))
     size = F.size(words_of(text_of())).cast("long")
-    n = n.withColumnsRenamed({"doc_id": "__id", "tie": "__tie", "size": "__size"})
-    out = docs.join(n, docs["doc_id"].eqNullSafe(n["__id"]) & (tie == n["__tie"]) & (size == n["__size"]))
-    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    out = docs.join(n, docs["doc_id"].eqNullSafe(n["__id"]) & (tie == n["__tie"]) & (size == n["__size"])
+                    & docs["source"].eqNullSafe(n["__source"]))
+    # repeated rows are numbered by ranges, so that no task holds all rows of one document
+    keys = ["__id", "__tie", "__size", "__source"]
+    many, _ = global_row_number(out.filter("__rows > 1").withColumn("__at", F.monotonically_increasing_id()), [*keys, "__at"], "__place")
+    first = many.groupBy(*keys).agg(F.min("__place").alias("__first")).withColumnsRenamed({k: f"{k}_" for k in keys})
+    on = [many[k].eqNullSafe(first[f"{k}_"]) for k in keys]
+    many = many.join(first, on[0] & on[1] & on[2] & on[3])
+    share = F.floor(F.col("__n") / F.col("__rows")) + F.when(F.col("__place") - F.col("__first") < F.col("__n") % F.col("__rows"), 1).otherwise(0)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    every = out.filter("__rows = 1").select(*columns, F.col("__n").cast("int").alias("__n")).unionByName(
+        many.select(*columns, share.cast("int").alias("__n")).filter("__n > 0"))
+    return every.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
 
 
 def op9_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
