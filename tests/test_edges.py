@@ -353,3 +353,18 @@ def test_readable_ids_and_group_names(spark):
     for names in (["x"], ["x", "x"], ["gene", "y"]):
         with pytest.raises(ValueError):
             rs.target_profile(wide, genes, names)
+
+
+def test_first_match_does_not_depend_on_partitions(spark):
+    from transcripta.operators import immune as im
+    g1 = spark.createDataFrame([("a", 5.0), ("b", 9.0)], "Gene string, max_TPM double")
+    rows = [("a", 3.0, 2), ("a", 1.0, 3), ("a", 8.0, 1), ("a", None, 4), ("b", None, 1), ("b", 0.0, 2)]
+    for part in (1, 7):
+        g2 = spark.createDataFrame(rows, "Gene string, max_TPM double, at int").repartition(part, "at")
+        for order, want in ((None, {"a": 1.0, "b": 0.0}), ("at", {"a": 8.0, "b": None})):
+            got = {r["Gene"]: r["ctc"] for r in cmp.cmp_two_samples(g1, g2, order_col=order, offset=0.0).collect()}
+            assert got == want
+            special = cmp.cmp_special_genes(g1, g2, low=0.5, order_col=order).collect()
+            assert [(r["Gene"], r["rule"]) for r in special] == ([("b", "group1")] if order is None else [])
+            long = {(r["Gene"], r["sample"]): r["value"] for r in im.immune_matrix(g1, g2, order_col=order).collect()}
+            assert long[("a", "sample2")] == want["a"] and (("b", "sample2") in long) == (want["b"] is not None)

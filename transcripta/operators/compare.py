@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transcripta.operators.joins import first_per_key
+from transcripta.operators.joins import first_order, first_per_key
 
 
 def cmp_two_samples(g1: DataFrame, g2: DataFrame, names: tuple = ("tissue", "ctc"),
@@ -13,8 +13,9 @@ def cmp_two_samples(g1: DataFrame, g2: DataFrame, names: tuple = ("tissue", "ctc
                     noise: float = 1.0, offset: float = 1e-4) -> DataFrame:
     """First-match join of two profiles on gene; keep genes with either
     value > ``noise``; add ``offset`` to both.  The first match is the first
-    row by ``order_col``, or in table order without one.  Output ``(Gene, <n1>, <n2>)``."""
-    r = g2.select(gene, F.col(value).alias("_v2"), (F.col(order_col) if order_col else F.monotonically_increasing_id()).alias("_o"))
+    row by ``order_col`` of the second profile, without one the smallest value
+    (never the layout of partitions).  Output ``(Gene, <n1>, <n2>)``."""
+    r = g2.select(gene, F.col(value).alias("_v2"), first_order(value, order_col).alias("_o"))
     j = (g1.select(gene, F.col(value).alias("_v1"))
          .join(first_per_key(r, gene, "_o").drop("_o"), gene, "left"))
     keep = (F.col("_v1") > noise) | (F.col("_v2") > noise)
@@ -23,12 +24,13 @@ def cmp_two_samples(g1: DataFrame, g2: DataFrame, names: tuple = ("tissue", "ctc
 
 
 def cmp_special_genes(g1: DataFrame, g2: DataFrame, gene: str = "Gene", value: str = "max_TPM",
-                      high: float = 100.0, low: float = 0.001) -> DataFrame:
+                      high: float = 100.0, low: float = 0.001, order_col: str | None = None) -> DataFrame:
     """Genes with (g1 < high and g2 < low) or (g1 < low and g2 < high); a gene
-    may appear twice (as the reference concatenates both lists)."""
-    r = g2.select(gene, F.col(value).alias("_v2"))
+    may appear twice (both lists are put together).  First match as in
+    ``cmp_two_samples``."""
+    r = g2.select(gene, F.col(value).alias("_v2"), first_order(value, order_col).alias("_o"))
     j = (g1.select(gene, F.col(value).alias("_v1"))
-         .join(first_per_key(r.withColumn("_o", F.monotonically_increasing_id()), gene, "_o").drop("_o"), gene, "left"))
+         .join(first_per_key(r, gene, "_o").drop("_o"), gene, "left"))
     a = j.filter((F.col("_v1") < high) & (F.col("_v2") < low)).select(gene, F.lit("group1").alias("rule"))
     b = j.filter((F.col("_v1") < low) & (F.col("_v2") < high)).select(gene, F.lit("group2").alias("rule"))
     return a.unionAll(b)

@@ -11,20 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transcripta.operators.joins import first_per_key
+from transcripta.operators.joins import first_order, first_per_key
 from transcripta.operators.reshape import complete_cases
 from transcripta.session import ship_package
 
 
 def immune_matrix(g1: DataFrame, g2: DataFrame, names: tuple = ("sample1", "sample2"),
-                  gene: str = "Gene", value: str = "max_TPM") -> DataFrame:
-    """Two profiles first-match joined on gene, complete cases, long
+                  gene: str = "Gene", value: str = "max_TPM", order_col: str | None = None) -> DataFrame:
+    """Two profiles first-match joined on gene (the first row of the second by
+    ``order_col``, without one the smallest value), complete cases, long
     ``(Gene, sample, value)``; required columns are validated."""
     for df in (g1, g2):
         missing = {gene, value} - set(df.columns)
         if missing:
             raise ValueError(f"profile lacks columns {sorted(missing)}")
-    r = g2.select(gene, F.col(value).alias(names[1]), F.monotonically_increasing_id().alias("_o"))
+    r = g2.select(gene, F.col(value).alias(names[1]), first_order(value, order_col).alias("_o"))
     wide = (g1.select(gene, F.col(value).alias(names[0]))
             .join(first_per_key(r, gene, "_o").drop("_o"), gene, "left"))
     wide = complete_cases(wide)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def first_per_key(right: DataFrame, key: str, order_col: str) -> DataFrame:
     return right.groupBy(key).agg(packed.alias("_r")).select(key, "_r.*")
 
 
+def first_order(value: str, order_col: str | None = None) -> Column:
+    """What the first of several rows goes by: ``order_col``, or the smallest value (nulls last)."""
+    return F.col(order_col) if order_col else F.struct(F.col(value).isNull(), F.col(value))
+
+
 def join_first_match(left: DataFrame, right: DataFrame, key: str, order_col: str,
                      how: str = "left") -> DataFrame:
     """Left join taking only the first right row per key (R's ``match``)."""
