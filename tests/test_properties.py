@@ -657,7 +657,7 @@ def test_distributed_bh_and_rank_match_window(spark):
     p = np.round(rng.uniform(size=3000), 4)
     rows = [(f"g{i:05d}", float(v) if i % 97 else None) for i, v in enumerate(p)]
     df = spark.createDataFrame(rows, "gene string, p double")
-    a = {r["gene"]: r["FDR"] for r in bh_adjust(df, "p", "gene").collect()}
+    a = {r["gene"]: r["FDR"] for r in bh_adjust(df, "p", "gene", distributed=False).collect()}
     b = {r["gene"]: r["FDR"] for r in bh_adjust(df, "p", "gene", distributed=True).collect()}
     assert a.keys() == b.keys()
     for g in a:
@@ -672,7 +672,7 @@ def test_distributed_ranked_list_matches_window(spark):
     from tests.conftest import SF_SMALL
     from transcripta.plans import fixtures as fx
     d, m = fx.deg(spark, SF_SMALL), fx.id_map(spark, SF_SMALL)
-    a = sorted(tuple(r) for r in en.gsea_ranked_list(d, m, "hsa", "down").collect())
+    a = sorted(tuple(r) for r in en.gsea_ranked_list(d, m, "hsa", "down", distributed=False).collect())
     b = sorted(tuple(r) for r in en.gsea_ranked_list(d, m, "hsa", "down", distributed=True)
                .select("gene", "metric", "pos", "N").collect())
     assert a == b
