@@ -117,7 +117,7 @@ def test_edit_distance_and_segments():
             index = set(op4.segment_keys([short], False)[1].tolist())
             assert index & {*op4.segment_keys([long], True)[1].tolist(), *op4.segment_keys([long], False)[1].tolist()}
             x = op4.parity_sketch([short, long]).view(np.uint64)
-            assert int(np.bitwise_count(x[0] ^ x[1]).sum()) <= 2 * op4.GRAM * op4.MAX_EDITS
+            assert int(np.bitwise_count(x[0] ^ x[1]).sum()) <= 2 * op4.GRAM * distance(short, long)
 
 
 def test_long_lines_within_a_share_of_their_length(spark):
