@@ -676,3 +676,59 @@ def test_distributed_ranked_list_matches_window(spark):
     b = sorted(tuple(r) for r in en.gsea_ranked_list(d, m, "hsa", "down", distributed=True)
                .select("gene", "metric", "pos", "N").collect())
     assert a == b
+
+
+@pytest.mark.parametrize("slice_size,block_size", [(4, 2), (9, 64), (4096, 1)])
+def test_kendall_by_slices_equals_the_definition(spark, slice_size, block_size):
+    rng = np.random.default_rng(slice_size)
+    n = 60
+    cols = {"fine": rng.normal(size=n), "few": rng.integers(0, 4, n).astype(float), "zeros": np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n)),
+            "holes": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 9, n)), "flat": np.ones(n), "half": rng.integers(-5, 2, n) * 0.5}
+    names = list(cols)
+    m = np.stack([cols[c] for c in names], axis=1)
+    a = long_frame(spark, m, [f"g{i}" for i in range(n)], names)
+    b = a.withColumnRenamed("sample", "tissue").unionByName(  # a column without a common gene
+        spark.createDataFrame([("elsewhere", "lone", 1.0)], "gene string, tissue string, value double"))
+    got = {(r["sample"], r["tissue"]): (r["tau"], r["n"]) for r in
+           pw.kendall_pairs(a, b, block_size=block_size, slice_size=slice_size).collect()}
+    assert len(got) == len(names) * (len(names) + 1)
+    for p, q in itertools.product(names, names):
+        ok = ~(np.isnan(cols[p]) | np.isnan(cols[q]))
+        x, y = cols[p][ok], cols[q][ok]
+        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        spread = math.sqrt((sx * sx).sum() * (sy * sy).sum())
+        tau, count = got[(p, q)]
+        assert count == ok.sum()
+        assert math.isnan(tau) if spread == 0 else math.isclose(tau, (sx * sy).sum() / spread, rel_tol=1e-9, abs_tol=1e-12)
+    assert got[("fine", "lone")][1] == 0 and math.isnan(got[("fine", "lone")][0])
+
+
+def test_pca_power_steps_reach_the_leading_components(spark):
+    """Fewer basis columns than samples: the power steps end at numpy's leading vectors, whatever the partitions."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60, 3)) @ np.diag([9.0, 6.0, 4.0]) @ rng.normal(size=(3, 24)) + 0.3 * rng.normal(size=(60, 24))
+    samples = [f"s{j:02d}" for j in range(24)]
+    df = long_frame(spark, m, [f"g{i:02d}" for i in range(60)], samples)
+    x = m.T
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    for frame in (df, df.repartition(5, "sample")):
+        res = mv.pca(frame, k=3, oversample=2, tol=1e-10)
+        rows = {r["sample"]: [r["PC1"], r["PC2"], r["PC3"]] for r in res["scores"].collect()}
+        genes = {r["gene"]: [r["PC1"], r["PC2"], r["PC3"]] for r in res["genes"].collect()}
+        for c in range(3):
+            sign = np.sign(u[np.argmax(np.abs(u[:, c])), c])
+            assert np.allclose([rows[n][c] for n in samples], sign * u[:, c] * s[c], atol=1e-6)
+            assert np.allclose([genes[f"g{i:02d}"][c] for i in range(60)], sign * vt[c] * s[c], atol=1e-6)
+        sd = [r["sdev"] for r in res["explained"].orderBy("pc").collect()]
+        assert np.allclose(sd, s[:3] / math.sqrt(23), rtol=1e-9)
+
+
+def test_pca_of_low_rank_and_constant_tables(spark):
+    one = np.outer(np.arange(1.0, 9.0), np.array([1.0, 2.0, 4.0, 7.0]))  # every gene is the same line
+    df = long_frame(spark, one, [f"g{i}" for i in range(8)], [f"s{j}" for j in range(4)])
+    res = mv.pca(df, k=3)
+    assert res["scores"].columns == ["sample", "PC1"]
+    assert math.isclose(res["explained"].first()["proportion"], 1.0, rel_tol=1e-9)
+    flat = long_frame(spark, np.ones((3, 4)), ["a", "b", "c"], [f"s{j}" for j in range(4)])
+    assert mv.pca(flat)["status"] == "insufficient"
