@@ -732,3 +732,66 @@ def test_pca_of_low_rank_and_constant_tables(spark):
     assert math.isclose(res["explained"].first()["proportion"], 1.0, rel_tol=1e-9)
     flat = long_frame(spark, np.ones((3, 4)), ["a", "b", "c"], [f"s{j}" for j in range(4)])
     assert mv.pca(flat)["status"] == "insufficient"
+
+
+def naive_blocks(x: np.ndarray, cap: int) -> set:
+    """Bisection at the mean (or median, if lopsided) along the widest direction, one block at a time."""
+    todo, done = [np.arange(len(x))], set()
+    while todo:
+        at = todo.pop()
+        if len(at) <= cap:
+            done.add(frozenset(at.tolist()))
+            continue
+        y = x[at] - x[at].mean(0)
+        t = y @ np.linalg.svd(y, full_matrices=False)[2][0]
+        right = t > 0
+        if not 0.1 <= right.mean() <= 0.9:
+            return set()  # the fixture does not come here
+        todo += [at[right], at[~right]]
+    return done
+
+
+def test_gene_blocks_bisect_by_similarity(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(6, 10))
+    m = np.vstack([base[g] + 0.1 * rng.normal(size=(9, 10)) for g in range(6)])
+    genes = [f"g{i:02d}" for i in rng.permutation(54)]  # names say nothing about the groups
+    df = long_frame(spark, m, genes, [f"s{j}" for j in range(10)])
+    got = {}
+    for r in nw.gene_blocks(df, max_block_size=12).collect():
+        got.setdefault(r["block"], set()).add(r["gene"])
+    assert sorted(got) == list(range(1, len(got) + 1)) and max(map(len, got.values())) <= 12
+    for g in range(6):  # planted groups are never cut
+        assert any(set(genes[9 * g:9 * g + 9]) <= b for b in got.values())
+    z = (m - m.mean(1, keepdims=True)) / m.std(1, ddof=1, keepdims=True)
+    want = {frozenset(genes[i] for i in b) for b in naive_blocks(z, 12)}
+    assert want and {frozenset(b) for b in got.values()} == want
+
+
+def test_gene_blocks_of_equal_genes(spark):
+    df = long_frame(spark, np.tile([1.0, 2.0, 4.0, 3.0], (40, 1)), [f"g{i:02d}" for i in range(40)], ["a", "b", "c", "d"])
+    sizes = [r["count"] for r in nw.gene_blocks(df, max_block_size=7).groupBy("block").count().collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 7
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_make_unique_equals_one_pass(spark, seed):
+    """Names taken in turn: the first free suffix of the name, given names are never reused."""
+    from transcripta.operators.reshape import make_unique
+    rng = np.random.default_rng(seed)
+    names = ["hot"] * 120 + [f"hot.{int(k)}" for k in rng.integers(1, 160, 50)] + ["b", "b", None, None, "b.1", "b.1", "b.01", "c"]
+    names = [names[i] for i in rng.permutation(len(names))]
+    given, next_of, seen, want = set(names), {}, set(), []
+    for n in names:
+        if n is None or n not in seen:
+            want.append(n)
+            seen.add(n)
+            continue
+        k = next_of.get(n, 0) + 1
+        while f"{n}.{k}" in given:
+            k += 1
+        next_of[n] = k
+        want.append(f"{n}.{k}")
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string").repartition(5)
+    got = [r["unique_name"] for r in make_unique(df, "name", "i").orderBy("i").collect()]
+    assert got == want

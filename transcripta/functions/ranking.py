@@ -35,6 +35,26 @@ def global_row_number(df: DataFrame, order_cols: list, out: str = "rn",
     return numbered, rp
 
 
+def keyed_running_sum(df: DataFrame, key: str, order_cols: list, value: Column, out: str) -> DataFrame:
+    """Add the sum of ``value`` over the key's rows up to and with the row, in the order of ``order_cols``.
+
+    Rows are cut into ranges of (key, order), which is written as a column; a
+    window sees one key's rows of one range, or the ranges of one key, so a key
+    on all rows is spread over all tasks.  The order must be total within a key.
+    """
+    k = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    ranged = cut_lineage(df.withColumn("_add", value).repartitionByRange(k, F.col(key), *cols)
+                         .withColumn("_range", F.spark_partition_id()), "running")
+    totals = ranged.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(F.sum("_add").alias("_t"))
+    upto = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = totals.select("_key", "_at", (F.sum("_t").over(upto) - F.col("_t")).alias("_ahead"))
+    inside = Window.partitionBy(key, "_range").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn(out, F.sum("_add").over(inside))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at"))
+    return summed.join(ahead, same).withColumn(out, F.col(out) + F.col("_ahead")).select(*df.columns, out)
+
+
 def value_slice(v: Column, per_doubling: int = 256) -> Column:
     """A whole number that grows with v: so many slices per power of two on either side of 0, the infinities by themselves."""
     size = F.when(F.abs(v) == float("inf"), F.lit(1 << 30)).otherwise(F.floor((F.log2(F.abs(v)) + 1100) * per_doubling) + 1)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcripta.functions.columns import nan_to_null, parse_list
+from transcripta.functions.ranking import keyed_running_sum
+from transcripta.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------
@@ -125,33 +127,30 @@ def make_unique(df: DataFrame, name: str, order: str, out: str = "unique_name")
     """Repeated names get ``.1``, ``.2``... in order of appearance, skipping
     suffixes that already exist as names (same rule as R's make.unique).
 
-    Distributed: per base name, the i-th duplicate takes the i-th positive
-    integer k whose ``name.k`` is not an existing name; the candidate list of
-    a name is bounded by its own duplicate count plus its taken suffixes.
+    Rows are numbered within a name by ranges (``keyed_running_sum``), so one
+    name on all rows is spread over all tasks.  The i-th repeat of a name takes
+    the i-th positive integer that is no suffix of it yet: i plus the number of
+    taken suffixes with fewer than i free integers below them, which a running
+    count over repeats and suffixes of a name gives.  ``order`` must be total
+    within a name; null names stay null.
     """
-    w = Window.partitionBy(name).orderBy(order)
-    ranked = df.withColumn("_dup", F.row_number().over(w) - 1)
-    names = df.select(F.col(name).alias("_n")).distinct()
-    dups = ranked.filter(F.col("_dup") > 0)
-    need = dups.groupBy(F.col(name).alias("_b")).agg(F.max("_dup").alias("_d"))
+    numbered = cut_lineage(keyed_running_sum(df, name, [order], F.lit(1), "_no"), "numbered")
     # a suffix blocks k only when it is written as k is (``a.01`` does not block ``a.1``)
     suffix = r"^(?s)(.*)\.([1-9][0-9]{0,17})$"
-    taken = (names.filter(F.col("_n").rlike(suffix))
-             .select(F.regexp_extract("_n", suffix, 1).alias("_b"),
-                     F.regexp_extract("_n", suffix, 2).cast("long").alias("_k")))
-    n_taken = taken.groupBy("_b").agg(F.count(F.lit(1)).alias("_t"))
-    cand = (need.join(n_taken, "_b", "left")
-            .select("_b", "_d", F.explode(F.sequence(F.lit(1).cast("long"),
-                                                     (F.col("_d") + F.coalesce(F.col("_t"), F.lit(0))).cast("long"))
-                                          ).alias("_k")))
-    free = cand.join(taken, ["_b", "_k"], "left_anti")
-    wf = Window.partitionBy("_b").orderBy("_k")
-    free = (free.withColumn("_dup", F.row_number().over(wf)).filter(F.col("_dup") <= F.col("_d"))
-            .select(F.col("_b").alias(name), "_dup", "_k"))
-    res = ranked.join(free, [name, "_dup"], "left")
-    return res.withColumn(out, F.when(F.col("_dup") == 0, F.col(name))
-                          .otherwise(F.concat(F.col(name), F.lit("."), F.col("_k").cast("string")))
-                          ).drop("_dup", "_k")
+    taken = (numbered.select(F.col(name).alias("_n")).filter(F.col("_n").rlike(suffix)).distinct()
+             .select(F.regexp_extract("_n", suffix, 1).alias("_b"), F.regexp_extract("_n", suffix, 2).cast("long").alias("_k")))
+    repeats = numbered.filter(F.col("_no") > 1).select(F.col(name).alias("_b"), (F.col("_no") - 1).alias("_i"))
+    taken = taken.join(repeats.select("_b").distinct(), "_b", "left_semi")
+    taken = keyed_running_sum(taken, "_b", ["_k"], F.lit(1), "_m").select("_b", (F.col("_k") - F.col("_m")).alias("_i"))
+    # a repeat comes before a suffix with as many free integers below it as the repeat's number
+    events = (repeats.join(taken.select("_b").distinct(), "_b", "left_semi").withColumn("_taken", F.lit(0))
+              .unionByName(taken.withColumn("_taken", F.lit(1))))
+    moved = (keyed_running_sum(events, "_b", ["_i", "_taken"], F.col("_taken"), "_skip").filter("_taken = 0")
+             .select(F.col("_b").alias("_base"), (F.col("_i") + 1).alias("_row"), "_skip"))
+    res = numbered.join(moved, (F.col(name) == F.col("_base")) & (F.col("_no") == F.col("_row")), "left")
+    k = F.col("_no") - 1 + F.coalesce("_skip", F.lit(0))
+    return res.withColumn(out, F.when(F.col("_no") == 1, F.col(name)).otherwise(
+        F.concat(F.col(name), F.lit("."), k.cast("string")))).select(*df.columns, out)
 
 
 def expr_subset(expr: DataFrame, gene_list: DataFrame, gene_info: DataFrame | None = None,

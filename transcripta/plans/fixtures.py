@@ -66,6 +66,25 @@ def normcounts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.lit(1).alias("_c0"), F.col("gene").alias("genes"), *samples)
 
 
+def run_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Expression, DEG and sample tables of one run per ship year, keyed by table prefix, with a ``run`` time token.
+
+    Cells of a run are the quantities shipped in its year; absent cells are null.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    month = F.month("l_shipdate")
+    cells = (li.groupBy(_gene("l_partkey").alias("genes"), month.alias("m"), F.year("l_shipdate").alias("y"))
+             .agg(F.sum("l_quantity").cast("double").alias("value"))
+             .select("genes", F.concat(F.lit("S"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("mainCode"),
+                     F.when(F.col("m") <= 6, F.lit(CONTROL)).otherwise(F.lit(CASE)).alias("subCode"),
+                     F.concat(F.col("y").cast("string"), F.lit("0101t000000z")).alias("run"), "value"))
+    wide = cells.groupBy("genes", "run").pivot("mainCode", [f"S{m:02d}" for m in range(1, 13)]).agg(F.first("value"))
+    total = {g: F.coalesce(F.sum(F.when(F.col("subCode") == g, F.col("value"))), F.lit(0.0)) for g in (CASE, CONTROL)}
+    change = cells.groupBy("genes", "run").agg((F.log2(total[CASE] + 1) - F.log2(total[CONTROL] + 1)).alias("logFC"))
+    return {"normcounts": wide.withColumn("_c0", F.lit(1)), "exacttest": change,
+            "coldata": cells.select("mainCode", "subCode", "run").distinct()}
+
+
 def long_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     agg = (li.groupBy(

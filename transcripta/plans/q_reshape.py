@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transcripta.functions.columns import round_numeric
+from transcripta.functions.ranking import global_row_number
 from transcripta.operators import reshape as rs
 from transcripta.plans import fixtures as fx
 from transcripta.plans.fixture_sql import SAMPLES
@@ -102,10 +103,9 @@ WITH gl AS (SELECT gene_id AS gene, CAST(row_number() OVER (ORDER BY gene_name,
 SELECT c.gene, c.sample, c.grp, c.value, gl.pos AS list_pos FROM counts c JOIN gl USING (gene)""",
           ("counts", "gene_info"))
 def q_expr_subset(spark, sf_dir):
-    from pyspark.sql import Window
     gi = fx.gene_info(spark, sf_dir).filter(F.col("gene_type") == "STANDARD")
-    gl = gi.select(F.col("gene_id").alias("gene"),
-                   F.row_number().over(Window.orderBy("gene_name", "pos")).alias("pos"))
+    numbered, _ = global_row_number(gi.select("gene_name", "pos", "gene_id"), ["gene_name", "pos"], out="list_no")
+    gl = numbered.select(F.col("gene_id").alias("gene"), F.col("list_no").cast("int").alias("pos"))
     return rs.expr_subset(fx.counts(spark, sf_dir), gl)
 
 
@@ -113,9 +113,9 @@ _MAKE_UNIQUE_SQL = """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY gene_name ORDER BY pos) - 1 AS dup FROM gene_info),
 names AS (SELECT DISTINCT gene_name AS n FROM gene_info),
 need AS (SELECT gene_name AS b, max(dup) AS d FROM r WHERE dup > 0 GROUP BY gene_name),
-taken AS (SELECT regexp_extract(n, '^(.*)\\.(\\d+)$', 1) AS b,
-                 CAST(regexp_extract(n, '^(.*)\\.(\\d+)$', 2) AS BIGINT) AS k
-          FROM names WHERE regexp_extract(n, '^(.*)\\.(\\d+)$', 2) <> ''),
+taken AS (SELECT regexp_extract(n, '^(.*)\\.([1-9]\\d{0,17})$', 1) AS b,
+                 CAST(regexp_extract(n, '^(.*)\\.([1-9]\\d{0,17})$', 2) AS BIGINT) AS k
+          FROM names WHERE regexp_extract(n, '^(.*)\\.([1-9]\\d{0,17})$', 2) <> ''),
 nt AS (SELECT b, count(*) AS t FROM taken GROUP BY b),
 cand AS (SELECT need.b, need.d, unnest(range(1, need.d + coalesce(nt.t, 0) + 1)) AS k
          FROM need LEFT JOIN nt USING (b)),

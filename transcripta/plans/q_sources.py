@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from transcripta.plans import fixtures as fx
@@ -40,32 +42,32 @@ def q_src_normalise_columns(spark, sf_dir):
     return catalog.src_normalise_columns(fx.normcounts_wide(spark, sf_dir))
 
 
-@register("src_load_run", f"""
-WITH r AS (SELECT name, {TIME_SQL.format(n='name')} AS time, {ROLE_SQL.format(n='name')} AS role
-           FROM run_tables WHERE database = 'proj0_alice'),
-e AS (SELECT min(name) AS source_table FROM r WHERE role = 'expression'
-      AND time = (SELECT max(time) FROM r WHERE role = 'expression'))
-SELECT e.source_table, genes AS GeneSymbol, {', '.join(SAMPLES)} FROM normcounts, e""",
-          ("run_tables", "normcounts"), doubles=tuple(SAMPLES))
+@register("src_load_run", """
+WITH y AS (SELECT 'G' || CAST(l_partkey AS VARCHAR) AS gene, month(l_shipdate) AS m, year(l_shipdate) AS y, sum(l_quantity) AS v
+           FROM lineitem GROUP BY ALL),
+n AS (SELECT gene, 'S' || lpad(CAST(m AS VARCHAR), 2, '0') AS sample, CASE WHEN m <= 6 THEN 'control' ELSE 'case' END AS grp,
+             CAST(v AS DOUBLE) AS v, CAST(y AS VARCHAR) || '0101t000000z' AS run FROM y WHERE y = (SELECT max(y) FROM y))
+SELECT 'expression' AS role, 'normcounts_' || run AS source_table, gene AS item, sample AS field, v AS value, NULL::VARCHAR AS label FROM n
+UNION ALL SELECT 'deg', 'exacttest_' || run, gene, 'logFC', log2(coalesce(sum(v) FILTER (WHERE grp = 'case'), 0) + 1)
+                 - log2(coalesce(sum(v) FILTER (WHERE grp = 'control'), 0) + 1), NULL FROM n GROUP BY run, gene
+UNION ALL SELECT DISTINCT 'samples', 'coldata_' || run, sample, 'subCode', NULL, grp FROM n""", doubles=("value",))
 def q_src_load_run(spark, sf_dir):
-    """Newest table per role of one project; tables resolved by a reader
-    that maps each role to its derived input."""
-    listing = fx.run_tables(spark, sf_dir).filter(F.col("database") == "proj0_alice")
-    by_role = {"expression": fx.normcounts_wide(spark, sf_dir), "deg": fx.deg(spark, sf_dir),
-               "samples": fx.coldata(spark, sf_dir)}
-    chosen = {}
+    """Store the three tables of one run per ship year, list the catalog, load the newest run by the names listed."""
+    database = f"runs_{uuid.uuid4().hex[:12]}"
+    listing = catalog.src_store_runs(spark, database, scratch_path(spark, "runs"), fx.run_frames(spark, sf_dir))
 
     def reader(name):
-        role = catalog.ROLE_PREFIXES
-        low = name.lower()
-        for r, prefixes in role.items():
-            if low.startswith(prefixes):
-                chosen[r] = name
-                return by_role[r]
-        raise KeyError(name)
-
-    run = catalog.src_load_run(spark, listing, reader=reader, per_role=True)
-    return run["expression"].select(F.lit(chosen["expression"]).alias("source_table"), "*")
+        return spark.read.table(f"`{database}`.`{name}`").withColumn("source_table", F.lit(name))
+
+    run = catalog.src_load_run(spark, listing, reader=reader)
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cells = run["expression"].unpivot(["source_table", "GeneSymbol"], SAMPLES, "field", "value").filter(F.col("value").isNotNull())
+    return (cells.select(F.lit("expression").alias("role"), "source_table", F.col("GeneSymbol").alias("item"), "field", "value",
+                         text.alias("label"))
+            .unionByName(run["deg"].select(F.lit("deg").alias("role"), "source_table", F.col("GeneSymbol").alias("item"),
+                                           F.lit("logFC").alias("field"), F.col("logFC").alias("value"), text.alias("label")))
+            .unionByName(run["samples"].select(F.lit("samples").alias("role"), "source_table", F.col("mainCode").alias("item"),
+                                               F.lit("subCode").alias("field"), none.alias("value"), F.col("subCode").alias("label"))))
 
 
 @register("src_expr_query", """
