@@ -23,6 +23,7 @@ cut there (at words, in practice) and the encoding of a part is remembered.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
 from collections.abc import Iterator
@@ -34,11 +35,34 @@ from pyspark.sql import functions as F
 from transcripta.llm.common import table, text_of
 
 SPACE = "▁"
-#: Parts and words that a worker remembers.
-CACHE = 250_000
+#: Bytes that a worker's memory of words, of parts and of pairs may take, each in two generations of half of it.
+CACHE = 100_000_000
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
+class Remembered:
+    """Results by text, bounded by bytes: a full generation becomes the old one, and what is used of that one moves on."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.new, self.old = limit // 2, 0, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got, len(key) + 8)
+        return got
+
+    def put(self, key, value, size: int) -> None:
+        """Keep a result; ``size``: about the characters and bytes of key and value."""
+        cost = 250 + 4 * size
+        if cost * 100 > self.limit:  # a very long stretch without a cut is not kept
+            return
+        if self.size + cost > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new[key] = value
+        self.size += cost
+
+
 class Transducer:
     """A compiled SentencePiece model (``model``: the file's bytes or its path)."""
 
@@ -56,21 +80,23 @@ class Transducer:
             raise ValueError("user-defined pieces are not supported")
         self.bpe = proto.trainer_spec.model_type == 2
         self.prefix = " " if n.add_dummy_prefix else ""
-        self.cache = cache
         self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN), 0)
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
-        self.longest = max(map(len, self.id), default=1)
         #: Neighbouring characters within pieces: elsewhere a text can be cut.
         self.beside = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}
         self.blank_leads = not any(p[0] != SPACE and p[1] == SPACE for p in self.beside)
         #: Merges that build a piece: (score, its last symbol, its first symbol) after each.
         self.merges: dict[str, list] = {}
         self.arcs = {p for p in self.id if not self.bpe or self._derive(p)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: States of the piece paths with the longest piece on the way, and the next shorter arc of each piece.
+        self.states: dict[str, str] = {}
+        for s in sorted({p[:n] for p in self.arcs for n in range(1, len(p) + 1)}, key=len):
+            self.states[s] = s if s in self.arcs else self.states.get(s[:-1], "")
+        self.shorter = {p: self.states[p[:-1]] or p[0] for p in self.arcs if len(p) > 1}
+        self.pairs, self.parts, self.words = Remembered(cache), Remembered(cache), Remembered(cache)
         #: What each id decodes to (control ids: nothing).
         self.out = [b""] * len(proto.pieces)
         for p, i in self.id.items():
@@ -121,11 +147,22 @@ class Transducer:
 
     # -- composing and searching -------------------------------------------
 
+    def _longest(self, part: str, at: int) -> str:
+        """The longest piece that begins at a position, or the bare character."""
+        found, step = "", self.states.get
+        for end in range(at + 1, len(part) + 1):
+            got = step(part[at:end])
+            if got is None:
+                break
+            found = got
+        return found or part[at]
+
     def _arcs(self, part: str, at: int) -> list[str]:
-        """Pieces that begin at a position, longest first, or the bare character."""
-        out = [p for n in range(min(self.longest, len(part) - at), 0, -1) if (p := part[at:at + n]) in self.arcs]
-        if not out or len(out[-1]) > 1:
-            out.append(part[at])
+        """Pieces that begin at a position, longest first, down to the single character."""
+        out, p = [], self._longest(part, at)
+        while p:
+            out.append(p)
+            p = self.shorter.get(p, "")
         return out
 
     def path(self, part: str) -> list[str]:
@@ -135,35 +172,41 @@ class Transducer:
     def _bpe_path(self, part: str) -> list[str]:
         if part in self.arcs or len(part) == 1:
             return [part]
-        pairs, dead, end = self.pairs, set(), len(part)
+        known, dead, end, longest, shorter = self.pairs.new, set(), len(part), self._longest, self.shorter.get
         path: list[str] = []
-        choices, at = [iter(self._arcs(part, 0))], 0
+        at, last, p = 0, "", longest(part, 0)
         while True:
-            for p in choices[-1]:
-                if (at + len(p), p) in dead:
-                    continue
-                if path:
-                    key = (path[-1], p)
-                    ok = pairs.get(key)
+            while p:  # the longest arc that the last piece allows
+                if not (dead and (at + len(p), p) in dead):
+                    if not last:
+                        break
+                    ok = known.get((last, p))
                     if ok is None:
-                        if len(pairs) > self.cache:
-                            pairs.clear()
-                        ok = pairs[key] = self._border(*key)
-                    if not ok:
-                        continue
+                        ok = self._pair(last, p)
+                        known = self.pairs.new
+                    if ok:
+                        break
+                p = shorter(p, "")
+            if p:
                 path.append(p)
                 at += len(p)
                 if at == end:
                     return path
-                choices.append(iter(self._arcs(part, at)))
-                break
-            else:
-                choices.pop()
-                if not path:
-                    raise ValueError(f"no path for {part!r}")
+                last, p = p, longest(part, at)
+            elif not path:
+                raise ValueError(f"no path for {part!r}")
+            else:  # a dead state: back to the one before
                 p = path.pop()
                 dead.add((at, p))
                 at -= len(p)
+                last, p = path[-1] if path else "", shorter(p, "")
+
+    def _pair(self, left: str, right: str) -> bool:
+        ok = self.pairs.get((left, right))
+        if ok is None:
+            ok = self._border(left, right)
+            self.pairs.put((left, right), ok, len(left) + len(right))
+        return ok
 
     def _unigram_path(self, part: str) -> list[str]:
         low = min(self.score.values()) - 10.0
@@ -179,18 +222,19 @@ class Transducer:
             at -= len(back[at])
         return out[::-1]
 
-    def _ids(self, piece: str) -> list[int]:
-        if piece in self.id:
-            return [self.id[piece]]
-        raw = piece.encode("utf-8", "surrogatepass")
-        return [self.byte[b] for b in raw] if self.byte else [self.unknown]
+    def _code(self, piece: str) -> bytes:
+        """The ids of a piece or bare character as little-endian uint32."""
+        got = self.code.get(piece)
+        if got is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            got = np.array([self.byte[b] for b in raw] if self.byte else [self.unknown], "<u4").tobytes()
+        return got
 
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) > self.cache:
-                self.parts.clear()
-            got = self.parts[part] = np.array([i for p in self.path(part) for i in self._ids(p)], "<u4").tobytes()
+            got = b"".join([self._code(p) for p in self.path(part)])
+            self.parts.put(part, got, len(part) + len(got) // 4)
         return got
 
     def _word(self, word: str) -> bytes:
@@ -212,7 +256,7 @@ class Transducer:
         s = self.prefix + text
         # words with the blank before them; a piece holds no blank after another character
         words = s.split(" ") if SPACE not in s and self.blank_leads else [s]
-        known = self.words
+        known = self.words.new
         ids = [known.get(w) for w in words]
         if None in ids or "" in words[1:]:
             ids = self._encode_new(words)
@@ -221,8 +265,6 @@ class Transducer:
         return b"".join(ids)
 
     def _encode_new(self, words: list[str]) -> list[bytes]:
-        if len(self.words) > self.cache:
-            self.words.clear()
         out = [self._word(words[0].replace(" ", SPACE))] if words[0] else []
         blanks = 0
         for w in words[1:]:
@@ -234,7 +276,8 @@ class Transducer:
             else:
                 got = self.words.get(w)
                 if got is None:
-                    got = self.words[w] = self._word(SPACE + w)
+                    got = self._word(SPACE + w)
+                    self.words.put(w, got, len(w) + len(got) // 4)
                 out.append(got)
         if blanks:
             out.append(self._word(SPACE * blanks))
@@ -254,6 +297,7 @@ def transducer(path: str) -> Transducer:
     """One compiled model per worker process and file."""
     if path not in _MODELS:
         _MODELS[path] = Transducer(path)
+        gc.freeze()  # the compiled model stays: full collections need not walk it
     return _MODELS[path]
 
 
