@@ -402,6 +402,67 @@ def test_nb_pvalue_range(spark):
     assert all(r["PValue"] is None or 0 <= r["PValue"] <= 1 for r in out)
 
 
+def test_nb_statistics_equal_their_definition(spark):
+    rng = np.random.default_rng(51)
+    x = rng.poisson(rng.uniform(2, 4000, (25, 1)) * np.where(np.arange(8) >= 4, rng.uniform(0.2, 5, (25, 1)), 1.0))
+    x[3, :4] = 0  # a group without counts
+    rows = [(f"g{g:02d}", f"s{s}", "case" if s >= 4 else "control", int(x[g, s])) for g in range(25) for s in range(8)]
+    counts = spark.createDataFrame(rows, "gene string, sample string, grp string, value long")
+    factors = np.array([0.7, 1.1, 0.9, 1.3, 1.0, 0.8, 1.2, 1.05])
+    sf = spark.createDataFrame([(f"s{s}", float(f)) for s, f in enumerate(factors)], "sample string, size_factor double")
+    got = {r["gene"]: r for r in de.de_nb_two_group(counts, None, sf).collect()}
+    q, seen = x / factors, 0
+    for g in range(25):
+        r = got[f"g{g:02d}"]
+        if g == 3:
+            assert r["logFC"] is None and r["PValue"] is None
+            continue
+        mu, v, z = [[f(half) for half in (slice(0, 4), slice(4, 8))] for f in (
+            lambda h: q[g, h].mean(), lambda h: q[g, h].var(ddof=1), lambda h: (1 / factors[h]).mean())]
+        disp = max(0.0, sum((v[i] - mu[i] * z[i]) / mu[i] ** 2 for i in (0, 1)) / 2)
+        fold = math.log2(mu[1] / mu[0])
+        se = math.sqrt(sum((z[i] / mu[i] + disp) / 4 for i in (0, 1))) / math.log(2)
+        p = math.erfc(abs(fold / se) / math.sqrt(2))
+        assert math.isclose(r["stat"], fold / se, rel_tol=1e-9) and math.isclose(r["dispersion"], disp, rel_tol=1e-9, abs_tol=1e-15)
+        assert math.isclose(r["PValue"], p, rel_tol=1e-7)
+        seen += p < 1e-6
+    assert seen
+
+
+def test_normal_tail_to_double_precision():
+    from transcripta.functions.stats import _erfc
+    x = np.concatenate([[0.0], np.linspace(1e-9, 26, 4001)])
+    assert all(math.isclose(a, math.erfc(b), rel_tol=2e-12) for a, b in zip(_erfc(x), x))
+    assert _erfc(np.array([np.inf, 40.0])).tolist() == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("normalised", [False, True])
+def test_voom_weights_equal_their_definition(spark, normalised):
+    rng = np.random.default_rng(52)
+    genes, bins = 83, 20
+    x = rng.poisson(np.exp(rng.uniform(0, 7, (genes, 1))) * rng.uniform(0.5, 2, 8))
+    rows = [(f"g{g:02d}", f"s{s}", "case" if s >= 4 else "control", int(x[g, s])) for g in range(genes) for s in range(8)]
+    counts = spark.createDataFrame(rows, "gene string, sample string, grp string, value long")
+    factor = rng.uniform(0.8, 1.25, 8) if normalised else np.ones(8)
+    norm = spark.createDataFrame([(f"s{s}", float(f)) for s, f in enumerate(factor)], "sample string, norm_factor double") if normalised else None
+    got = {(r["gene"], r["sample"]): r for r in de.de_voom(counts, None, norm, n_bins=bins).collect()}
+    lib = x.sum(0) * factor
+    y = np.log2((x + 0.5) / (lib + 1) * 1e6)
+    fit = np.repeat(np.column_stack([y[:, :4].mean(1), y[:, 4:].mean(1)]), 4, axis=1)
+    sx = y.mean(1) + np.log2(lib + 1).mean() - math.log2(1e6)
+    sy = (((y - fit) ** 2).sum(1) / 6) ** 0.25
+    ordered = np.sort(sx)
+    edges = [ordered[max(1, math.ceil(i / bins * genes)) - 1] for i in range(1, bins)]
+    of = np.searchsorted(edges, sx, side="left")
+    knots = sorted((np.median(sx[of == b]), np.median(sy[of == b])) for b in range(bins) if (of == b).any())
+    trend = np.interp(np.log2(2 ** fit * 1e-6 * (lib + 1)), *zip(*knots))
+    assert len(got) == x.size
+    for g in range(genes):
+        for s in range(8):
+            r = got[f"g{g:02d}", f"s{s}"]
+            assert math.isclose(r["logcpm"], y[g, s], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r["weight"], trend[g, s] ** -4, rel_tol=1e-7)
+
+
 # ---------------------------------------------------------------- enrichment
 
 def test_ora_pvalue_matches_comb(spark):
@@ -594,6 +655,47 @@ def test_deconvolution_moments_and_fractions(spark, tumor):
             assert abs(got[f"s{s}", "uncharacterized"] - max(0.0, 1 - want.sum())) < 1e-9
 
 
+def test_block_linkage_equals_naive(spark):
+    """The kernel of one block gives the naive tree's clusters, also with ties, two items and absent pairs."""
+    rng = np.random.default_rng(61)
+    full, rows = {}, []
+    for b, n in ((1, 17), (2, 2), (3, 26), (4, 12)):
+        d = rng.random((n, n))
+        d = np.triu(np.round(d, 1) if b == 3 else d, 1)
+        if b == 4:
+            d[d > 0.6] = 0.9  # not listed below
+        full[b] = d + d.T
+        rows += [(b, f"b{b}_{j:02d}", f"b{b}_{i:02d}", float(d[i, j])) for i in range(n) for j in range(i + 1, n) if not (b == 4 and d[i, j] == 0.9)]
+    pairs = spark.createDataFrame(rows, "block int, a string, b string, d double")
+    for height in (0.35, 0.6, math.inf):
+        got = {r["item"]: r["cluster"] for r in lk.average_linkage_blocks(pairs, "block", height, absent=0.9).collect()}
+        for b, d in full.items():
+            want = {i: min(c) for c in naive_average_linkage(d, height)[0] for i in c}
+            # a gene without a listed pair is in no row
+            assert all(got.get(f"b{b}_{i:02d}", f"b{b}_{i:02d}") == f"b{b}_{want[i]:02d}" for i in range(len(d)))
+    assert lk.average_linkage_blocks(pairs.limit(0), "block").count() == 0
+
+
+def test_missing_distances_never_merge():
+    d = np.array([[0, np.nan, 0.2], [np.nan, 0, np.inf], [0.2, np.inf, 0]])
+    assert lk.upgma_labels(d).tolist() == [0, 1, 0]
+
+
+def test_sample_tables_from_either_form(spark):
+    from transcripta.operators import reshape as rs
+    long = spark.createDataFrame([("g1", "s2"), ("g1", "s1"), ("g2", "s1"), ("g2", None), ("g2", "s3")], "gene string, sample string")
+    got = {tuple(r) for r in rs.tab_coldata_grouped(long, ["a", "b", "a"], sample="sample").collect()}
+    assert got == {("s1", "a"), ("s2", "b"), ("s3", "a")}
+    wide = spark.createDataFrame([("g1", 1, 2)], "GeneSymbol string, z long, y long")
+    assert {tuple(r) for r in rs.tab_coldata_grouped(wide, ["a", "b"]).collect()} == {("z", "a"), ("y", "b")}
+    with pytest.raises(ValueError):
+        rs.tab_coldata_grouped(long, ["a"], sample="sample")
+    drawn = dict(map(tuple, rs.tab_coldata_random(long, sample="sample").collect()))
+    assert set(drawn) == {"s1", "s2", "s3"} and set(drawn.values()) <= {"T", "NT"}
+    named = rs.tab_coldata_random(spark.createDataFrame([("g", 1, 2, 3)], "GeneSymbol string, s1 long, s2 long, s3 long"))
+    assert dict(map(tuple, named.collect())) == drawn
+
+
 def test_planted_modules_recovered(spark):
     e = planted(spark)
     tom = nw.topological_overlap(e, power=6.0)

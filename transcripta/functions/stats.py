@@ -11,10 +11,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from transcripta.session import ship_package
+
 
 # ---------------------------------------------------------------------------
 # Student t
@@ -104,6 +106,7 @@ def _t_p_udf(t: pd.Series, df: pd.Series) -> pd.Series:
 def t_two_sided_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student t for any positive df (one row per gene or test:
     an Arrow-batched pandas UDF).  Null t or df gives null."""
+    ship_package(SparkSession.active())
     return _t_p_udf(t.cast("double"), df.cast("double"))
 
 
@@ -111,7 +114,18 @@ def t_two_sided_p(t: Column, df: Column) -> Column:
 # Normal
 # ---------------------------------------------------------------------------
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def _erfc(x: np.ndarray) -> np.ndarray:
+    """Complementary error function of an array of non-negative numbers: a series of positive terms, or a continued fraction."""
+    near = np.minimum(x, 2.5)
+    term = total = near
+    for n in range(1, 70):
+        term = term * (2 * near * near / (2 * n + 1))
+        total = total + term
+    series = 1 - 2 / math.sqrt(math.pi) * np.exp(-near * near) * total
+    far, tail = np.maximum(x, 2.5), np.zeros(np.shape(x))
+    for k in range(70, 0, -1):
+        tail = k / 2 / (far + tail)
+    return np.where(x < 2.5, series, np.exp(-far * far) / math.sqrt(math.pi) / (far + tail))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -125,6 +139,7 @@ def _norm_p_udf(z: pd.Series) -> pd.Series:
 
 def normal_two_sided_p(z: Column) -> Column:
     """Two-sided normal tail 2*(1 - Phi(|z|)) = erfc(|z|/sqrt 2)."""
+    ship_package(SparkSession.active())
     return _norm_p_udf(z.cast("double"))
 
 

@@ -7,13 +7,11 @@ explicit column list, so Spark does not run a separate job to discover it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transcripta.functions.columns import nan_to_null, parse_list
-from transcripta.functions.ranking import keyed_running_sum
+from transcripta.functions.ranking import global_row_number, keyed_running_sum
 from transcripta.session import cut_lineage
 
 
@@ -223,24 +221,38 @@ def tab_sample_ids(long_df: DataFrame, main: str = "main_code", sub: str = "sub_
     return pairs.withColumn("sample_id", F.format_string("S%03d", F.row_number().over(w)))
 
 
-def tab_coldata_grouped(wide: DataFrame, groups: list[str], gene_col: str = "GeneSymbol") -> DataFrame:
-    """Sample names from the matrix columns + a group vector, by position."""
-    names = [c for c in wide.columns if c != gene_col]
-    if len(groups) != len(names):
-        raise ValueError(f"{len(names)} sample columns but {len(groups)} groups")
-    spark = wide.sparkSession
-    return spark.createDataFrame(list(zip(names, groups)), "mainCode string, subCode string")
+def _sample_names(expr: DataFrame, gene_col: str, sample: str | None) -> DataFrame:
+    """``mainCode``: the distinct values of a long table's sample column, or a wide table's columns with their ``position``."""
+    if sample is None:
+        names = F.array(*[F.lit(c) for c in expr.columns if c != gene_col]).cast("array<string>")
+        return expr.sparkSession.range(1).select(F.posexplode(names).alias("position", "mainCode"))
+    return expr.select(F.col(sample).cast("string").alias("mainCode")).filter("mainCode IS NOT NULL").distinct()
+
 
+def tab_coldata_grouped(expr: DataFrame, groups: list[str], gene_col: str = "GeneSymbol", sample: str | None = None) -> DataFrame:
+    """Sample names and a group vector, joined by position.
 
-def tab_coldata_random(wide: DataFrame, gene_col: str = "GeneSymbol", seed: int = 123,
-                       labels: tuple = ("T", "NT")) -> DataFrame:
-    """Pseudo sample table: T/NT by hash parity of (sample, seed), so the
-    draw is reproducible and independent of partitioning."""
-    names = [c for c in wide.columns if c != gene_col]
-    spark = wide.sparkSession
-    df = spark.createDataFrame([(n,) for n in names], "mainCode string")
-    return df.withColumn("subCode", F.when(F.pmod(F.xxhash64("mainCode", F.lit(seed)), F.lit(2)) == 0,
-                                           F.lit(labels[0])).otherwise(F.lit(labels[1])))
+    ``expr`` is wide (names are its columns, in their order) or, with ``sample``, a long table (names are the
+    distinct values of that column, in their order).  As many groups as names are needed.
+    """
+    names = _sample_names(expr, gene_col, sample)
+    if sample is not None:
+        names = global_row_number(names, ["mainCode"], out="n")[0].withColumn("position", F.col("n") - 1)
+    names = cut_lineage(names, "samples")
+    if (n := names.count()) != len(groups):
+        raise ValueError(f"{n} samples but {len(groups)} groups")
+    given = expr.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(g) for g in groups]).cast("array<string>")).alias("position", "subCode"))
+    return names.join(given, "position").select("mainCode", "subCode")
+
+
+def tab_coldata_random(expr: DataFrame, gene_col: str = "GeneSymbol", seed: int = 123,
+                       labels: tuple = ("T", "NT"), sample: str | None = None) -> DataFrame:
+    """Pseudo sample table: the label by the parity of the first digit of
+    md5(sample:seed), so the draw is reproducible and independent of
+    partitioning.  ``expr`` as in ``tab_coldata_grouped``."""
+    digit = F.substring(F.md5(F.concat("mainCode", F.lit(f":{seed}"))), 1, 1)
+    return _sample_names(expr, gene_col, sample).select("mainCode", F.when(
+        digit.isin(*"02468ace"), F.lit(labels[0])).otherwise(F.lit(labels[1])).alias("subCode"))
 
 
 def deg_for_genes(deg: DataFrame, genes: DataFrame, gene: str = "GeneSymbol") -> DataFrame:
@@ -250,7 +262,3 @@ def deg_for_genes(deg: DataFrame, genes: DataFrame, gene: str = "GeneSymbol") ->
 def complete_cases(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Drop rows with any null or NaN."""
     return df.dropna(how="any", subset=subset)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -182,14 +182,14 @@ def q_tab_sample_ids(spark, sf_dir):
 @register("tab_coldata_grouped", """
 SELECT DISTINCT sample AS mainCode, grp AS subCode FROM counts""", ("counts",))
 def q_tab_coldata_grouped(spark, sf_dir):
-    wide = fx.normcounts_wide(spark, sf_dir).drop("_c0").withColumnRenamed("genes", "GeneSymbol")
-    return rs.tab_coldata_grouped(wide, ["control"] * 6 + ["case"] * 6)
+    return rs.tab_coldata_grouped(fx.counts(spark, sf_dir), ["control"] * 6 + ["case"] * 6, sample="sample")
 
 
-@register("tab_coldata_random")
+@register("tab_coldata_random", """
+SELECT DISTINCT sample AS mainCode,
+       CASE WHEN instr('02468ace', substr(md5(sample || ':123'), 1, 1)) > 0 THEN 'T' ELSE 'NT' END AS subCode FROM counts""", ("counts",))
 def q_tab_coldata_random(spark, sf_dir):
-    wide = fx.normcounts_wide(spark, sf_dir).drop("_c0").withColumnRenamed("genes", "GeneSymbol")
-    return rs.tab_coldata_random(wide)
+    return rs.tab_coldata_random(fx.counts(spark, sf_dir), sample="sample")
 
 
 @register("deg_for_genes", """

@@ -87,6 +87,7 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     loss.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
