@@ -253,6 +253,39 @@ def test_wrapped_licences(spark):
         assert got[f"r{n}"]["licences"] == [name] and got[f"r{n}"]["sentence_ids"] == "".join(f"<{i}>" for i in ids)
 
 
+def test_usual_notices(spark):
+    free = ("This {0} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {1} Public\nLicense as published by the "
+            "Free Software Foundation; either\nversion {2} of the License, or (at your option) any later version.\n\nThis {0} is distributed in "
+            "the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A "
+            "PARTICULAR PURPOSE.\n")
+    bsd = BSD + ("\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following "
+                 "disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the "
+                 "following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n")
+    cases = [
+        (free.format("library", "Lesser General", "2.1"), ["LGPL-2.1-or-later"]), (free.format("program", "General", "2"), ["GPL-2.0-or-later"]),
+        (free.format("program", "Affero General", "3"), ["AGPL-3.0-or-later"]), (free.format("program", "General", "3"), ["GPL-3.0-or-later"]),
+        (free.format("program", "General", "2").replace("either\nversion 2", "version 2").replace(", or (at your option) any later version", ""), ["GPL-2.0-only"]),
+        (free.format("library", "Lesser General", "3"), ["LGPL-3.0-or-later"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with\n"
+         "this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the "
+         "above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        (bsd, ["BSD-2-Clause"]),
+        (bsd + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived "
+         "from\n   this software without specific prior written permission.\n", ["BSD-3-Clause"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("The text is available under CC BY-SA 4.0 unless noted.", ["CC-BY-SA-4.0"]),
+        ("Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT OR Apache-2.0"]),
+        ("Licences are discussed here: a GNU is an animal, and permission was refused.", [])]
+    cases += [(f"# SPDX-License-Identifier: {t}\nx = 1", [t]) for t in op8.TAGS]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)]
+    got = _by_id(op8.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, (text, want) in enumerate(cases):
+        assert got[k]["licences"] == want and got[k]["left_over"] == "", text
+
+
 def test_mix(edge, empty):
     rows = op9.fair_queue(edge).collect()
     assert len(rows) == edge.count() and all(0 <= r["copies"] <= 3 for r in rows) and all(r["copies"] == 0 for r in rows if not r["size"])

@@ -76,7 +76,69 @@ SENTENCES = (
     ("spdx-mit", "spdx license identifier mit"),
     ("spdx-apache-2", "spdx license identifier apache 2 0"),
     ("spdx-gpl-3", "spdx license identifier gpl 3 0 or later"),
+    ("gpl-2-only", "you can redistribute it and or modify it under the terms of the gnu general public license 2 as published by the free software foundation"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-2-name", "under bsd 2 clause license"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-name", "under isc license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # "v." ends a sentence, its number is the next one
+    ("mpl-2-notice", "this source code form is subject to the terms of the mozilla public license v"),
+    ("spdx-mit-or-apache", "spdx license identifier mit or apache 2 0"),
+    ("spdx-mit-or-apache", "spdx license identifier apache 2 0 or mit"),
 )
+#: Notices "either version N of the License, or (at your option) any later version" (fixed values): identifier, kind, version, licence.
+LATER = (
+    ("gpl-2-free", "general", "2", "GPL-2.0-or-later"),
+    ("lgpl-21-free", "lesser general", "2 1", "LGPL-2.1-or-later"),
+    ("lgpl-3-free", "lesser general", "3", "LGPL-3.0-or-later"),
+    ("agpl-3-free", "affero general", "3", "AGPL-3.0-or-later"),
+)
+#: The same notices with a semicolon before "either": two sentences, the kind and the versions (fixed values).
+SPLIT = (("gnu-general", "2", "GPL-2.0-or-later"), ("gnu-general", "3", "GPL-3.0-or-later"), ("gnu-lesser-general", "2 1", "LGPL-2.1-or-later"),
+         ("gnu-lesser-general", "3", "LGPL-3.0-or-later"), ("gnu-affero-general", "3", "AGPL-3.0-or-later"))
+#: Licences known by their tag (fixed values); those listed above have their own identifiers.
+TAGS = ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+        "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0",
+        "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")
+#: Creative Commons licences (fixed values): identifier, short and long name.
+COMMONS = (
+    ("cc-by-4", "by", "attribution"), ("cc-by-sa-4", "by sa", "attribution sharealike"),
+    ("cc-by-nc-4", "by nc", "attribution noncommercial"), ("cc-by-nd-4", "by nd", "attribution noderivatives"),
+    ("cc-by-nc-sa-4", "by nc sa", "attribution noncommercial sharealike"),
+    ("cc-by-nc-nd-4", "by nc nd", "attribution noncommercial noderivatives"),
+)
+#: What may follow the name of a licence in its sentence (fixed values).
+EXCEPT = ("", " license", " unless noted", " unless otherwise noted", " unless otherwise stated", " except where otherwise noted")
+
+
+def _tag_words(tag: str) -> str:
+    return tag.lower().replace("-", " ").replace(".", " ")
+
+
+def _later(version: str) -> str:
+    return "later-" + version.replace(" ", "-")
+
+
+def _made_sentences() -> tuple:
+    """Sentences that follow from the tables above."""
+    later = [(i, f"you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free "
+                 f"software foundation either {version} of the license or at your option any later version") for i, kind, version, _ in LATER]
+    later += [(i, f"you can redistribute it and or modify it under the terms of the {i.replace('-', ' ')} public license as published by the "
+                  "free software foundation") for i, _, _ in SPLIT]
+    later += [(_later(v), f"either {v} of the license or at your option any later version") for _, v, _ in SPLIT]
+    later += [("only-2", "version 2 of the license")]
+    tags = [(f"spdx-{_tag_words(t).replace(' ', '-')}", f"spdx license identifier {_tag_words(t)}") for t in TAGS]
+    commons = [(i, f"under {a}{name}{end}") for i, short, long in COMMONS for a in ("", "a ") for name in (
+        f"cc {short} 4 0", f"creative commons {long} 4 0", f"creative commons {long} 4 0 international",
+        f"creative commons {long} 4 0 international license") for end in EXCEPT if not name.endswith("license") or end != " license"]
+    return tuple(dict.fromkeys((*later, *tags, *commons)))
+
+
+SENTENCES = tuple(dict.fromkeys((*SENTENCES, *_made_sentences())))
 #: Ordered rules: licence, identifiers that follow one another.
 RULES = (
     ("MIT", ("mit-title", "mit-grant", "mit-notice")),
@@ -85,6 +147,16 @@ RULES = (
     ("Apache-2.0", ("apache-2-name", "apache-may", "apache-copy")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-implied")),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    *((name, (i, *rest)) for rest in (("gpl-hope", "gpl-implied"), ()) for i, _, _, name in LATER),
+    *((name, (i, _later(v), *rest)) for rest in (("gpl-hope", "gpl-implied"), ()) for i, v, name in SPLIT),
+    ("GPL-2.0-only", ("gnu-general", "only-2", "gpl-hope", "gpl-implied")), ("GPL-2.0-only", ("gnu-general", "only-2")),
+    ("GPL-2.0-only", ("gpl-2-only", "gpl-hope", "gpl-implied")), ("GPL-2.0-only", ("gpl-2-only",)),
+    ("BSD-3-Clause", ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-redist", "bsd-source", "bsd-binary")), ("BSD-3-Clause", ("bsd-redist", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-2-name",)),
+    ("ISC", ("isc-name", "isc-grant")), ("ISC", ("isc-grant",)), ("ISC", ("isc-name",)), ("Unlicense", ("unlicense",)),
+    ("MPL-2.0", ("mpl-2-notice",)), ("MIT OR Apache-2.0", ("spdx-mit-or-apache",)),
+    *((tag, (f"spdx-{_tag_words(tag).replace(' ', '-')}",)) for tag in TAGS),
     ("MIT", ("mit-name",)), ("MIT", ("mit-title",)), ("MIT", ("mit-grant",)), ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("apache-2-name",)), ("Apache-2.0", ("spdx-apache-2",)),
     ("GPL-3.0", ("gpl-3-name",)), ("GPL-2.0", ("gpl-2-name",)), ("LGPL-3.0", ("lgpl-name",)), ("AGPL-3.0", ("agpl-name",)),
@@ -132,8 +204,9 @@ def _known_pattern(sentences) -> str:
     """Matches the known sentences between ends in a marked text, wrapped or not, with what ``normalised`` takes off them."""
     subject, under = (p.removeprefix("^") for p, _ in (NORMAL[3], NORMAL[4]))
     forms = sorted({_canonical(x) for _, x in sentences}, key=lambda x: (-len(x), x))
-    parts = [f"(?:{under}|(?:all content )?under ){x.removeprefix('under ')}" if x.startswith("under ") else f"(?:all content )?{x}"
-             for x in forms]
+    named = "|".join(x.removeprefix("under ") for x in forms if x.startswith("under "))
+    other = "|".join(x for x in forms if not x.startswith("under "))
+    parts = [f"(?:{under}|(?:all content )?under )(?:{named})"] * bool(named) + [f"(?:all content )?(?:{other})"] * bool(other)
     return f"(?<![^\n{END}])(?:{subject})?(?:{'|'.join(parts)})(?![^\n{END}])".replace(" ", "[ \n]")
 
 
