@@ -368,3 +368,34 @@ def test_first_match_does_not_depend_on_partitions(spark):
             assert [(r["Gene"], r["rule"]) for r in special] == ([("b", "group1")] if order is None else [])
             long = {(r["Gene"], r["sample"]): r["value"] for r in im.immune_matrix(g1, g2, order_col=order).collect()}
             assert long[("a", "sample2")] == want["a"] and (("b", "sample2") in long) == (want["b"] is not None)
+
+
+def _small_tables(spark, folder, parts, lines):
+    """``part`` and ``lineitem`` tables of the given part keys and (part, month, quantity) rows."""
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(f"{folder}/part.parquet")
+    (spark.createDataFrame(lines, "l_partkey long, m int, l_quantity double")
+     .selectExpr("l_partkey", "make_date(1995, m, 3) AS l_shipdate", "l_quantity").write.parquet(f"{folder}/lineitem.parquet"))
+
+
+def test_counts_never_broadcasts_the_exploded_parts(spark, tmp_path):
+    """A part's cells are made after the join: no broadcast side of a plan over the counts holds an explode."""
+    from transcripta.plans import fixtures as fx
+    _small_tables(spark, str(tmp_path), [1, 2, 2, None], [(1, 1, 2.0), (1, 1, 3.0), (2, 12, 4.0), (9, 5, 7.0), (1, None, 8.0)])
+    c = fx.counts(spark, str(tmp_path))
+    got = sorted((r.gene or "", r.sample, r.value) for r in c.collect() if r.value)
+    assert got == [("G1", "S01", 5), ("G2", "S12", 4), ("G2", "S12", 4)] and c.count() == 48
+    listed = spark.range(1_000_000).selectExpr("concat('G', id) AS gene")
+    for df in (c.join(listed, "gene").select("gene"), c.filter("value > 0").join(listed, "gene").select("gene", "value")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        join = [line for line in plan.split("\n") if "Join " in line and "p_partkey" not in line]
+        generate = next(i for i, line in enumerate(plan.split("\n")) if "Generate" in line)
+        outer = next(i for i, line in enumerate(plan.split("\n")) if "Join LeftOuter" in line)
+        assert join and generate < outer, plan
+
+
+def test_expr_subset_does_not_broadcast_the_list(spark):
+    from transcripta.operators.reshape import expr_subset
+    expr = spark.createDataFrame([("a", "s", 1), ("b", "s", 2)], "gene string, sample string, value int")
+    out = expr_subset(expr, spark.createDataFrame([("b", 1), ("a", 2)], "gene string, pos int"))
+    assert [r.gene for r in out.collect()] == ["b", "a"]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

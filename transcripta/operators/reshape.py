@@ -154,9 +154,10 @@ def make_unique(df: DataFrame, name: str, order: str, out: str = "unique_name")
 def expr_subset(expr: DataFrame, gene_list: DataFrame, gene_info: DataFrame | None = None,
                 relabel: bool = False, gene: str = "gene", pos: str = "pos") -> DataFrame:
     """Expression of listed genes in list order (``gene_list(gene, pos)``);
-    raises if no gene matches; ``relabel`` replaces ids by unique symbols."""
+    raises if no gene matches; ``relabel`` replaces ids by unique symbols.
+    The list may be as long as the gene table, so it is never broadcast."""
     gl = gene_list.select(F.col(gene_list.columns[0]).alias(gene), F.col(pos).alias("list_pos"))
-    out = expr.join(gl, gene)
+    out = expr.join(gl.hint("merge"), gene)
     if out.limit(1).count() == 0:
         raise ValueError("none of the listed genes is present")
     if relabel and gene_info is not None:
