@@ -399,3 +399,21 @@ def test_expr_subset_does_not_broadcast_the_list(spark):
     out = expr_subset(expr, spark.createDataFrame([("b", 1), ("a", 2)], "gene string, pos int"))
     assert [r.gene for r in out.collect()] == ["b", "a"]
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_chunk_go_to_a_bounded_number_of_block_pairs(spark):
+    """With all features in one chunk the blocks do not follow block_size; parts of a pair of blocks give every pair once."""
+    import numpy as np
+    from transcripta.operators.tiles import Tiles, connectivity_by_power, pairwise
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    cells = spark.createDataFrame([(f"g{i:03d}", f"s{j}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], "gene string, sample string, value double")
+    tiles = Tiles(cells, "gene", "sample", "value", block_size=3)
+    assert tiles.single and tiles.part == 3 and tiles.blocks <= np.ceil(np.sqrt(16 * spark.sparkContext.defaultParallelism))
+    r = np.corrcoef(x)
+    got = pairwise(cells, "gene", "sample", "value", block_size=3).toPandas()
+    assert len(got) == 400 * 399 // 2 == len(got[["gene_a", "gene_b"]].drop_duplicates()) and (got.gene_a < got.gene_b).all()
+    at = [got[c].str[1:].astype(int).to_numpy() for c in ("gene_a", "gene_b")]
+    np.testing.assert_allclose(got.r.to_numpy(), r[at[0], at[1]], atol=1e-12)
+    k = connectivity_by_power(cells, "gene", "sample", "value", [1, 6], block_size=3).toPandas()
+    a = np.abs(r) - np.eye(400)
+    np.testing.assert_allclose(k.sort_values(["power", "gene"]).k.to_numpy(), np.concatenate([a.sum(1), (a ** 6).sum(1)]), rtol=1e-10)
