@@ -401,6 +401,14 @@ def test_expr_subset_does_not_broadcast_the_list(spark):
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_wide_takes_the_largest_of_several_cells(spark):
+    from transcripta.operators.reshape import expr_long_to_wide
+    rows = [("m", "x", "g", 1.0), ("m", "x", "g", 3.0), ("m", "y", "g", None), ("m", "x", "h", None), ("n", "x", None, 2.0)]
+    out = expr_long_to_wide(spark.createDataFrame(rows, "main_code string, sub_code string, Gene string, value double"), ["m_x", "m_y"])
+    assert {r.Gene: (r.m_x, r.m_y) for r in out.collect()} == {"g": (3.0, None), "h": (None, None), None: (None, None)}
+    assert "pivotfirst" not in out._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_rows_of_one_chunk_go_to_a_bounded_number_of_block_pairs(spark):
     """With all features in one chunk the blocks do not follow block_size; parts of a pair of blocks give every pair once."""
     import numpy as np

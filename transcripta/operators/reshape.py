@@ -56,7 +56,8 @@ def expr_long_to_wide(long_df: DataFrame, names: list[str] | None = None, main:
     df = long_df.withColumn("sample_name", F.concat_ws("_", F.col(main), F.col(sub)))
     if names is None:
         names = [r[0] for r in df.select("sample_name").distinct().orderBy("sample_name").collect()]
-    return df.groupBy(gene).pivot("sample_name", names).agg(F.max(value))
+    # one aggregate of as many columns as names; a pivot would group the cells by (gene, name) first
+    return df.groupBy(gene).agg(*[F.max(F.when(F.col("sample_name") == n, F.col(value))).alias(n) for n in names])
 
 
 def duplicate_cells(long_df: DataFrame, keys: list[str]) -> DataFrame:
