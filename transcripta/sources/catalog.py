@@ -150,13 +150,14 @@ def src_store_runs(spark: SparkSession, database: str, path: str, frames: dict[s
     """Store the tables of several runs and return the catalog's listing ``(name)`` of the database.
 
     ``frames`` maps a table prefix to rows of all runs with a ``run`` column
-    (time token).  A frame is written once, partitioned by run; every run
+    (time token).  A frame is written once, partitioned by run, by the
+    tasks that made it: no task holds a run.  Every run
     becomes the catalog table ``<prefix>_<run>`` over its folder.  The driver
     sees the runs' tokens only.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for prefix, df in frames.items():
-        df.repartition(run).write.mode("overwrite").partitionBy(run).parquet(f"{path}/{prefix}")
+        df.write.mode("overwrite").partitionBy(run).parquet(f"{path}/{prefix}")
         stored = spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/{prefix}").select(F.col(run).cast("string"))
         for (token,) in stored.distinct().collect():
             spark.sql(f"CREATE TABLE `{database}`.`{prefix}_{token}` USING parquet LOCATION '{path}/{prefix}/{run}={token}'")
