@@ -79,7 +79,7 @@ def _moment_rows(expr: DataFrame, signature: DataFrame, types: list[str], gene:
     spark = expr.sparkSession
     tix = spark.createDataFrame([(t, i) for i, t in enumerate(types)], "cell_type string, ci int")
     weight = F.col("weight").cast("double")
-    row = (signature.join(tix, "cell_type").filter(weight.isNotNull() & ~F.isnan(weight) & (weight != 0))
+    row = (signature.join(F.broadcast(tix), "cell_type").filter(weight.isNotNull() & ~F.isnan(weight) & (weight != 0))
            .groupBy(gene, "ci").agg(F.sum(weight).alias("w"))
            .groupBy(gene).agg(F.sort_array(F.collect_list(F.struct("ci", "w"))).alias("s")))
     empty = F.lit(0.0)
