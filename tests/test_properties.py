@@ -89,6 +89,54 @@ def test_linkage_rewrites_only_what_merged(spark, monkeypatch):
     assert written[0] == len(rows) and written[-1] <= 2 and sum(written[1:]) < len(rows), written
 
 
+def _cut_of_points(spark, x, height, metric, pairs_of, **names):
+    n = len(x)
+    ids = [f"i{k:04d}" for k in range(n)]
+    points = long_frame(spark, x, ids, [f"f{j:02d}" for j in range(x.shape[1])], ("sample", "gene", "value"))
+    labels, merges = lk.average_linkage_cut(pairs_of(points), height, "sample_a", "sample_b", "distance", points=points, metric=metric)
+    return {r["item"]: r["cluster"] for r in labels.collect()}, merges, ids
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "correlation"])
+def test_linkage_of_points_equals_that_of_pairs(spark, monkeypatch, metric):
+    """With the vectors given, no pair row is written and clusters are those of all pairs, also of clusters in several pieces and blocks."""
+    def no_rows(*_):
+        raise AssertionError("pair rows")
+    monkeypatch.setattr(lk, "PairStore", no_rows)
+    monkeypatch.setattr(lk, "PIECE", 3)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1300, 6)) * 0.4 + rng.normal(size=(40, 6))[rng.integers(0, 40, 1300)]
+    x[5] = x[900]  # copies
+    if metric == "correlation":
+        d, height = 1 - np.corrcoef(x), 0.2
+        def pairs_of(p):
+            r = pw.pairwise(p, "sample", "gene", "value", floor=0.8 - 1e-9)
+            return r.withColumn("distance", 1 - F.col("r"))
+    else:
+        d, height = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1.1
+        def pairs_of(p):
+            return mv.sample_distance(p, ceiling=height)
+    got, _, ids = _cut_of_points(spark, x, height, metric, pairs_of)
+    want = lk.upgma_labels(d, height)
+    assert got == {ids[k]: ids[int(want[k])] for k in range(len(x))}
+    assert max(np.bincount(want)) > 9 and len(set(want.tolist())) < 800
+
+
+def test_linkage_of_points_tree_and_absent_cells(spark):
+    """The whole tree with heights; cells that are absent count as ``sample_distance`` counts them; nothing to pair."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(17, 5))
+    x[3, 1] = x[8, 2] = x[11, 0] = np.nan
+    got, merges, ids = _cut_of_points(spark, x, math.inf, "euclidean", mv.sample_distance)
+    d = np.array([[math.sqrt(np.nansum((a - b) ** 2) * 5 / np.sum(~np.isnan(a - b))) for b in x] for a in x])
+    tree = naive_average_linkage(d, math.inf)[1]
+    found = sorted((r["height"], r["c1"], r["c2"]) for r in merges.collect())
+    assert set(got.values()) == {ids[0]} and [(a, b) for _, a, b in found] == [(ids[a], ids[b]) for _, a, b in tree]
+    assert np.allclose([h for h, *_ in found], [h for h, *_ in tree])
+    alone, merges, ids = _cut_of_points(spark, x[:1], 1.0, "euclidean", mv.sample_distance)
+    assert alone == {ids[0]: ids[0]} and merges.count() == 0
+
+
 def test_linkage_full_tree_height(spark):
     d = np.array([[0, 1, 4, 5], [1, 0, 4.5, 5.5], [4, 4.5, 0, 2], [5, 5.5, 2, 0]], dtype=float)
     names = list("abcd")
