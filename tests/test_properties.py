@@ -137,6 +137,24 @@ def test_linkage_of_points_tree_and_absent_cells(spark):
     assert alone == {ids[0]: ids[0]} and merges.count() == 0
 
 
+def test_merge_close_modules_equals_linkage_of_all_pairs(spark):
+    """Groups of modules are those of average linkage over all eigengene pairs."""
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(5, 12))
+    x = base[np.repeat(np.arange(5).repeat(6), 4)] + rng.normal(size=(120, 12)) * 0.7
+    genes = [f"g{i:03d}" for i in range(120)]
+    e = long_frame(spark, x, genes, [f"s{j:02d}" for j in range(12)])
+    mods = spark.createDataFrame([(g, i // 4 + 1) for i, g in enumerate(genes)], "gene string, module int")
+    me = {(r["module"], r["sample"]): r["eigengene"] for r in nw.module_eigengenes(e, mods).collect()}
+    m = np.array([[me[k, f"s{j:02d}"] for j in range(12)] for k in range(1, 31)])
+    order = np.argsort([str(k) for k in range(1, 31)])  # clusters are known by their names
+    want = lk.upgma_labels((1 - np.corrcoef(m))[np.ix_(order, order)], 0.4)
+    first = {c: min(int(order[k]) + 1 for k in np.flatnonzero(want == c)) for c in set(want.tolist())}
+    want = {int(order[k]) + 1: first[int(want[k])] for k in range(30)}
+    got = {int(r["gene"][1:]) // 4 + 1: r["module"] for r in nw.merge_close_modules(e, mods, cut_height=0.4).collect()}
+    assert got == want and 1 < len(set(want.values())) < 30
+
+
 def test_linkage_full_tree_height(spark):
     d = np.array([[0, 1, 4, 5], [1, 0, 4.5, 5.5], [4, 4.5, 0, 2], [5, 5.5, 2, 0]], dtype=float)
     names = list("abcd")
