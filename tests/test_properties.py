@@ -155,6 +155,42 @@ def test_merge_close_modules_equals_linkage_of_all_pairs(spark):
     assert got == want and 1 < len(set(want.values())) < 30
 
 
+def test_inputs_are_derived_once(spark, tmp_path):
+    """QC, tissue typing and PCA derive their input once, however often they read it; a task of a derivation leaves a line."""
+    from transcripta.operators import tissue as ts
+    log = tmp_path / "rows"
+    log.mkdir()
+
+    def derived(rows, schema):
+        def logged(batches):
+            import os
+            import uuid
+            for pdf in batches:
+                if len(pdf):
+                    open(os.path.join(str(log), uuid.uuid4().hex), "w").close()
+                yield pdf
+        return spark.createDataFrame(rows, schema).coalesce(1).mapInPandas(logged, schema)
+
+    def derivations():
+        n = len(list(log.iterdir()))
+        for f in log.iterdir():
+            f.unlink()
+        return n
+
+    rng = np.random.default_rng(11)
+    rows = [(f"g{i}", f"s{j}", float(v)) for (i, j), v in np.ndenumerate(rng.normal(size=(9, 6))) if (i, j) != (2, 3)]
+    kept, ok = mv.qc_good_samples_genes(derived(rows, "gene string, sample string, value double"), min_fraction=0.9, min_n_genes=2)
+    assert {r["gene"] for r in kept.collect()} == {f"g{i}" for i in range(9) if i != 2} and not ok
+    assert derivations() == 1
+    assert mv.pca_scores(derived([r for r in rows if r[0] != "g2"], "gene string, sample string, value double"), k=2).count() == 6
+    assert derivations() == 1
+    panel = [(g, "t" + s[1:], v) for g, s, v in rows if s in ("s0", "s1", "s3")]
+    profiles = [(g, s, v) for g, s, v in rows if s in ("s4", "s5")]
+    typed = ts.tissue_typing(derived(panel, "gene string, tissue string, value double"),
+                             derived(profiles, "Gene string, sample string, max_TPM double")).collect()
+    assert len(typed) == 8 and {r["n"] for r in typed} == {8} and derivations() == 2
+
+
 def test_linkage_full_tree_height(spark):
     d = np.array([[0, 1, 4, 5], [1, 0, 4.5, 5.5], [4, 4.5, 0, 2], [5, 5.5, 2, 0]], dtype=float)
     names = list("abcd")
