@@ -32,8 +32,11 @@ def tissue_typing(panel: DataFrame, profiles: DataFrame, include: DataFrame | No
     pr = (profiles.select(F.col(p_gene).alias(gene), F.col(p_sample).alias("sample"),
                           nan_to_null(F.col(p_value).cast("double")).alias(value))
           .filter(F.col(value).isNotNull()))
-    cols = (pm.select(gene, F.col(tissue).alias("column"), value)
-            .unionByName(pr.select(gene, F.col("sample").alias("column"), value)))
+    # read by the counts, the gene index, both packs and the block sizing: the
+    # panel and the profiles are derived once
+    cols = cut_lineage(pm.select(gene, F.col(tissue).alias("column"), value, F.lit(False).alias("_own"))
+                       .unionByName(pr.select(gene, F.col("sample").alias("column"), value, F.lit(True).alias("_own"))), "columns")
+    own = cols.filter("_own").select("column").distinct()
     n_cols = cols.select("column").distinct().count()
     complete = (cols.groupBy(gene).agg(F.countDistinct("column").alias("_n"))
                 .filter(F.col("_n") == n_cols).select(gene))
@@ -41,11 +44,8 @@ def tissue_typing(panel: DataFrame, profiles: DataFrame, include: DataFrame | No
         complete = complete.join(include.select(F.col(include.columns[0]).alias(gene)), gene, "left_semi")
     if exclude is not None:
         complete = complete.join(exclude.select(F.col(exclude.columns[0]).alias(gene)), gene, "left_anti")
-    # reused by the gene index, both packs and the block sizing: written
-    # once to the checkpoint folder instead of being re-derived each time
-    cols = cut_lineage(cols.join(complete, gene, "left_semi"), "typing_cols")
-    samples = (cols.join(pr.select(F.col("sample").alias("column")).distinct(), "column", "left_semi")
-               .withColumnRenamed("column", "sample"))
+    cols = cut_lineage(cols.drop("_own").join(complete, gene, "left_semi"), "typing_cols")
+    samples = cols.join(own, "column", "left_semi").withColumnRenamed("column", "sample")
     tau = kendall_pairs(samples, cols, key=gene, a_col="sample", b_col="column", value=value)
     if exclude_self:
         tau = tau.filter(F.col("sample") != F.col("column"))
