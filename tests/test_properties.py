@@ -928,6 +928,24 @@ def test_pca_power_steps_reach_the_leading_components(spark):
         assert np.allclose(sd, s[:3] / math.sqrt(23), rtol=1e-9)
 
 
+def test_pca_of_few_samples_takes_one_product(spark, monkeypatch):
+    """Close eigenvalues of 12 samples: no power steps over the cells, and numpy's scores."""
+    from transcripta.operators import components
+    made, product = [], components._product
+    monkeypatch.setattr(components, "_product", lambda *a: made.append(a[3]) or product(*a))
+    m = np.random.default_rng(12).normal(size=(400, 12))
+    samples = [f"s{j:02d}" for j in range(12)]
+    res = mv.pca(long_frame(spark, m, [f"g{i:03d}" for i in range(400)], samples), k=2)
+    x = m.T
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    rows = {r["sample"]: [r["PC1"], r["PC2"]] for r in res["scores"].collect()}
+    for c in range(2):
+        sign = np.sign(u[np.argmax(np.abs(u[:, c])), c])
+        assert np.allclose([rows[n][c] for n in samples], sign * u[:, c] * s[c], atol=1e-9)
+    assert made == ["gene"]
+
+
 def test_pca_of_low_rank_and_constant_tables(spark):
     one = np.outer(np.arange(1.0, 9.0), np.array([1.0, 2.0, 4.0, 7.0]))  # every gene is the same line
     df = long_frame(spark, one, [f"g{i}" for i in range(8)], [f"s{j}" for j in range(4)])

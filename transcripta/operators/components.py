@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from transcripta.session import cut_lineage, ship_package
 
+#: So many times the asked basis columns are taken where that makes one product exact.
+EXACT = 4
+
 
 def r_factor(df: DataFrame, cols: list[str]) -> np.ndarray:
     """The triangle of the QR decomposition of the columns (at most l rows)."""
@@ -94,7 +97,9 @@ def pca(expr: DataFrame, k: int = 10, gene: str = "gene", sample: str = "sample"
     scaling.  The largest score of a component is positive (ties: of the
     smallest sample).
 
-    With as many basis columns as samples one product is exact; otherwise
+    With as many basis columns as samples one product is exact; so it is made
+    where there are at most ``EXACT`` times the asked columns' samples, since a
+    power step costs two products and close eigenvalues take many.  Otherwise
     power steps go on until every wanted pair (lambda, v) of A'A has a residual
     of at most ``tol`` times the largest lambda.
     """
@@ -108,7 +113,8 @@ def pca(expr: DataFrame, k: int = 10, gene: str = "gene", sample: str = "sample"
     if n_samples < 3 or n_genes == 0:
         none = spark.createDataFrame([("insufficient samples", n_samples)], "status string, n_samples long")
         return {"scores": none, "explained": none, "genes": none, "status": "insufficient"}
-    cols = [f"_c{j}" for j in range(min(n_samples, k + oversample))]
+    n_cols = n_samples if n_samples <= EXACT * (k + oversample) else k + oversample
+    cols = [f"_c{j}" for j in range(n_cols)]
     start = names.select(sample, *[_normal(sample, j, seed).alias(c) for j, c in enumerate(cols)])
     basis, cols = orthonormal(cut_lineage(start, "basis"), sample, cols)
     while True:
