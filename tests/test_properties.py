@@ -946,6 +946,20 @@ def test_pca_of_few_samples_takes_one_product(spark, monkeypatch):
     assert made == ["gene"]
 
 
+def test_kmeans_does_not_depend_on_the_order_of_rows(spark):
+    """All starts drawn from this order once ended at a worse pair of clusters than those from other orders."""
+    rows = [('S01', -9.742, 1.649), ('S08', -6.23, 9.476), ('S02', -24.807, 1.569), ('S11', 26.726, -25.775),
+            ('S10', 4.065, 5.881), ('S06', -3.613, -17.152), ('S09', 0.614, 9.92), ('S07', -8.879, 2.025),
+            ('S05', 1.462, -13.612), ('S12', 25.531, 28.106), ('S04', 0.868, 2.73), ('S03', -5.995, -4.816)]
+    x = np.array([r[1:] for r in rows])
+    best = min(sum(((x[g] - x[g].mean(0)) ** 2).sum() for g in (k, ~k))
+               for k in (np.array([(c >> i) & 1 for i in range(12)], bool) for c in range(1, 1 << 11)))
+    for some in (rows, rows[::-1]):
+        frame = spark.createDataFrame(some, "sample string, PC1 double, PC2 double").coalesce(1)
+        got = mv.kmeans_pcs(frame).collect()
+        assert len(got) == 12 and all(math.isclose(r["total_within_ss"], best, rel_tol=1e-9) for r in got)
+
+
 def test_pca_of_low_rank_and_constant_tables(spark):
     one = np.outer(np.arange(1.0, 9.0), np.array([1.0, 2.0, 4.0, 7.0]))  # every gene is the same line
     df = long_frame(spark, one, [f"g{i}" for i in range(8)], [f"s{j}" for j in range(4)])
