@@ -242,3 +242,30 @@ def test_repeated_rows(spark):
         mix = op9.mixed_documents(docs)
         got = {(r["doc_id"], r["source"]): r["count"] for r in mix.groupBy("doc_id", "source").count().collect()}
         assert mix.columns == docs.columns and got == {(r[0], r[1]): r[2] for r in queue if r[2]}
+
+
+def test_line_dedup_writes_no_segment_rows(spark, monkeypatch):
+    """Lines meet in tasks: what is written grows with the lines, not with their segments, and blocks lose no link."""
+    import random
+    from tests.llm.test_queries import dropped_lines
+    from transcripta.llm import links
+    from transcripta.llm import op4_line_dedup as op4
+    r = random.Random(11)
+    lines = ["".join(r.choice("abcdefg ") for _ in range(n)) for n in range(20, 260, 2)]
+    rows = [(k, "\n".join((x, x[:9] + "z" + x[9 + k % 2:], x[:-1]))) for k, x in enumerate(lines)] + [(500, lines[7]), (501, lines[90])]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), dropped_lines(rows)
+    written = []
+
+    def counted(df, name="stage", cut=op4.cut_lineage):
+        out = cut(df, name)
+        written.append(out.count())
+        return out
+
+    for module in (op4, links):
+        monkeypatch.setattr(module, "cut_lineage", counted)
+    for keys in (1 << 22, 40):
+        monkeypatch.setattr(op4, "CELL_KEYS", keys, raising=False)
+        written.clear()
+        got = {x["doc_id"]: x["dropped"] for x in op4.dropped_lines(docs).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+        assert max(written) <= 3 * written[0]
