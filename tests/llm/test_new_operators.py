@@ -269,3 +269,57 @@ def test_line_dedup_writes_no_segment_rows(spark, monkeypatch):
         got = {x["doc_id"]: x["dropped"] for x in op4.dropped_lines(docs).collect()}
         assert got == {k: v for k, v in want.items() if v}
         assert max(written) <= 3 * written[0]
+
+
+def test_near_copies_are_compared_until_they_are_connected(monkeypatch):
+    """Lines of a large class are not compared with one another any more once they are in it."""
+    import numpy as np
+    from transcripta.llm import op4_line_dedup as op4
+    rng = np.random.default_rng(5)
+    base = rng.choice(list("abcdefgh "), 300)
+    lines = []
+    for _ in range(100):
+        x = base.copy()
+        x[rng.integers(0, 300, 6)] = "z"
+        lines.append("".join(x))
+    compared = []
+
+    def counted(a, b, edits, within=op4.within_edits):
+        compared.append(len(a))
+        return within(a, b, edits)
+
+    monkeypatch.setattr(op4, "within_edits", counted)
+    near = op4._Links(lines)
+    near.test(*np.triu_indices(100, 1))
+    assert len(near.found) == 99 and len(set(near.roots().tolist())) == 1
+    assert sum(compared) <= 1000
+
+
+def test_banded_distance_of_long_lines_and_wide_bands():
+    import numpy as np
+    from transcripta.llm import op4_line_dedup as op4
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    rng = np.random.default_rng(6)
+    pairs = []
+    for n in (0, 1, 20, 64, 65, 130, 300):
+        for letters in ("ab", "abcdefgh ", "語文字abc\U0001f600"):
+            a = "".join(rng.choice(list(letters), n))
+            b = list(a)
+            for _ in range(int(rng.integers(0, n // 3 + 2))):
+                at = int(rng.integers(0, len(b) + 1))
+                b[at:at + int(rng.integers(0, 2))] = rng.choice(list(letters), int(rng.integers(0, 2)))
+            pairs.append((a, "".join(b)))
+    true = np.array([distance(a, b) for a, b in pairs])
+    for edits in (0, 8, 31, 32, 63, 64, 127, 255, 256):
+        got = op4.within_edits([a for a, _ in pairs], [b for _, b in pairs], np.full(len(pairs), edits))
+        assert (got == (true <= edits)).all()
+    assert op4.within_edits([a for a, _ in pairs], [b for _, b in pairs], true).all()
