@@ -813,6 +813,43 @@ def test_planted_modules_recovered(spark):
     assert merged.select("module").distinct().count() >= 3
 
 
+def test_modules_query_takes_the_whole_network(spark, monkeypatch):
+    """A module of more genes than a block may have is one module."""
+    from transcripta.plans import q_network as qn
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(1, 12)) + rng.normal(size=(130, 12)) * 0.05
+    x = np.exp2(np.vstack([x, rng.normal(size=(20, 12))]) + 8)
+    genes, samples = [f"g{i:03d}" for i in range(150)], [f"s{j:02d}" for j in range(12)]
+    monkeypatch.setattr(qn.fx, "counts", lambda *_: long_frame(spark, x, genes, samples))
+    got = {r["gene"]: r["module"] for r in qn.q_gene_modules(spark, "").collect()}
+    assert set(got) == set(genes) and {got[g] for g in genes[:130]} == {1}
+
+
+@pytest.mark.parametrize("absent, task_genes", [(False, 1000), (True, 1000), (False, 3)])
+def test_network_modules_equal_linkage_of_all_overlaps(spark, absent, task_genes):
+    """Modules over several blocks of genes are those of the full overlap matrix, also by Spark's rounds."""
+    rng = np.random.default_rng(22)
+    x = np.vstack([rng.normal(size=(1, 10)) + rng.normal(size=(9, 10)) * s for s in (0.2, 0.3, 0.4, 0.6)] + [rng.normal(size=(30, 10))])
+    x[40] = 3.1  # without spread
+    if absent:
+        x[2, 3] = x[50, 1] = x[20, 9] = np.nan
+    genes = [f"g{i:02d}" for i in rng.permutation(len(x))]
+    a = np.abs(np.nan_to_num(pw.pearson_matrix(x, x)))
+    a[40] = a[:, 40] = 0.0
+    a = a ** 6
+    np.fill_diagonal(a, 0.0)
+    k = a.sum(1)
+    order = np.argsort(genes)
+    d = (1 - (a @ a + a) / (np.minimum.outer(k, k) + 1 - a))[np.ix_(order, order)]
+    want = lk.upgma_labels(d, 0.9)
+    size = {c: int((want == c).sum()) for c in set(want.tolist())}
+    rank = {c: m for m, c in enumerate(sorted((c for c in size if size[c] >= 3), key=lambda c: (-size[c], c)), 1)}
+    want = {genes[order[i]]: rank.get(c, 0) for i, c in enumerate(want.tolist())}
+    e = long_frame(spark, x, genes, [f"s{j:02d}" for j in range(10)])
+    got = {r["gene"]: r["module"] for r in nw.network_modules(e, 6.0, 0.9, 3, block_size=17, task_genes=task_genes).collect()}
+    assert got == want and len(rank) >= 3
+
+
 def test_gene_blocks_respect_cap(spark):
     e = planted(spark)
     blocks = nw.gene_blocks(e, max_block_size=8).groupBy("block").count().collect()
