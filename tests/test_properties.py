@@ -258,6 +258,24 @@ def test_sample_distance_matches_naive(spark, metric):
         assert math.isclose(r["distance"], r_dist(m[:, i], m[:, j], metric), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_whole_pairs_leave_as_arrow(spark, monkeypatch):
+    """Pairs with complete sums are handed to Spark as Arrow columns; r is that of the sums, null without spread."""
+    from transcripta.operators import tiles as ti
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(40, 7))
+    x[4] = 0.1
+    df = long_frame(spark, x, [f"g{i:02d}" for i in range(40)], [f"s{j}" for j in range(7)])
+    monkeypatch.setattr(type(df), "mapInPandas", lambda *_: pytest.fail("pairs as pandas objects"))
+    got = {(r["gene_a"], r["gene_b"]): r["r"] for r in mv.corr_pairs(df, block_size=9).collect()}
+    assert len(got) == 40 * 39 // 2
+    for (a, b), r in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        assert r is None if 4 in (i, j) else abs(r - np.corrcoef(x[i], x[j])[0, 1]) < 1e-12
+    part = ti.PearsonSums(40, 40)
+    part.add(x, x)
+    assert np.allclose(part.r(), ti.pearson(*part.sums()), equal_nan=True, atol=1e-14)
+
+
 def test_corr_pairs_blocks_and_missing(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(25, 10))
